@@ -51,17 +51,15 @@ def drop_stop_words(tokens: Column, stop_words: list[str] | None = None) -> Colu
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Unigrams followed by adjacent bigrams (n-gram range 1..2)."""
-    n = F.size(tokens)
-    bigrams = F.when(
-        n >= 2,
-        F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.concat(F.element_at(tokens, i), F.lit(" "),
-                               F.element_at(tokens, i + 1)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, bigrams)
+    """Unigrams followed by adjacent bigrams (n-gram range 1..2).
+
+    ``zip_with`` of the array and its one-step shift: linear in the token
+    count (an index lambda over ``tokens`` would re-evaluate the whole token
+    expression per element).
+    """
+    shifted = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    pairs = F.zip_with(tokens, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(tokens, F.filter(pairs, lambda x: x.isNotNull()))
 
 
 def vectoriser_terms(text: Column, stop_words: list[str] | None = STOP_WORDS,

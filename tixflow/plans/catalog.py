@@ -336,6 +336,78 @@ def q_classification_summary(spark, sf_dir):
     return C.classification_summary(classified(spark, sf_dir))
 
 
+# ---------------------------------------------------------------------------
+# Density clustering (P1-P6, P18) on TK, conversations (CV) and documents (DOC)
+# ---------------------------------------------------------------------------
+
+def tk_density(spark, sf_dir):
+    from tixflow.operators.density import density_clusters
+    return density_clusters(tickets(spark, sf_dir), ["number"], "ingest_ord")
+
+
+def conversation_docs(spark, sf_dir):
+    cv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return cv.select("conv_id", "turn", (F.col("conv_id") * 1048576 + F.col("turn")).alias("ord"), "text")
+
+
+def document_docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").alias("ord"), "text")
+
+
+def cv_density(spark, sf_dir):
+    from tixflow.operators.density import density_clusters
+    return density_clusters(conversation_docs(spark, sf_dir), ["conv_id", "turn"], "ord", text_col="text")
+
+
+def doc_density(spark, sf_dir):
+    from tixflow.operators.density import density_clusters
+    return density_clusters(document_docs(spark, sf_dir), ["doc_id"], "ord", text_col="text")
+
+
+def _sql_density(kind: str, final: Callable[[str], str]) -> Callable[[], str]:
+    def build() -> str:
+        s = O.Sql()
+        if kind == "tk":
+            t = O.tickets(s)
+            lab = O.density_ctes(s, t, ["number"], "ingest_ord", "full_text", prefix="dc")
+        elif kind == "cv":
+            lab = O.density_ctes(s, "conversations", ["conv_id", "turn"], "conv_id * 1048576 + turn", "text",
+                                 prefix="dc")
+        else:
+            lab = O.density_ctes(s, "documents", ["doc_id"], "doc_id", "text", prefix="dc")
+        return s.select(final(lab))
+    return build
+
+
+def _register_density(kind: str, fn, id_cols: list[str]):
+    ids = ", ".join(id_cols)
+    suffix = {"tk": "", "cv": "_conversations", "doc": "_documents"}[kind]
+
+    def pairs(spark, sf_dir):
+        return fn(spark, sf_dir).pairs.select("a", "b", "sim")
+
+    def core(spark, sf_dir):
+        return fn(spark, sf_dir).core.select("vid", "mult", "mass", "is_core")
+
+    def labels(spark, sf_dir):
+        return fn(spark, sf_dir).labels.select(*id_cols, "cluster_id")
+
+    def noise(spark, sf_dir):
+        from tixflow.operators.density import noise_count
+        return noise_count(fn(spark, sf_dir).labels)
+
+    register(f"similar_pairs{suffix}", _sql_density(kind, lambda l: "SELECT a, b, sim FROM dc_pairs"))(pairs)
+    register(f"core_points{suffix}", _sql_density(kind, lambda l: "SELECT vid, mult, mass, is_core FROM dc_core"))(core)
+    register(f"density_clusters{suffix}", _sql_density(kind, lambda l: f"SELECT {ids}, cluster_id FROM {l}"))(labels)
+    register(f"noise_count{suffix}", _sql_density(
+        kind, lambda l: f"SELECT count(*) FILTER (WHERE cluster_id = -1) AS noise_count, count(*) AS total_tickets FROM {l}"))(noise)
+
+
+_register_density("tk", tk_density, ["number"])
+_register_density("cv", cv_density, ["conv_id", "turn"])
+_register_density("doc", doc_density, ["doc_id"])
+
+
 def spark_queries() -> dict[str, SparkQuery]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -79,6 +79,7 @@ class Sql:
 
     def __init__(self):
         self.ctes: dict[str, str] = {}
+        self.recursive = False
 
     def add(self, name: str, body: str) -> "Sql":
         if name not in self.ctes:
@@ -87,7 +88,8 @@ class Sql:
 
     def select(self, final: str) -> str:
         withs = ",\n".join(f"{n} AS (\n{b}\n)" for n, b in self.ctes.items())
-        return f"WITH {withs}\n{final}"
+        rec = "RECURSIVE " if self.recursive else ""
+        return f"WITH {rec}{withs}\n{final}"
 
 
 # ---------------------------------------------------------------------------
@@ -287,3 +289,53 @@ LEFT JOIN ml_pred m USING (number) CROSS JOIN ml_ready mr""")
 
 OPEN_IN = sql_in(OPEN_STATES)
 SLA_CASE = case_map("priority", {k: str(v) for k, v in MTTR_SLA_HOURS.items()}, "NULL")
+
+
+# ---------------------------------------------------------------------------
+# Density clustering (brute-force pairs, recursive-CTE components)
+# ---------------------------------------------------------------------------
+
+def density_ctes(s: Sql, docs: str, id_cols: list[str], ord_expr: str, text_col: str = "full_text",
+                 prefix: str = "dc", eps: float = 0.35, min_samples: int = 3,
+                 min_cluster_size: int = 3) -> str:
+    """Registers {prefix}_labels (ids..., cluster_id) and helpers; returns the labels CTE."""
+    ids = ", ".join(id_cols)
+    s.add(f"{prefix}_docs", f"SELECT {ids}, {ord_expr} AS ord, {text_col} AS txt FROM {docs}")
+    tfidf_ctes(s, f"{prefix}t", f"{prefix}_docs", id_cols, pattern_terms("txt"), TFIDF_MAX_FEATURES, 2)
+    s.add(f"{prefix}_key", f"SELECT {ids}, string_agg(term || ':' || CAST(tf AS VARCHAR), ',' ORDER BY term) AS vkey "
+                           f"FROM {prefix}t_tf JOIN {prefix}t_vocab USING (term) GROUP BY ALL")
+    s.add(f"{prefix}_mem", f"SELECT k.*, d.ord FROM {prefix}_key k JOIN {prefix}_docs d USING ({ids})")
+    s.add(f"{prefix}_vec", f"SELECT vkey, min(ord) AS vid, count(*) AS mult FROM {prefix}_mem GROUP BY vkey")
+    s.add(f"{prefix}_vw", f"SELECT v.vid, w.term, w.w FROM {prefix}_vec v JOIN {prefix}_mem m "
+                          f"ON m.vkey = v.vkey AND m.ord = v.vid JOIN {prefix}t_w w USING ({ids})")
+    thr = round(1.0 - eps, 9)
+    s.add(f"{prefix}_pairs", f"SELECT a, b, sim FROM (SELECT x.vid AS a, y.vid AS b, round(sum(x.w * y.w), 9) AS sim "
+                             f"FROM {prefix}_vw x JOIN {prefix}_vw y ON x.term = y.term AND x.vid < y.vid "
+                             f"GROUP BY x.vid, y.vid) WHERE sim >= {thr}")
+    s.add(f"{prefix}_both", f"SELECT a AS v, b AS u FROM {prefix}_pairs UNION ALL SELECT b AS v, a AS u FROM {prefix}_pairs")
+    s.add(f"{prefix}_core", f"SELECT v.vid, v.mult, v.mult + coalesce(sum(u.mult), 0) AS mass, "
+                            f"v.mult + coalesce(sum(u.mult), 0) >= {min_samples} AS is_core "
+                            f"FROM {prefix}_vec v LEFT JOIN {prefix}_both b ON b.v = v.vid "
+                            f"LEFT JOIN {prefix}_vec u ON u.vid = b.u GROUP BY v.vid, v.mult")
+    s.add(f"{prefix}_cce", f"SELECT b.v AS src, b.u AS dst FROM {prefix}_both b "
+                           f"JOIN {prefix}_core c1 ON c1.vid = b.v AND c1.is_core "
+                           f"JOIN {prefix}_core c2 ON c2.vid = b.u AND c2.is_core")
+    s.recursive = True
+    s.add(f"{prefix}_reach", f"SELECT vid AS node, vid AS comp FROM {prefix}_core WHERE is_core "
+                             f"UNION SELECT e.dst AS node, r.comp FROM {prefix}_reach r "
+                             f"JOIN {prefix}_cce e ON r.node = e.src")
+    s.add(f"{prefix}_comp", f"SELECT node, min(comp) AS comp FROM {prefix}_reach GROUP BY node")
+    s.add(f"{prefix}_border", f"SELECT b.v AS vid, min(c.comp) AS comp FROM {prefix}_both b "
+                              f"JOIN {prefix}_core nc ON nc.vid = b.v AND NOT nc.is_core "
+                              f"JOIN {prefix}_comp c ON c.node = b.u GROUP BY b.v")
+    s.add(f"{prefix}_member", f"SELECT node AS vid, comp FROM {prefix}_comp UNION ALL SELECT vid, comp FROM {prefix}_border")
+    s.add(f"{prefix}_num", f"SELECT comp, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster_id "
+                           f"FROM (SELECT DISTINCT comp FROM {prefix}_comp)")
+    s.add(f"{prefix}_size", f"SELECT m.comp, sum(v.mult) AS size FROM {prefix}_member m JOIN {prefix}_vec v USING (vid) "
+                            f"GROUP BY m.comp HAVING sum(v.mult) >= {min_cluster_size}")
+    s.add(f"{prefix}_vc", f"SELECT m.vid, n.cluster_id FROM {prefix}_member m JOIN {prefix}_size USING (comp) "
+                          f"JOIN {prefix}_num n USING (comp)")
+    s.add(f"{prefix}_labels", f"SELECT {', '.join('d.' + c for c in id_cols)}, coalesce(vc.cluster_id, -1) AS cluster_id "
+                              f"FROM {prefix}_docs d LEFT JOIN {prefix}_mem m USING ({ids}) "
+                              f"LEFT JOIN {prefix}_vec v ON v.vkey = m.vkey LEFT JOIN {prefix}_vc vc ON vc.vid = v.vid")
+    return f"{prefix}_labels"

@@ -19,6 +19,9 @@ def get_spark(master: str | None = None, app_name: str = "tixflow",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode: the driver JVM is the whole cluster.
+            builder = builder.config("spark.driver.memory", os.environ.get("TIXFLOW_DRIVER_MEMORY", "16g"))
     builder = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
