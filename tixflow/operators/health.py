@@ -50,10 +50,19 @@ def score_label(score: Column) -> tuple[Column, Column]:
 
 
 def health_score(t: DataFrame, n_patterns: DataFrame) -> DataFrame:
-    """H2 + H3: ``max(0, floor(100 - sum))`` with its label and colour."""
-    d = health_deductions(t, n_patterns).agg(F.sum("points").alias("total_deduction"))
-    score = F.greatest(F.lit(0), F.floor(F.lit(100.0) - F.col("total_deduction")).cast("int"))
-    s = d.select(score.alias("health_score"), "total_deduction")
+    """H2 + H3: ``max(0, floor(100 - deductions))`` with its label and colour.
+
+    Deductions are subtracted one after another in a fixed order (as a
+    running score), so the floating result does not depend on a sum order.
+    """
+    d = health_deductions(t, n_patterns)
+    order = ["p1_open", "p1_breach", "recurring_patterns", "aged_open", "no_root_cause_rate"]
+    pts = d.agg(*[F.max(F.when(F.col("deduction") == k, F.col("points"))).alias(k) for k in order])
+    running = F.lit(100.0)
+    for k in order:
+        running = running - F.col(k)
+    s = pts.select(F.greatest(F.lit(0), F.floor(running).cast("int")).alias("health_score"),
+                   (F.lit(100.0) - running).alias("total_deduction"))
     label, color = score_label(F.col("health_score"))
     return s.select("health_score", label.alias("health_label"), color.alias("health_color"),
                     "total_deduction")

@@ -89,12 +89,12 @@ def find_similar(doc_w: DataFrame, docs: DataFrame, query_w: DataFrame, key: str
 
     ``doc_w``: (key, term, w); ``query_w``: (term, w) of the query (bounded by
     the query length, broadcast).  Documents sharing no term score 0 and are
-    still eligible, so the result always has ``min(top_n, n)`` rows.  Ties go
-    to the earlier row.  Global top-k: per-partition top-k merged once.
+    still eligible, so the result always has ``min(top_n, n)`` rows.  Ties
+    (scores equal to 9 decimals, e.g. identical texts) go to the earlier row.  Global top-k: per-partition top-k merged once.
     """
     scores = (doc_w.join(F.broadcast(query_w.select("term", F.col("w").alias("qw"))), "term")
                    .groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("similarity_score")))
     return (docs.join(scores, key, "left")
                 .withColumn("similarity_score", F.coalesce(F.col("similarity_score"), F.lit(0.0)))
-                .orderBy(F.col("similarity_score").desc(), F.col(order_col).asc())
+                .orderBy(F.round("similarity_score", SIM_DECIMALS).desc(), F.col(order_col).asc())
                 .limit(top_n))

@@ -39,6 +39,29 @@ def r6(c):
     return F.round(c, 6)
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def memo(fn):
+    """Reuse a materialised intermediate within one session and data folder.
+
+    Only for results that are checkpointed (reliable, immutable for the run).
+    ``clear_cache()`` drops them (the bench does, so each query is timed
+    with its full cost).
+    """
+    def wrapper(spark, sf_dir, *args):
+        k = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir, args)
+        if k not in _MEMO:
+            _MEMO[k] = fn(spark, sf_dir, *args)
+        return _MEMO[k]
+    wrapper.__name__ = fn.__name__
+    return wrapper
+
+
+def clear_cache() -> None:
+    _MEMO.clear()
+
+
 def tickets(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
     raw = {"base": FX.tk_raw, "dup": FX.tk_dup_raw, "prefix": FX.tk_prefix_raw}[variant](spark, sf_dir)
     return normalize(raw, FX.AS_OF)
@@ -340,6 +363,7 @@ def q_classification_summary(spark, sf_dir):
 # Density clustering (P1-P6, P18) on TK, conversations (CV) and documents (DOC)
 # ---------------------------------------------------------------------------
 
+@memo
 def tk_density(spark, sf_dir):
     from tixflow.operators.density import density_clusters
     return density_clusters(tickets(spark, sf_dir), ["number"], "ingest_ord")
@@ -354,11 +378,13 @@ def document_docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").alias("ord"), "text")
 
 
+@memo
 def cv_density(spark, sf_dir):
     from tixflow.operators.density import density_clusters
     return density_clusters(conversation_docs(spark, sf_dir), ["conv_id", "turn"], "ord", text_col="text")
 
 
+@memo
 def doc_density(spark, sf_dir):
     from tixflow.operators.density import density_clusters
     return density_clusters(document_docs(spark, sf_dir), ["doc_id"], "ord", text_col="text")
@@ -408,14 +434,154 @@ _register_density("cv", cv_density, ["conv_id", "turn"])
 _register_density("doc", doc_density, ["doc_id"])
 
 
+# ---------------------------------------------------------------------------
+# Cluster summaries
+# ---------------------------------------------------------------------------
+
+@memo
+def clustered_tickets(spark, sf_dir):
+    """Classified tickets with their density cluster id (materialised once)."""
+    from tixflow.session import cut_lineage
+    t = cut_lineage(classified(spark, sf_dir))
+    labels = tk_density(spark, sf_dir).labels
+    return cut_lineage(t.join(labels, "number"))
+
+
+def _sql_clusters(final: Callable[[str], str]) -> Callable[[], str]:
+    def build() -> str:
+        s = O.Sql()
+        ct = O.clustered_tickets(s)
+        return s.select(final(ct))
+    return build
+
+
+def _sql_cluster_keywords(s_ct):
+    return "SELECT cluster_id, rank, keyword, round(score, 6) AS score FROM ck_top"
+
+
+def _kw_sql() -> str:
+    s = O.Sql()
+    ct = O.clustered_tickets(s)
+    O.cluster_keyword_ctes(s, ct)
+    return s.select("SELECT cluster_id, rank, keyword, round(score, 6) AS score FROM ck_top")
+
+
+@register("cluster_keywords", _kw_sql)
+def q_cluster_keywords(spark, sf_dir):
+    from tixflow.operators.clusters import cluster_keywords
+    kw = cluster_keywords(clustered_tickets(spark, sf_dir))
+    return kw.select("cluster_id", F.col("rank").cast("long").alias("rank"), "keyword", r6(F.col("score")).alias("score"))
+
+
+def _label_sql() -> str:
+    s = O.Sql()
+    ct = O.clustered_tickets(s)
+    top = O.cluster_keyword_ctes(s, ct)
+    s.add("cl_label", O.label_sql(top, "cluster_id", " Issues", "Uncategorized Issues", "cl"))
+    return s.select(f"SELECT k.cluster_id, coalesce(l.label, 'Uncategorized Issues') AS label FROM "
+                    f"(SELECT DISTINCT cluster_id FROM {ct} WHERE cluster_id >= 0) k LEFT JOIN cl_label l USING (cluster_id)")
+
+
+@register("cluster_labels", _label_sql)
+def q_cluster_labels(spark, sf_dir):
+    from tixflow.operators.clusters import cluster_keywords, keyword_arrays, keyword_label
+    ct = clustered_tickets(spark, sf_dir)
+    kw = keyword_arrays(cluster_keywords(ct))
+    keys = ct.where("cluster_id >= 0").select("cluster_id").distinct()
+    k = F.coalesce(F.col("keywords"), F.array().cast("array<string>"))
+    return keys.join(kw, "cluster_id", "left").select("cluster_id", keyword_label(k).alias("label"))
+
+
+@register("cluster_priority_dist", _sql_clusters(lambda ct: f"""SELECT cluster_id,
+  count(*) FILTER (WHERE priority = 'P1') AS P1, count(*) FILTER (WHERE priority = 'P2') AS P2,
+  count(*) FILTER (WHERE priority = 'P3') AS P3, count(*) FILTER (WHERE priority = 'P4') AS P4,
+  count(*) FILTER (WHERE priority = 'Unknown') AS "Unknown",
+  count(*) FILTER (WHERE priority NOT IN ('P1', 'P2', 'P3', 'P4', 'Unknown')) AS other
+FROM {ct} WHERE cluster_id >= 0 GROUP BY cluster_id"""))
+def q_cluster_priority_dist(spark, sf_dir):
+    from tixflow.operators.clusters import priority_distribution
+    return priority_distribution(clustered_tickets(spark, sf_dir))
+
+
+@register("cluster_top_entities", _sql_clusters(lambda ct: f"""SELECT k.cluster_id,
+  coalesce(s.vals, '') AS top_services, coalesce(c.vals, '') AS top_cis, coalesce(g.vals, '') AS top_groups
+FROM (SELECT DISTINCT cluster_id FROM {ct} WHERE cluster_id >= 0) k
+LEFT JOIN ({O.top_values_sql(ct, 'business_service', 3)}) s USING (cluster_id)
+LEFT JOIN ({O.top_values_sql(ct, 'cmdb_ci', 3)}) c USING (cluster_id)
+LEFT JOIN ({O.top_values_sql(ct, 'assignment_group', 3)}) g USING (cluster_id)"""))
+def q_cluster_top_entities(spark, sf_dir):
+    from tixflow.operators.clusters import ranked_array, top_values
+    ct = clustered_tickets(spark, sf_dir)
+    keys = ct.where("cluster_id >= 0").select("cluster_id").distinct()
+    out = keys
+    for col, name in [("business_service", "top_services"), ("cmdb_ci", "top_cis"), ("assignment_group", "top_groups")]:
+        arr = ranked_array(top_values(ct, col, 3)).select("cluster_id", F.array_join("values", "|").alias(name))
+        out = out.join(arr, "cluster_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
+    return out
+
+
+@register("cluster_state_dist", _sql_clusters(
+    lambda ct: f"SELECT cluster_id, state, count(*) AS count FROM {ct} WHERE cluster_id >= 0 GROUP BY ALL"))
+def q_cluster_state_dist(spark, sf_dir):
+    from tixflow.operators.clusters import state_distribution
+    return state_distribution(clustered_tickets(spark, sf_dir))
+
+
+@register("cluster_summary", _sql_clusters(lambda ct: f"""SELECT cluster_id, count(*) AS size,
+  round(avg(mttr_hours), 6) AS avg_mttr_hours, min(opened_at) AS first_seen, max(opened_at) AS last_seen,
+  (SELECT category FROM {ct} x WHERE x.cluster_id = o.cluster_id GROUP BY category
+   ORDER BY count(*) DESC, category ASC LIMIT 1) AS category
+FROM {ct} o WHERE cluster_id >= 0 GROUP BY cluster_id"""))
+def q_cluster_summary(spark, sf_dir):
+    from tixflow.operators.clusters import cluster_basics
+    b = cluster_basics(clustered_tickets(spark, sf_dir))
+    return b.select("cluster_id", "size", r6(F.col("avg_mttr_hours")).alias("avg_mttr_hours"),
+                    "first_seen", "last_seen", "category")
+
+
+@register("cluster_recurrence", _sql_clusters(lambda ct: f"""SELECT cluster_id, round(median(gap), 6) AS median_gap_hours,
+  CASE WHEN count(gap) = 0 THEN 'Insufficient data'
+       WHEN median(gap) < 2 THEN 'Continuous / ongoing' WHEN median(gap) < 24 THEN 'Multiple times per day'
+       WHEN median(gap) < 168 THEN 'Multiple times per week' WHEN median(gap) < 720 THEN 'Weekly'
+       ELSE 'Monthly or less' END AS recurrence
+FROM (SELECT cluster_id, {O.hours('lag(opened_at) OVER (PARTITION BY cluster_id ORDER BY opened_at)', 'opened_at')} AS gap
+      FROM {ct} WHERE cluster_id >= 0 AND opened_at IS NOT NULL) g GROUP BY cluster_id"""))
+def q_cluster_recurrence(spark, sf_dir):
+    from tixflow.operators.clusters import recurrence
+    r = recurrence(clustered_tickets(spark, sf_dir))
+    return r.select("cluster_id", r6(F.col("median_gap_hours")).alias("median_gap_hours"), "recurrence")
+
+
+@register("cluster_trend", _sql_clusters(lambda ct: f"""SELECT cluster_id,
+  CASE WHEN count(opened_at) = 0 THEN 'Unknown'
+       WHEN (count(*) - count(*) // 2) / greatest(count(*) // 2, 1) > 1.3 THEN 'Increasing'
+       WHEN (count(*) - count(*) // 2) / greatest(count(*) // 2, 1) < 0.7 THEN 'Decreasing'
+       ELSE 'Stable' END AS trend
+FROM {ct} WHERE cluster_id >= 0 GROUP BY cluster_id"""))
+def q_cluster_trend(spark, sf_dir):
+    from tixflow.operators.clusters import trend
+    return trend(clustered_tickets(spark, sf_dir))
+
+
+@register("cluster_trend_by_time", _sql_clusters(lambda ct: f"""SELECT cluster_id, first_half, second_half,
+  CASE WHEN n_ts = 0 THEN 'Unknown' WHEN second_half = 0 THEN 'Unknown'
+       WHEN second_half / greatest(first_half, 1) > 1.3 THEN 'Increasing'
+       WHEN second_half / greatest(first_half, 1) < 0.7 THEN 'Decreasing' ELSE 'Stable' END AS trend_by_time
+FROM (SELECT c.cluster_id, count(*) FILTER (WHERE c.opened_at < r.mid) AS first_half,
+        count(*) FILTER (WHERE c.opened_at >= r.mid) AS second_half, count(c.opened_at) AS n_ts
+      FROM {ct} c JOIN (
+        SELECT cluster_id, min(opened_at) + to_microseconds(CAST(floor(date_diff('microsecond', min(opened_at),
+               max(opened_at)) / 2) AS BIGINT)) AS mid
+        FROM {ct} WHERE cluster_id >= 0 GROUP BY cluster_id) r USING (cluster_id)
+      GROUP BY c.cluster_id)"""))
+def q_cluster_trend_by_time(spark, sf_dir):
+    from tixflow.operators.clusters import trend_by_time
+    return trend_by_time(clustered_tickets(spark, sf_dir))
+
+
 def spark_queries() -> dict[str, SparkQuery]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
 def oracle_queries() -> dict[str, str]:
     return {k: v[1]() for k, v in REGISTRY.items() if v[1] is not None}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the report pipeline lands: ticket totals."""
-    return M.ticket_totals(tickets(spark, sf_dir))

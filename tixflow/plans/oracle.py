@@ -339,3 +339,52 @@ def density_ctes(s: Sql, docs: str, id_cols: list[str], ord_expr: str, text_col:
                               f"FROM {prefix}_docs d LEFT JOIN {prefix}_mem m USING ({ids}) "
                               f"LEFT JOIN {prefix}_vec v ON v.vkey = m.vkey LEFT JOIN {prefix}_vc vc ON vc.vid = v.vid")
     return f"{prefix}_labels"
+
+
+# ---------------------------------------------------------------------------
+# Cluster summaries over tickets with cluster ids (CTE ``ct``)
+# ---------------------------------------------------------------------------
+
+def clustered_tickets(s: Sql) -> str:
+    t = tickets(s)
+    c = classify_ctes(s, t)
+    lab = density_ctes(s, t, ["number"], "ingest_ord", "full_text", prefix="dc")
+    s.add("ct", f"SELECT c.*, l.cluster_id FROM {c} c JOIN {lab} l USING (number)")
+    return "ct"
+
+
+def cluster_keyword_ctes(s: Sql, ct: str, key: str = "cluster_id", text: str = "full_text",
+                         id_col: str = "number", n: int = 6, prefix: str = "ck") -> str:
+    s.add(f"{prefix}_d", f"SELECT {key}, {id_col}, {pattern_terms(text)} AS terms FROM {ct} WHERE {key} >= 0")
+    s.add(f"{prefix}_n", f"SELECT {key}, count(*) AS n_c FROM {ct} WHERE {key} >= 0 GROUP BY {key}")
+    s.add(f"{prefix}_tf", f"SELECT {key}, {id_col}, term, count(*) AS tf FROM "
+                          f"(SELECT {key}, {id_col}, unnest(terms) AS term FROM {prefix}_d) GROUP BY ALL")
+    s.add(f"{prefix}_stats", f"SELECT {key}, term, sum(tf) AS total, count(*) AS df FROM {prefix}_tf GROUP BY ALL")
+    s.add(f"{prefix}_vocab", f"SELECT x.{key}, x.term, ln((1.0 + n.n_c) / (1.0 + x.df)) + 1.0 AS idf, n.n_c FROM "
+                             f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY total DESC, term ASC) AS r "
+                             f"FROM {prefix}_stats) x JOIN {prefix}_n n USING ({key}) WHERE x.r <= 200")
+    s.add(f"{prefix}_w0", f"SELECT {key}, {id_col}, term, n_c, tf * idf AS w0 FROM {prefix}_tf "
+                          f"JOIN {prefix}_vocab USING ({key}, term)")
+    s.add(f"{prefix}_w", f"SELECT {key}, term, n_c, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY {key}, {id_col})) AS w "
+                         f"FROM {prefix}_w0")
+    s.add(f"{prefix}_score", f"SELECT {key}, term, round(sum(w) / any_value(n_c), 9) AS score FROM {prefix}_w "
+                             f"GROUP BY {key}, term")
+    s.add(f"{prefix}_top", f"SELECT * FROM (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, "
+                           f"term DESC) AS rank, term AS keyword, score FROM {prefix}_score WHERE score > 0) "
+                           f"WHERE rank <= {n}")
+    return f"{prefix}_top"
+
+
+def label_sql(top: str, key: str, suffix: str, empty: str, prefix: str) -> str:
+    """(key, label) from ranked keywords; keys with no keyword are absent."""
+    k1 = title("max(keyword) FILTER (WHERE rank = 1)")
+    k2 = title("max(keyword) FILTER (WHERE rank = 2)")
+    return (f"SELECT {key}, CASE WHEN count(*) = 1 THEN {k1} || {q(suffix)} "
+            f"ELSE {k1} || ' / ' || {k2} || {q(suffix)} END AS label FROM {top} GROUP BY {key}")
+
+
+def top_values_sql(ct: str, col: str, n: int, key: str = "cluster_id") -> str:
+    return (f"SELECT {key}, string_agg(v, '|' ORDER BY rank) AS vals FROM (SELECT {key}, {col} AS v, "
+            f"row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, min(ingest_ord) ASC) AS rank "
+            f"FROM {ct} WHERE {key} >= 0 AND {col} IS NOT NULL AND {col} <> '' GROUP BY {key}, {col}) "
+            f"WHERE rank <= {n} GROUP BY {key}")
