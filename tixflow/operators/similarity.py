@@ -58,27 +58,46 @@ def unit_weights(vectors: DataFrame, vocab: DataFrame, sublinear: bool = True) -
 
 
 def prefix_terms(w: DataFrame, threshold: float, margin: float = 1e-6) -> DataFrame:
-    """(vid, term) of each vector's L2 prefix for cosine threshold ``threshold``."""
+    """(vid, term, w) of each vector's L2 prefix for cosine threshold ``threshold``."""
     order = Window.partitionBy("vid").orderBy(F.col("df").asc(), F.col("term").asc()) \
                   .rowsBetween(Window.currentRow, Window.unboundedFollowing)
     t = max(threshold - margin, 0.0)
     suffix = F.sum(F.col("w") * F.col("w")).over(order)
-    return w.withColumn("_suffix", suffix).where(F.col("_suffix") >= t * t).select("vid", "term")
+    return w.withColumn("_suffix", suffix).where(F.col("_suffix") >= t * t).select("vid", "term", "w")
+
+
+def candidate_pairs(w: DataFrame, threshold: float, margin: float = 1e-9) -> DataFrame:
+    """(a, b) pairs sharing a prefix term whose cosine can still reach ``threshold``.
+
+    While grouping the prefix join per pair, the partial dot over the shared
+    prefix terms and their squared norms give an exact upper bound
+    (Cauchy-Schwarz on the remaining coordinates):
+    ``dot <= partial + sqrt(1 - sa) * sqrt(1 - sb)``.  Pairs below it are
+    dropped before any full vector is touched.
+    """
+    p = prefix_terms(w, threshold)
+    pa = p.select(F.col("vid").alias("a"), "term", F.col("w").alias("wa"))
+    pb = p.select(F.col("vid").alias("b"), "term", F.col("w").alias("wb"))
+    g = (pa.join(pb, "term").where(F.col("a") < F.col("b"))
+           .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("_dot"),
+                                  F.sum(F.col("wa") * F.col("wa")).alias("_sa"),
+                                  F.sum(F.col("wb") * F.col("wb")).alias("_sb")))
+    ub = F.col("_dot") + F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("_sa"))) * \
+        F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("_sb")))
+    return g.where(ub >= threshold - margin).select("a", "b")
 
 
 def similar_pairs(w: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim) with a < b and round(cosine, 9) >= threshold."""
-    p = prefix_terms(w, threshold)
-    cand = (p.alias("pa").join(p.alias("pb"), "term")
-             .where(F.col("pa.vid") < F.col("pb.vid"))
-             .select(F.col("pa.vid").alias("a"), F.col("pb.vid").alias("b"))
-             .distinct())
+    cand = candidate_pairs(w, threshold)
     vec = w.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
     va = vec.select(F.col("vid").alias("a"), F.col("m").alias("ma"))
     vb = vec.select(F.col("vid").alias("b"), F.col("m").alias("mb"))
     j = cand.join(va, "a").join(vb, "b")
-    dot = F.aggregate(F.map_keys("ma"), F.lit(0.0),
-                      lambda acc, k: acc + F.element_at("ma", k) * F.coalesce(F.try_element_at("mb", k), F.lit(0.0)))
+    # Only the shared terms are looked up (hash intersection of the key sets).
+    shared = F.array_intersect(F.map_keys("ma"), F.map_keys("mb"))
+    dot = F.aggregate(shared, F.lit(0.0),
+                      lambda acc, k: acc + F.element_at("ma", k) * F.element_at("mb", k))
     sims = j.select("a", "b", F.round(dot, SIM_DECIMALS).alias("sim"))
     return sims.where(F.col("sim") >= F.lit(round(threshold, SIM_DECIMALS)))
 
