@@ -17,6 +17,7 @@ from tixflow.config import (CATEGORY_KEYWORDS, CLASSIFIER_MIN_LABELED,
                             CLASSIFIER_MIN_SIMILARITY, TFIDF_MAX_FEATURES)
 from tixflow.functions.text import clean_text, strip_ws, vectoriser_terms
 from tixflow.operators import textfeat
+from tixflow.session import cut_lineage
 
 
 def _quote(kw: str) -> str:
@@ -127,7 +128,10 @@ def classify(tickets: DataFrame, taxonomy: dict[str, list[str]] | None = None,
     rule = rule_category(F.col("full_text"), taxonomy)
     if use_category_text:
         rule = F.coalesce(rule_category(F.coalesce(F.col("category"), F.lit("")), taxonomy), rule)
-    t = t.withColumn("_needs", needs).withColumn("_rule", F.when(needs, rule))
+    # The tagged tickets feed three branches (centroid fit, pending
+    # predictions, final projection): materialise them once so the keyword
+    # regexes and the upstream plan run a single time.
+    t = cut_lineage(t.withColumn("_needs", needs).withColumn("_rule", F.when(needs, rule)))
 
     vocab, centroids, labels = category_centroids(t, min_labeled, taxonomy=taxonomy, key=key)
     ready = labels.agg(F.count(F.lit(1)).alias("n_labels")).select((F.col("n_labels") > 0).alias("_ml_ready"))
