@@ -79,26 +79,39 @@ def density_clusters(docs: DataFrame, ids: list[str], ord_col: str, text_col: st
                      min_cluster_size: int = MIN_CLUSTER_SIZE,
                      max_features: int = TFIDF_MAX_FEATURES, min_df: int = 2,
                      stop_words: list[str] | None = STOP_WORDS) -> DensityResult:
-    """Fit the pattern vectoriser on ``docs`` and cluster them."""
-    d = docs.select(*ids, ord_col, vectoriser_terms(F.col(text_col), stop_words).alias("terms"))
-    tf = textfeat.term_counts(d, ids)
-    vocab = textfeat.vocabulary(tf, textfeat.document_count(d), max_features, min_df)
+    """Fit the pattern vectoriser on ``docs`` and cluster them.
+
+    Identical texts are collapsed first (``textfeat.distinct_texts``), so
+    tokenising, term counting and vector building run once per distinct
+    text; vocabulary counts are weighted by the multiplicity, which gives
+    the same vocabulary as counting every document.  Documents get their
+    label through one join with the distinct-text table.
+    """
+    doc_text, texts = textfeat.distinct_texts(docs.select(*ids, ord_col, text_col), text_col, ord_col)
+    texts = cut_lineage(texts)
+    tkeys = ["th1", "th2"]
+    d = texts.select(*tkeys, "tord", "tmult", vectoriser_terms(F.col("text"), stop_words).alias("terms"))
+    # Term counts feed both the vocabulary and the vectors: written once.
+    tf = cut_lineage(textfeat.term_counts(d, [*tkeys, "tord", "tmult"]))
+    n_docs = texts.agg(F.sum("tmult").alias("n_docs"))
+    vocab = textfeat.vocabulary(tf, n_docs, max_features, min_df, weight="tmult")
     # The vocabulary (<= max_features rows), the distinct vectors, the pair
     # table and the core table are each read several times below: write them
     # once to the reliable checkpoint folder instead of recomputing the
     # self-join per use (also bounds the lineage a lost executor replays).
     vocab = cut_lineage(vocab)
-    members, vectors = S.collapse_vectors(tf, vocab, ids, ord_col, d.select(*ids, ord_col))
+    text_vec, vectors = S.collapse_vectors(tf, vocab, tkeys, "tord", "tmult")
     vectors = cut_lineage(vectors)
     weights = cut_lineage(S.unit_weights(vectors, vocab))
     pairs = cut_lineage(S.similar_pairs(weights, 1.0 - eps))
     core = cut_lineage(core_points(vectors, pairs, min_samples))
     vc = cut_lineage(assign_clusters(core, pairs, min_cluster_size))
-    labelled = (members.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"])
-                       .join(vc, "vid", "left")
-                       .select(*ids, "cluster_id"))
-    labels = (docs.select(*ids).join(labelled, ids, "left")
-                  .select(*ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
+    # Distinct-text sized; texts with a zero vector or in no kept cluster -> -1.
+    text_label = (text_vec.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"])
+                          .join(vc, "vid").select(*tkeys, "cluster_id"))
+    labels = (doc_text.join(text_label, tkeys, "left")
+                      .select(*ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
+    members = doc_text.join(text_vec, tkeys).select(*ids, "h1", "h2")
     return DensityResult(vocab, weights, members, vectors, pairs, core, vc, labels)
 
 

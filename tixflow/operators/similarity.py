@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tixflow.operators import textfeat
+from tixflow.session import cut_lineage
 
 SIM_DECIMALS = 9
 
@@ -29,23 +30,24 @@ def vector_hash(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit("tixflow"), key)
 
 
-def collapse_vectors(tf: DataFrame, vocab: DataFrame, ids: list[str], ord_col: str,
-                     ords: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collapse_vectors(tf: DataFrame, vocab: DataFrame, keys: list[str], ord_col: str,
+                     mult_col: str) -> tuple[DataFrame, DataFrame]:
     """Distinct non-zero count vectors.
 
-    ``tf``: (ids..., term, tf) term counts; ``ords``: (ids..., ord_col).
-    Returns ``members`` (ids..., h1, h2) for documents with a non-zero
-    vector and ``vectors`` (h1, h2, vid, mult, key) where ``vid`` is the
-    smallest ``ord_col`` of the vector's documents and ``mult`` their count.
+    ``tf``: (keys..., ord_col, mult_col, term, tf) term counts of rows that
+    each stand for ``mult_col`` documents (distinct texts).  Returns
+    ``members`` (keys..., h1, h2) for rows with a non-zero vector and
+    ``vectors`` (h1, h2, vid, mult, key) where ``vid`` is the smallest
+    ``ord_col`` of the vector's rows and ``mult`` their summed multiplicity.
     """
     kept = tf.join(F.broadcast(vocab.select("term")), "term")
-    per_doc = kept.groupBy(*ids).agg(
+    per = kept.groupBy(*keys, ord_col, mult_col).agg(
         F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("key"))
     h1, h2 = vector_hash(F.col("key"))
-    per_doc = per_doc.select(*ids, "key", h1.alias("h1"), h2.alias("h2")).join(ords, ids)
-    vectors = per_doc.groupBy("h1", "h2").agg(
-        F.min(ord_col).alias("vid"), F.count(F.lit(1)).alias("mult"), F.first("key").alias("key"))
-    members = per_doc.select(*ids, "h1", "h2")
+    per = cut_lineage(per.select(*keys, ord_col, mult_col, "key", h1.alias("h1"), h2.alias("h2")))
+    vectors = per.groupBy("h1", "h2").agg(
+        F.min(ord_col).alias("vid"), F.sum(mult_col).alias("mult"), F.first("key").alias("key"))
+    members = per.select(*keys, "h1", "h2")
     return members, vectors
 
 

@@ -33,14 +33,36 @@ def document_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def distinct_texts(docs: DataFrame, text_col: str, ord_col: str) -> tuple[DataFrame, DataFrame]:
+    """Collapse identical texts before any tokenising.
+
+    Returns ``doc_text`` (every input column, ``th1``, ``th2``: a 128-bit hash
+    of the text) and ``texts`` (th1, th2, tord, tmult, text): one row per
+    distinct text with its earliest ``ord_col`` and its number of documents.
+    The ``groupBy`` combines map-side, so a text repeated across a third of
+    the rows is one row per map task before the shuffle.
+    """
+    th1, th2 = F.xxhash64(F.col(text_col)), F.xxhash64(F.lit("tixflow"), F.col(text_col))
+    doc_text = docs.withColumn("th1", th1).withColumn("th2", th2)
+    texts = doc_text.groupBy("th1", "th2").agg(
+        F.min(ord_col).alias("tord"), F.count(F.lit(1)).alias("tmult"), F.first(text_col).alias("text"))
+    return doc_text, texts
+
+
 def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None,
-               min_df: int = 1) -> DataFrame:
+               min_df: int = 1, weight: str | None = None) -> DataFrame:
     """(term, total, df, idf, term_rank): the fitted vocabulary.
 
     ``idf = ln((1 + n) / (1 + df)) + 1`` (smoothed).  Bounded by
-    ``max_features`` rows.
+    ``max_features`` rows.  ``weight``: a column of ``tf`` holding how many
+    documents a row stands for (distinct texts collapsed before
+    tokenising); counts and document frequencies are multiplied by it.
     """
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if weight is None:
+        stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    else:
+        stats = tf.groupBy("term").agg(F.sum(F.col("tf") * F.col(weight)).alias("total"),
+                                       F.sum(weight).alias("df"))
     stats = stats.where(F.col("df") >= min_df)
     if max_features is not None:
         stats = stats.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features)
