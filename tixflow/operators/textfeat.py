@@ -33,19 +33,22 @@ def document_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def distinct_texts(docs: DataFrame, text_col: str, ord_col: str) -> tuple[DataFrame, DataFrame]:
+def distinct_texts(docs: DataFrame, text_col: str, ord_col: str | None = None,
+                   extra_keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Collapse identical texts before any tokenising.
 
     Returns ``doc_text`` (every input column, ``th1``, ``th2``: a 128-bit hash
-    of the text) and ``texts`` (th1, th2, tord, tmult, text): one row per
-    distinct text with its earliest ``ord_col`` and its number of documents.
+    of the text) and ``texts`` (th1, th2, extra_keys..., [tord,] tmult, text):
+    one row per distinct text (and ``extra_keys`` value) with its earliest
+    ``ord_col`` and its number of documents.
     The ``groupBy`` combines map-side, so a text repeated across a third of
     the rows is one row per map task before the shuffle.
     """
     th1, th2 = F.xxhash64(F.col(text_col)), F.xxhash64(F.lit("tixflow"), F.col(text_col))
     doc_text = docs.withColumn("th1", th1).withColumn("th2", th2)
-    texts = doc_text.groupBy("th1", "th2").agg(
-        F.min(ord_col).alias("tord"), F.count(F.lit(1)).alias("tmult"), F.first(text_col).alias("text"))
+    aggs = [F.min(ord_col).alias("tord")] if ord_col else []
+    aggs += [F.count(F.lit(1)).alias("tmult"), F.first(text_col).alias("text")]
+    texts = doc_text.groupBy("th1", "th2", *(extra_keys or [])).agg(*aggs)
     return doc_text, texts
 
 
@@ -89,6 +92,25 @@ def fit_transform(docs: DataFrame, ids: list[str], max_features: int | None, min
     return vocab, tfidf(tf, vocab, ids, sublinear)
 
 
+def fit_transform_texts(docs: DataFrame, ids: list[str], text_col: str, terms_fn,
+                        max_features: int | None, min_df: int,
+                        sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``fit_transform`` of ``terms_fn(text_col)`` with identical texts collapsed.
+
+    Tokenising, counting and weighting run once per distinct text; the
+    vocabulary is weighted by multiplicity (same result as counting every
+    document).  Per-document weights come from one join of the documents
+    with the distinct-text weights on the text hash.
+    """
+    doc_text, texts = distinct_texts(docs.select(*ids, text_col), text_col)
+    d = texts.select("th1", "th2", "tmult", terms_fn(F.col("text")).alias("terms"))
+    tf = term_counts(d, ["th1", "th2", "tmult"])
+    vocab = vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df, weight="tmult")
+    wt = tfidf(tf, vocab, ["th1", "th2"], sublinear)
+    w = doc_text.select(*ids, "th1", "th2").join(wt, ["th1", "th2"]).select(*ids, "term", "w")
+    return vocab, w
+
+
 def transform(docs: DataFrame, vocab: DataFrame, ids: list[str], sublinear: bool = True,
               terms: str = "terms") -> DataFrame:
     """Weights of new documents in an already fitted vocabulary."""

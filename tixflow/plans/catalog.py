@@ -263,8 +263,8 @@ def q_ngrams(spark, sf_dir):
 
 
 def _pattern_tfidf(spark, sf_dir):
-    t = tickets(spark, sf_dir).select("number", vectoriser_terms(F.col("full_text")).alias("terms"))
-    return TF.fit_transform(t, ["number"], TFIDF_MAX_FEATURES, 2, sublinear=True)
+    return TF.fit_transform_texts(tickets(spark, sf_dir), ["number"], "full_text", vectoriser_terms,
+                                  TFIDF_MAX_FEATURES, 2, sublinear=True)
 
 
 def _sql_pattern_tfidf(final: str) -> Callable[[], str]:
