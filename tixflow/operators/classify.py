@@ -72,17 +72,23 @@ def category_centroids(tickets: DataFrame, min_labeled: int = CLASSIFIER_MIN_LAB
     ``min_labeled`` tickets are labelled.
     """
     lab = (tickets.where(~needs_classification(F.col("category"), taxonomy))
-                  .select(key, "ingest_ord", strip_ws(F.col("category")).alias("category"),
-                          classifier_terms(F.col("full_text")).alias("terms")))
+                  .select(key, "ingest_ord", strip_ws(F.col("category")).alias("category"), "full_text"))
     gate = lab.agg(F.count(F.lit(1)).alias("n_labeled")).where(F.col("n_labeled") >= min_labeled)
     # One-row gate: no rows pass unless enough tickets are labelled.
     lab = lab.crossJoin(F.broadcast(gate)).drop("n_labeled")
-    vocab, w = textfeat.fit_transform(lab, [key], max_features, min_df, sublinear=True)
+    # One row per distinct (text, category), tokenised once; ``tmult``
+    # documents stand behind it, so counts, document frequencies and the
+    # centroid sums are weighted by it (same result as per ticket).
+    _, texts = textfeat.distinct_texts(lab, "full_text", extra_keys=["category"])
+    tkeys = ["th1", "th2", "category", "tmult"]
+    d = texts.select(*tkeys, classifier_terms(F.col("text")).alias("terms"))
+    tf = textfeat.term_counts(d, tkeys)
+    vocab = textfeat.vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df,
+                                weight="tmult")
+    w = textfeat.tfidf(tf, vocab, tkeys, sublinear=True)
     labels = lab.groupBy("category").agg(F.min("ingest_ord").alias("label_ord"),
                                          F.count(F.lit(1)).alias("n_cat"))
-    cat_of = lab.select(key, "category")
-    centroids = (w.join(cat_of, key)
-                  .groupBy("category", "term").agg(F.sum("w").alias("s"))
+    centroids = (w.groupBy("category", "term").agg(F.sum(F.col("w") * F.col("tmult")).alias("s"))
                   .join(F.broadcast(labels), "category")
                   .select("category", "term", (F.col("s") / F.col("n_cat")).alias("c")))
     return vocab, centroids, labels
@@ -96,17 +102,21 @@ def nearest_centroid(docs: DataFrame, vocab: DataFrame, centroids: DataFrame,
     Argmax of cosine to the centroids; ties -> label seen first; best below
     ``min_similarity`` (or no shared term) -> 'Other'.
     """
-    d = docs.select(key, classifier_terms(F.col("full_text")).alias("terms"))
-    w = textfeat.transform(d, vocab, [key], sublinear=True)
+    # Score each distinct text once; tickets pick up their text's result.
+    doc_text, texts = textfeat.distinct_texts(docs.select(key, "full_text"), "full_text")
+    tkeys = ["th1", "th2"]
+    d = texts.select(*tkeys, classifier_terms(F.col("text")).alias("terms"))
+    w = textfeat.transform(d, vocab, tkeys, sublinear=True)
     cnorm = (centroids.groupBy("category").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
                       .join(labels.select("category", "label_ord"), "category"))
+    # Centroids: categories x vocabulary rows at most, so broadcast.
     sims = (w.join(F.broadcast(centroids), "term")
-             .groupBy(key, "category").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
+             .groupBy(*tkeys, "category").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
              .join(F.broadcast(cnorm), "category")
-             .select(key, "category", "label_ord", (F.col("dot") / F.col("cn")).alias("sim")))
-    best = sims.groupBy(key).agg(F.max_by(F.struct("category", "sim"),
-                                          F.struct(F.col("sim"), -F.col("label_ord"))).alias("b"))
-    out = d.select(key).join(best, key, "left")
+             .select(*tkeys, "category", "label_ord", (F.col("dot") / F.col("cn")).alias("sim")))
+    best = sims.groupBy(*tkeys).agg(F.max_by(F.struct("category", "sim"),
+                                             F.struct(F.col("sim"), -F.col("label_ord"))).alias("b"))
+    out = doc_text.select(key, *tkeys).join(best, tkeys, "left")
     sim = F.coalesce(F.col("b.sim"), F.lit(0.0))
     return out.select(key, F.when(sim >= min_similarity, F.col("b.category")).otherwise(F.lit("Other"))
                       .alias("ml_category"), sim.alias("ml_similarity"))
