@@ -61,18 +61,23 @@ class RootCauseResult:
 
 
 def _vectors(corpus: DataFrame, max_features: int):
-    d = corpus.select("number", vectoriser_terms(F.col("resolution_text"), STOP_WORDS).alias("terms"))
-    tf = textfeat.term_counts(d, ["number"])
-    vocab = textfeat.vocabulary(tf, textfeat.document_count(d), max_features, 1)
+    # Identical resolution texts are tokenised once; ``tmult`` tickets share each.
+    doc_text, texts = textfeat.distinct_texts(corpus.select("number", "resolution_text"), "resolution_text")
+    texts = cut_lineage(texts)
+    tkeys = ["th1", "th2", "tmult"]
+    d = texts.select(*tkeys, vectoriser_terms(F.col("text"), STOP_WORDS).alias("terms"))
+    tf = textfeat.term_counts(d, tkeys)
+    vocab = textfeat.vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, 1, weight="tmult")
     vocab = cut_lineage(vocab.withColumn("_i", F.row_number().over(Window.orderBy("term")) - 1))  # <= 800 rows
     kept = tf.join(F.broadcast(vocab.select("term")), "term")
-    key = kept.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("key"))
+    key = kept.groupBy(*tkeys).agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("key"))
+    per_text = texts.select(*tkeys).join(key, tkeys, "left").select(
+        *tkeys, F.coalesce(F.col("key"), F.array().cast("array<struct<term:string,tf:bigint>>")).alias("key"))
     h1, h2 = vector_hash(F.col("key"))
-    per_doc = d.select("number").join(key, "number", "left").select(
-        "number", F.coalesce(F.col("key"), F.array().cast("array<struct<term:string,tf:bigint>>")).alias("key"))
-    per_doc = per_doc.select("number", "key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("tixflow"), "key").alias("h2"))
+    per_text = cut_lineage(per_text.select(*tkeys, "key", h1.alias("h1"), h2.alias("h2")))
     # One row per distinct vector, weighted by how many tickets share it.
-    distinct = per_doc.groupBy("h1", "h2").agg(F.first("key").alias("key"), F.count(F.lit(1)).cast("double").alias("weight"))
+    distinct = per_text.groupBy("h1", "h2").agg(F.first("key").alias("key"),
+                                                F.sum("tmult").cast("double").alias("weight"))
     ex = distinct.select("h1", "h2", F.explode("key").alias("e")).select(
         "h1", "h2", F.col("e.term").alias("term"), F.col("e.tf").alias("tf"))
     w = textfeat.tfidf(ex, vocab, ["h1", "h2"], sublinear=True).join(F.broadcast(vocab.select("term", "_i")), "term")
@@ -83,7 +88,8 @@ def _vectors(corpus: DataFrame, max_features: int):
     feats = distinct.join(m, ["h1", "h2"], "left").select(
         "h1", "h2", "weight", F.coalesce(F.size(F.map_keys("m")), F.lit(0)).alias("nnz"),
         array_to_vector(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), max(dim, 1))).otherwise(dense)).alias("features"))
-    return per_doc.select("number", "h1", "h2"), feats, dim
+    members = doc_text.select("number", "th1", "th2").join(per_text.select("th1", "th2", "h1", "h2"), ["th1", "th2"])
+    return members.select("number", "h1", "h2"), feats, dim
 
 
 def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
