@@ -42,10 +42,18 @@ def keyword_hits(text: Column, taxonomy: dict[str, list[str]] | None = None) ->
 
 
 def rule_category(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
-    """Category with most hits, earlier category on a tie; NULL if none."""
-    hits = keyword_hits(text, taxonomy)
-    best = F.array_max(F.transform(hits, lambda h: F.struct(
-        h["hits"].alias("hits"), (-h["pos"]).alias("neg_pos"), h["category"].alias("category"))))
+    """Category with most hits, earlier category on a tie; NULL if none.
+
+    ``greatest`` over (hits, -position, category) structs instead of a
+    lambda over an array: no higher-order function, so the projection stays
+    in whole-stage codegen and the cleaned text is computed once per row
+    (common subexpression), not once per category.
+    """
+    cleaned = clean_text(text)
+    cands = [F.struct(F.regexp_count(cleaned, F.lit(p)).alias("hits"), F.lit(-i).alias("neg_pos"),
+                      F.lit(cat).alias("category"))
+             for i, (cat, p) in enumerate(keyword_patterns(taxonomy).items())]
+    best = F.greatest(*cands) if len(cands) > 1 else cands[0]
     return F.when(best["hits"] > 0, best["category"])
 
 
@@ -133,15 +141,22 @@ def classify(tickets: DataFrame, taxonomy: dict[str, list[str]] | None = None,
     ``use_category_text=True`` first tries the keyword rules on the category
     string itself for rows outside the taxonomy (C7).
     """
-    t = tickets.withColumn("category_raw", F.col("category"))
-    needs = needs_classification(F.col("category"), taxonomy)
-    rule = rule_category(F.col("full_text"), taxonomy)
+    t = (tickets.withColumn("category_raw", F.col("category"))
+                .withColumn("_needs", needs_classification(F.col("category"), taxonomy)))
+    # The keyword rules read only the text: run the regexes once per distinct
+    # text of the rows that need a category, then join back on the text hash
+    # (AQE broadcasts the rule table when it is small at run time).
+    t, _ = textfeat.distinct_texts(t, "full_text")
+    rules = (t.where("_needs").groupBy("th1", "th2").agg(F.first("full_text").alias("_txt"))
+              .select("th1", "th2", rule_category(F.col("_txt"), taxonomy).alias("_rule_text")))
+    t = t.join(rules, ["th1", "th2"], "left")
+    rule = F.col("_rule_text")
     if use_category_text:
         rule = F.coalesce(rule_category(F.coalesce(F.col("category"), F.lit("")), taxonomy), rule)
     # The tagged tickets feed three branches (centroid fit, pending
-    # predictions, final projection): materialise them once so the keyword
-    # regexes and the upstream plan run a single time.
-    t = cut_lineage(t.withColumn("_needs", needs).withColumn("_rule", F.when(needs, rule)))
+    # predictions, final projection): materialise them once so the upstream
+    # plan runs a single time.
+    t = cut_lineage(t.withColumn("_rule", F.when(F.col("_needs"), rule)).drop("th1", "th2", "_rule_text"))
 
     vocab, centroids, labels = category_centroids(t, min_labeled, taxonomy=taxonomy, key=key)
     ready = labels.agg(F.count(F.lit(1)).alias("n_labels")).select((F.col("n_labels") > 0).alias("_ml_ready"))
