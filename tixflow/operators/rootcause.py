@@ -155,12 +155,17 @@ def rules_frame(spark, rules: list[tuple[list[str], str]] | None = None) -> Data
 def map_recommendations(keywords: DataFrame, key: str, rules: DataFrame, limit: int = 3) -> DataFrame:
     """(key, rank, recommendation): a rule fires when any trigger is a
     substring of any keyword (lower-cased); rule order kept, at most ``limit``.
-    The rule table is a fixed dozen rows: broadcast nested loop."""
-    j = keywords.crossJoin(F.broadcast(rules))
-    fires = F.exists("keywords", lambda kw: F.exists("triggers", lambda tr: F.lower(kw).contains(tr)))
+
+    The rule table is a fixed dozen rows (one row per trigger after the
+    explode): broadcast nested loop against one row per keyword, then one
+    row per (key, rule) that fired.  No nested lambdas."""
+    kw = keywords.select(key, F.explode("keywords").alias("_kw")).select(key, F.lower("_kw").alias("_kw"))
+    tr = rules.select("rule_id", "recommendation", F.explode("triggers").alias("_tr"))
+    fired = (kw.join(F.broadcast(tr), F.col("_kw").contains(F.col("_tr")))
+               .select(key, "rule_id", "recommendation").distinct())
     r = F.row_number().over(Window.partitionBy(key).orderBy("rule_id"))
-    return (j.where(fires).withColumn("rank", r).where(F.col("rank") <= limit)
-             .select(key, "rank", "rule_id", "recommendation"))
+    return (fired.withColumn("rank", r).where(F.col("rank") <= limit)
+                 .select(key, "rank", "rule_id", "recommendation"))
 
 
 def link_patterns(rc: DataFrame, patterns: DataFrame, labels: DataFrame | None = None) -> DataFrame:
