@@ -92,7 +92,12 @@ def candidate_pairs(w: DataFrame, threshold: float, margin: float = 1e-9) -> Dat
 def similar_pairs(w: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim) with a < b and round(cosine, 9) >= threshold."""
     cand = candidate_pairs(w, threshold)
-    vec = w.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
+    # Integer term ids keep the per-candidate maps small: the vocabulary is
+    # bounded (max_features rows), so one ordered window over it is cheap.
+    tid = (w.select("term").distinct()
+            .select("term", F.row_number().over(Window.orderBy("term")).cast("int").alias("_tid")))
+    vec = (w.join(F.broadcast(tid), "term")
+            .groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("_tid", "w"))).alias("m")))
     va = vec.select(F.col("vid").alias("a"), F.col("m").alias("ma"))
     vb = vec.select(F.col("vid").alias("b"), F.col("m").alias("mb"))
     j = cand.join(va, "a").join(vb, "b")
