@@ -442,9 +442,8 @@ _register_density("doc", doc_density, ["doc_id"])
 def clustered_tickets(spark, sf_dir):
     """Classified tickets with their density cluster id (materialised once)."""
     from tixflow.session import cut_lineage
-    t = cut_lineage(classified(spark, sf_dir))
     labels = tk_density(spark, sf_dir).labels
-    return cut_lineage(t.join(labels, "number"))
+    return cut_lineage(classified(spark, sf_dir).join(labels, "number"))
 
 
 def _sql_clusters(final: Callable[[str], str]) -> Callable[[], str]:
