@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tixflow.config import KEYWORD_MAX_FEATURES, PRIORITY_DIST_KEYS, STOP_WORDS
 from tixflow.functions.text import title_case, vectoriser_terms
+from tixflow.operators import textfeat
 
 RECURRENCE_BANDS = [
     (2.0, "Continuous / ongoing"),
@@ -38,21 +39,27 @@ def cluster_keywords(t: DataFrame, n: int = 6, key: str = "cluster_id", text_col
     then term descending.
     """
     c = _clustered(t, key)
-    d = c.select(key, id_col, vectoriser_terms(F.col(text_col), STOP_WORDS).alias("terms"))
-    n_c = c.groupBy(key).agg(F.count(F.lit(1)).alias("n_c"))
-    tf = (d.select(key, id_col, F.explode("terms").alias("term"))
-           .groupBy(key, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = tf.groupBy(key, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # One row per distinct (cluster, text), tokenised once; ``tmult`` tickets
+    # stand behind it, so counts, document frequencies and the mean score are
+    # weighted by it.
+    _, texts = textfeat.distinct_texts(c.select(key, text_col), text_col, extra_keys=[key])
+    tkeys = [key, "th1", "th2", "tmult"]
+    d = texts.select(*tkeys, vectoriser_terms(F.col("text"), STOP_WORDS).alias("terms"))
+    n_c = texts.groupBy(key).agg(F.sum("tmult").alias("n_c"))
+    tf = (d.select(*tkeys, F.explode("terms").alias("term"))
+           .groupBy(*tkeys, "term").agg(F.count(F.lit(1)).alias("tf")))
+    stats = tf.groupBy(key, "term").agg(F.sum(F.col("tf") * F.col("tmult")).alias("total"),
+                                        F.sum("tmult").alias("df"))
     vrank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("total").desc(), F.col("term").asc()))
     vocab = (stats.withColumn("_r", vrank).where(F.col("_r") <= max_features)
                   .join(n_c, key)
                   .select(key, "term", (F.log((1.0 + F.col("n_c")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
                           "n_c"))
-    w0 = tf.join(vocab, [key, "term"]).select(key, id_col, "term", "n_c",
+    w0 = tf.join(vocab, [key, "term"]).select(*tkeys, "term", "n_c",
                                               (F.col("tf") * F.col("idf")).alias("w0"))
-    norm = F.sqrt(F.sum(F.col("w0") * F.col("w0")).over(Window.partitionBy(key, id_col)))
-    w = w0.select(key, "term", "n_c", (F.col("w0") / norm).alias("w"))
-    score = w.groupBy(key, "term").agg((F.sum("w") / F.first("n_c")).alias("score"))
+    norm = F.sqrt(F.sum(F.col("w0") * F.col("w0")).over(Window.partitionBy(key, "th1", "th2")))
+    w = w0.select(key, "term", "n_c", "tmult", (F.col("w0") / norm).alias("w"))
+    score = w.groupBy(key, "term").agg((F.sum(F.col("w") * F.col("tmult")) / F.first("n_c")).alias("score"))
     score = score.withColumn("score", F.round("score", 9)).where(F.col("score") > 0)
     r = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("term").desc()))
     return score.withColumn("rank", r).where(F.col("rank") <= n).select(key, "rank", F.col("term").alias("keyword"), "score")
