@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tixflow.llm.common import ship_package
+from tixflow.llm.minhash_dedup import op1_minhash_dedup
 from tixflow.llm.packing import op7_packing
+from tixflow.llm.substring_dedup import op8_substring_dedup
 from tixflow.llm.token_counts import op5_token_counts
 
 
@@ -20,5 +22,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op5_token_counts, op7_packing)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op5_token_counts, op7_packing, op8_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
