@@ -37,7 +37,7 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, size, hash, gram): every distinct window of every item."""
     w = _words(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), "item").where("size(words) > 0")
     w = w.select("item", "words", F.least(F.size("words"), F.lit(window)).alias("size"))
-    at = w.select("item", "size", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
+    at = w.select("item", "size", "words", F.explode_outer(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
     gram = at.select("item", "size", F.slice("words", F.col("at") + 1, F.col("size")).alias("gram")).distinct()
     h = hashed(F.col("gram"))
     gram = gram.withColumn("h", h)
@@ -64,10 +64,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_g
     wins = [_windows(F.col("h"), n, k) for k in sorted(sizes)]
     none = F.slice(self_row, 1, 0)
     w = w.select("doc_id", "th", "words", F.concat(self_row, *(F.coalesce(x, none) for x in wins)).alias("wins"))
-    rows = w.select("doc_id", "th", "words", F.inline("wins"))
+    # outer, or the optimizer would compute the array once more to filter empty ones
+    rows = w.select("doc_id", "th", "words", F.inline_outer("wins"))
     hits = None
     for p in range(parts):
-        some = grams.where(F.pmod("hash", F.lit(parts)) == p).select("item", F.col("hash").alias("g_hash"), "gram")
+        some = (grams.where(F.pmod("hash", F.lit(parts)) == p) if parts > 1 else grams).select("item", F.col("hash").alias("g_hash"), "gram")
         got = rows if not p else rows.where("at >= 0")
         # the words are compared behind the join, for rows whose hash was found only
         verified = F.col("item").isNotNull() & (F.slice("words", F.greatest("at", F.lit(0)) + 1, "size") == F.col("gram"))
