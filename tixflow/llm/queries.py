@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tixflow.llm.common import ship_package
+from tixflow.llm.decontaminate import op9_decontamination
+from tixflow.llm.fingerprints import op2_fingerprints
 from tixflow.llm.minhash_dedup import op1_minhash_dedup
 from tixflow.llm.packing import op7_packing
+from tixflow.llm.quality import op3_quality_classifier
+from tixflow.llm.secrets import op6_secret_scans
 from tixflow.llm.substring_dedup import op8_substring_dedup
 from tixflow.llm.token_counts import op5_token_counts
 
@@ -22,5 +26,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op5_token_counts, op7_packing, op8_substring_dedup)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op5_token_counts, op6_secret_scans,
+                                              op7_packing, op8_substring_dedup, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
