@@ -199,6 +199,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
             .select("doc_id", "th", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(empty))
 
 
+def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with the document of the least id of every group; all columns stay."""
+    gone = near_duplicates(docs.select("doc_id", "text"), words).where("doc_id <> component_id").select(F.col("doc_id").alias("_k1"), F.col("th").alias("_k2")).distinct()
+    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_k1")) & (th == F.col("_k2")), "left_anti")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
     return d.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

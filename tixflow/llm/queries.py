@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tixflow.llm.common import ship_package
 from tixflow.llm.decontaminate import op9_decontamination
 from tixflow.llm.fingerprints import op2_fingerprints
+from tixflow.llm.line_dedup import op4_line_dedup
 from tixflow.llm.lm_scoring import op10_lm_scoring
 from tixflow.llm.minhash_dedup import op1_minhash_dedup
 from tixflow.llm.packing import op7_packing
@@ -27,6 +28,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op5_token_counts, op6_secret_scans,
+QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_secret_scans,
                                               op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
