@@ -34,14 +34,14 @@ STEP = 64  # range bounds are looked up in two steps of about this length
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Add the sorted array ``out`` of the hashes that ``text`` keeps."""
-    bound = -(1 << 63) + (1 << 64) // scale
+    last = -(1 << 63) + (1 << 64) // scale - 1
     cols = df.columns
     df = df.select(*cols, split_words(F.col(text), SPACE_WORDS).alias("_w"))
     df = df.select(*cols, hashed(F.col("_w")).alias("_h"))
-    last = F.greatest(F.size("_h") - k, F.lit(0))
-    grams = F.when(F.size("_h") > 0, F.transform(F.sequence(F.lit(0), last), lambda i: gram_hash(F.col("_h"), i, k)))
+    end = F.greatest(F.size("_h") - k, F.lit(0))
+    grams = F.when(F.size("_h") > 0, F.transform(F.sequence(F.lit(0), end), lambda i: gram_hash(F.col("_h"), i, k)))
     df = df.select(*cols, F.coalesce(grams, F.array().cast("array<bigint>")).alias("_g"))
-    df = df.select(*cols, F.array_min("_g").alias("_least"), F.filter("_g", lambda h: h < bound).alias("_f"))
+    df = df.select(*cols, F.array_min("_g").alias("_least"), F.filter("_g", lambda h: h <= last).alias("_f"))
     kept = F.when(F.size("_f") > 0, F.array_sort(F.array_distinct("_f"))).otherwise(F.filter(F.array("_least"), lambda h: h.isNotNull()))
     return df.select(*cols, kept.alias(out))
 
@@ -64,9 +64,9 @@ def containment(a: Column, b: Column) -> Column:
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Sketch of two texts' shingles together, from their sketches."""
-    bound = -(1 << 63) + (1 << 64) // scale
+    last = -(1 << 63) + (1 << 64) // scale - 1
     both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < bound)
+    low = F.filter(both, lambda h: h <= last)
     return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
