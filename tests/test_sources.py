@@ -3,9 +3,12 @@
 import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tixflow.operators.normalize import normalize
+from tixflow.sources.filters import trailing_window
 from tixflow.sources.files import read_csv, read_json, write_csv, write_report_json
 from tixflow.streaming.pages import current_tickets, start_page_stream
 
@@ -81,3 +84,66 @@ def test_stream_equals_batch(spark, tmp_dir):
     batch = normalize(read_json(spark, src), "2024-01-01 00:00:00")
     cols = ["number", "short_description", "state", "priority"]
     assert sorted(streamed.select(cols).collect()) == sorted(batch.select(cols).collect())
+
+
+def test_file_names_with_special_characters(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "odd")
+    os.makedirs(d)
+    _write(os.path.join(d, "a+b c%20.csv"), "number,title\nINC1,x\nINC2,y\n")
+    _write(os.path.join(d, "c.csv"), "number,title\nINC1,z\n")
+    t = {r["number"]: r["short_description"] for r in normalize(read_csv(spark, d)).collect()}
+    assert t == {"INC1": "z", "INC2": "y"}
+
+
+def test_repeated_and_case_variant_headers(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "r.csv"), "Number,number,title,title,Priority,priority\nINC1,other,first,second,1,4\n")
+    r = normalize(read_csv(spark, os.path.join(tmp_dir, "r.csv"))).collect()
+    assert [(x["number"], x["short_description"], x["priority"]) for x in r] == [("INC1", "first", "P1")]
+    clash = spark.createDataFrame([("INC1", "1", "4")], "number string, Priority string, x string").toDF("number", "Priority", "priority")
+    assert normalize(clash).first()["priority"] == "P1"
+
+
+def test_split_files_and_empty_files(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "split")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.csv"), "number,title\n" + "".join(f"INC{i % 50},v{i}\n" for i in range(500)))
+    _write(os.path.join(d, "b.csv"), "")
+    t = {r["number"]: r["short_description"] for r in normalize(read_csv(spark, d, multi_line=False)).collect()}
+    assert t == {f"INC{i % 50}": f"v{i}" for i in range(450, 500)}
+
+
+def test_corrupt_json_raises(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "bad")
+    os.makedirs(d)
+    _write(os.path.join(d, "p0.json"), json.dumps({"result": [{"number": "INC1"}]}))
+    _write(os.path.join(d, "p1.json"), '{"result": [{"number": "INC2"}, {"numb')
+    with pytest.raises(Exception, match="(?i)malformed|corrupt|parse"):
+        read_json(spark, d).collect()
+
+
+def test_pages_without_records(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "p.json"), json.dumps({"result": []}))
+    t = normalize(read_json(spark, os.path.join(tmp_dir, "p.json")))
+    assert t.count() == 0 and "full_text" in t.columns
+
+
+def test_stream_keeps_the_last_version_of_a_ticket(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "versions")
+    os.makedirs(src)
+    for i in range(1, 7):
+        p = os.path.join(src, f"page{i}.json")
+        _write(p, json.dumps({"result": [{"number": "INC1", "state": str(i)}]}))
+        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["number", "state"]])
+    start_page_stream(spark, src, schema, os.path.join(tmp_dir, "vlog"), os.path.join(tmp_dir, "vckpt"),
+                      available_now=True).awaitTermination(120)
+    streamed = current_tickets(spark, os.path.join(tmp_dir, "vlog")).collect()
+    batch = normalize(read_json(spark, src)).collect()
+    assert [r["state"] for r in streamed] == [r["state"] for r in batch] == ["Cancelled"]
+
+
+def test_trailing_window_parses_text_and_aliases(spark):
+    raw = spark.createDataFrame([("INC1", "05/01/2024 10:00", "a"), ("INC2", "2024-01-04 10:00:00", "b"), ("INC3", "2023-01-04", "a"), ("INC4", "junk", "a")],
+                                "number string, Created string, urgency string")
+    assert {r["number"] for r in trailing_window(raw, 7, "2024-01-08 00:00:00").collect()} == {"INC1", "INC2"}
+    assert {r["number"] for r in trailing_window(raw, 3650, "2024-06-01 00:00:00", [F.col("urgency") != "b"]).collect()} == {"INC1", "INC3"}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,18 +40,26 @@ def empty_tickets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], canonical_schema())
 
 
-def rename_aliases(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """N1 + N2: alias headers case-insensitively; on a name clash keep the first."""
+def rename_aliases(raw: DataFrame, aliases: dict[str, str] | None = None,
+                   names: list[str] | None = None) -> DataFrame:
+    """N1 + N2: alias headers case-insensitively; on a name clash keep the first.
+
+    Columns are taken by position, so repeated or case-variant headers are
+    no ambiguity.  ``names``: the headers, where the frame's own differ.
+    """
     table = COLUMN_ALIASES if aliases is None else aliases
+    canonical = {n.lower(): n for n in [*REQUIRED_NAMES, ORD]}
     seen: set[str] = set()
     cols: list[Column] = []
-    for name in raw.columns:
+    by_position = raw.toDF(*[f"_p{i}" for i in range(len(raw.columns))])
+    for i, name in enumerate(raw.columns if names is None else names):
         target = table.get(name.lower().strip(), name)
-        if target in seen:
+        target = canonical.get(target.lower(), target)
+        if target.lower() in seen:
             continue
-        seen.add(target)
-        cols.append(F.col(f"`{name}`").alias(target))
-    return raw.select(*cols)
+        seen.add(target.lower())
+        cols.append(F.col(f"_p{i}").alias(target))
+    return by_position.select(*cols)
 
 
 def priority_expr(c: Column, mapping: dict[str, str] | None = None) -> Column:
@@ -139,7 +147,7 @@ def normalize(raw: DataFrame, as_of: datetime | str | None = None, *,
         F.when(mttr > 0, mttr).alias("mttr_hours"),
         age.alias("age_hours"),
         *[F.col(f"`{c}`") for c in extras],
-        F.col(ORD).cast("long").alias(ORD),
+        F.col(ORD),
     )
     if not had_record_type and compat_record_type:
         df = df.withColumn("record_type", F.lit("Incident"))
@@ -149,13 +157,9 @@ def normalize(raw: DataFrame, as_of: datetime | str | None = None, *,
 def dedupe_keep_last(df: DataFrame, key: str = "number") -> DataFrame:
     """One row per ``key``, the one with the largest ``ingest_ord``.
 
-    An aggregation (``max_by`` over a struct of the row) instead of a
-    ``row_number`` window: the partial aggregate collapses copies map-side,
-    so a key holding a large share of the rows (e.g. NULL numbers) never
-    lands whole in one task.
+    ``row_number() = 1`` prunes unused columns and runs as a group limit before
+    and after the shuffle, so of a key that holds a large share of the rows
+    (e.g. NULL numbers) every task sends one row.
     """
-    cols = df.columns
-    packed = F.struct(*[F.col(f"`{c}`") for c in cols])
-    return (df.groupBy(key)
-              .agg(F.max_by(packed, F.col(ORD)).alias("_row"))
-              .select(*[F.col("_row").getField(c).alias(c) for c in cols]))
+    latest = Window.partitionBy(key).orderBy(F.col(ORD).desc())
+    return df.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn")

@@ -1,34 +1,34 @@
 """File sources and sinks.
 
-* CSV: a file, a folder (``*.csv``, not recursive) or a glob.  Files are
-  grouped by their header line and each group is one all-string
-  ``spark.read.csv`` (a single read of mixed headers would apply the first
-  header to every file by position).  Aliases are applied per group, then the
-  groups are unioned by name.  Files that are not valid UTF-8 are re-read as
-  ISO-8859-1.  ``na_tokens`` become NULL after the read.
+* CSV: a file, a folder (``*.csv``, not recursive) or a glob.  One distributed
+  pass finds every file's header line and whether its bytes are valid UTF-8.
+  Files are grouped by header and encoding, and each group is one all-string
+  ``spark.read.csv`` with columns by position, so repeated or case-variant
+  headers keep the first column.  Files that are not valid UTF-8 are read as
+  ISO-8859-1.  The groups are unioned by name; ``na_tokens`` become NULL.
 * JSON: an array of records or an envelope ``{"result": [...]}``; nested
   objects are flattened to dotted column names.  A folder of landed API
-  pages (one envelope per file, empty pages allowed) is the same read.
-* ``ingest_ord``: file rank (sorted path) in the high bits, row position in
-  the file in the low bits, so "keep last" means the last row of the last
-  file, as in a concatenation.
+  pages (one envelope per file, empty pages allowed) is the same read.  A
+  corrupt file raises unless another ``mode`` is asked for.
+* ``ingest_ord`` is a struct that orders rows: (file, block, position) for CSV,
+  as in a concatenation of the sorted files, and (modification time, file,
+  position) for landed pages, the same in batch and in the stream.
 
-Only file names and header lines are read on the driver.
+Only the list of files with their header lines is held on the driver.
 """
 
 from __future__ import annotations
 
-import re
+import csv
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tixflow.config import NA_TOKENS
 from tixflow.operators.normalize import rename_aliases
 
-FILE_BITS = 40
-
 
 def _jvm_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -55,38 +55,32 @@ def list_files(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str
     return sorted(files)
 
 
-def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
-    jvm, fs, p = _jvm_fs(spark, path)
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
-        return reader.readLine() or ""
-    finally:
-        stream.close()
-
+def file_facts(spark: SparkSession, files: list[str]) -> dict[str, tuple[bytes, bool]]:
+    """S3: per non-empty file its first line and whether all its bytes are valid UTF-8.
 
-def utf8_validity(spark: SparkSession, files: list[str]) -> dict[str, bool]:
-    """S3: per file, whether its bytes are valid UTF-8 (checked on executors)."""
-    rows = (spark.read.format("binaryFile").load(files)
-                 .select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("ok"))
-                 .collect())  # one boolean per file
-    return {r["path"]: bool(r["ok"]) for r in rows}
+    Read line by line on the executors; one row per file comes back.
+    """
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), "value")
+    rows = lines.groupBy("file").agg(
+        F.min(F.struct("block", "pos", "value")).alias("first"),
+        F.min(F.is_valid_utf8("value")).alias("ok")).select(
+        "file", F.col("first.value").cast("binary").alias("header"), "ok").collect()
+    # The metadata path is percent-encoded, the listed one is not ("+" is itself in both).
+    return {unquote(r["file"]): (bytes(r["header"]), r["ok"]) for r in rows}
 
 
-def _file_key(path: str) -> str:
-    # Same text for a listed path and for input_file_name(): no scheme prefix.
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)
+def file_order() -> Column:
+    """Order of rows as in the concatenation of the sorted files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("pos"))
 
 
-def _with_ord(df: DataFrame, file_rank: dict[str, int]) -> DataFrame:
-    spark = df.sparkSession
-    ranks = spark.createDataFrame([(_file_key(f), r) for f, r in file_rank.items()], "_file string, _rank long")
-    file_col = F.regexp_replace(F.url_decode(F.input_file_name()), r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
-    d = df.withColumn("_file", file_col).withColumn("_mid", F.monotonically_increasing_id())
-    first = d.groupBy("_file").agg(F.min("_mid").alias("_m0"))  # one row per file
-    return (d.join(F.broadcast(first), "_file").join(F.broadcast(ranks), "_file")
-             .withColumn("ingest_ord", F.shiftleft(F.col("_rank"), FILE_BITS) + F.col("_mid") - F.col("_m0"))
-             .drop("_file", "_mid", "_m0", "_rank"))
+def page_order(pos: Column) -> Column:
+    """Order of records of landed pages: later files win, then later records."""
+    return F.struct(F.col("_metadata.file_modification_time").alias("modified"),
+                    F.col("_metadata.file_path").alias("file"), pos.cast("long").alias("pos"))
 
 
 def _na_to_null(df: DataFrame, tokens: list[str] | None) -> DataFrame:
@@ -97,34 +91,45 @@ def _na_to_null(df: DataFrame, tokens: list[str] | None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8",
-             na_tokens: list[str] | None = NA_TOKENS, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Raw tickets from CSV exports with canonical column names and ``ingest_ord``."""
+             na_tokens: list[str] | None = NA_TOKENS, aliases: dict[str, str] | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """Raw tickets from CSV exports with canonical column names and ``ingest_ord``.
+
+    ``multi_line=False`` lets Spark split large files; quoted line breaks are
+    then not supported.
+    """
     files = list_files(spark, path, ".csv")
-    valid = utf8_validity(spark, files) if encoding.lower().replace("-", "") == "utf8" else {}
-    rank = {f: i for i, f in enumerate(files)}
-    groups: dict[tuple[str, str], list[str]] = {}
+    facts = file_facts(spark, files)
+    utf8 = encoding.lower().replace("-", "") == "utf8"
+    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
     for f in files:
-        enc = encoding if valid.get(f, True) else "ISO-8859-1"
-        groups.setdefault((_first_line(spark, f, enc), enc), []).append(f)
+        header, ok = facts.get(f, (b"", True))
+        enc = "ISO-8859-1" if utf8 and not ok else encoding
+        names = next(csv.reader([header.decode(enc, "replace").removeprefix("\ufeff")]), [])
+        if names:  # an empty file has no rows
+            groups.setdefault((tuple(names), enc), []).append(f)
     frames = []
-    for (_, enc), fs in groups.items():
-        raw = spark.read.csv(fs, header=True, multiLine=True, quote='"', escape='"', encoding=enc,
-                             inferSchema=False, mode="PERMISSIVE")
-        raw = _with_ord(raw, {f: rank[f] for f in fs})
-        frames.append(rename_aliases(raw, aliases))
+    for (names, enc), fs in groups.items():
+        by_position = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(by_position).csv(fs, header=True, enforceSchema=True, multiLine=multi_line,
+                                                 quote='"', escape='"', encoding=enc, mode="PERMISSIVE")
+        raw = raw.select(*by_position.names, file_order().alias("ingest_ord"))
+        frames.append(rename_aliases(raw, aliases, [*names, "ingest_ord"]))
+    if not frames:
+        return spark.createDataFrame([], "number string")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return _na_to_null(out, na_tokens)
 
 
-def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
-    """Nested structs -> dotted top-level columns (arrays kept as they are)."""
+def flatten(df: DataFrame, sep: str = ".", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nested structs -> dotted top-level columns (arrays, and ``keep``, as they are)."""
     def walk(dtype: T.StructType, prefix: list[str]) -> list[Column]:
         cols = []
         for f in dtype.fields:
             path = prefix + [f.name]
-            if isinstance(f.dataType, T.StructType):
+            if isinstance(f.dataType, T.StructType) and path[0] not in keep:
                 cols += walk(f.dataType, path)
             else:
                 ref = F.col(".".join(f"`{p}`" for p in path))
@@ -133,25 +138,25 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, []))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S4 + S5 + S6: records from a JSON array, an envelope, or a folder of pages."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              mode: str = "FAILFAST") -> DataFrame:
+    """S4 + S5 + S6: records from a JSON array, an envelope, or a folder of pages.
+
+    Pages without any record give an empty frame.
+    """
+    reader = spark.read.option("multiLine", True).option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
     raw = reader.json(path)
     if "result" in raw.columns and isinstance(raw.schema["result"].dataType, T.ArrayType):
-        elem = raw.schema["result"].dataType.elementType
-        d = raw.withColumn("_file", F.input_file_name()).select("_file", F.posexplode("result").alias("_pos", "r"))
-        if isinstance(elem, T.StructType):
-            d = d.select("_file", "_pos", "r.*")
-        ranks = d.select("_file").distinct().withColumn(  # one row per file
-            "_rank", F.dense_rank().over(Window.orderBy("_file")))
-        d = d.join(ranks, "_file").withColumn(
-            "ingest_ord", F.shiftleft(F.col("_rank").cast("long"), FILE_BITS) + F.col("_pos")).drop("_file", "_pos", "_rank")
+        if not isinstance(raw.schema["result"].dataType.elementType, T.StructType):
+            return spark.createDataFrame([], "number string")
+        d = raw.select(F.col("_metadata"), F.posexplode("result").alias("_pos", "r"))
+        d = d.select("r.*", page_order(F.col("_pos")).alias("ingest_ord"))
     else:
-        d = raw.withColumn("ingest_ord", F.monotonically_increasing_id())
+        d = raw.select("*", page_order(F.monotonically_increasing_id()).alias("ingest_ord"))
     cols = [c for c in d.columns if c != "_corrupt_record"]
-    return flatten(d.select(*cols))
+    return flatten(d.select(*cols), keep=("ingest_ord",))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

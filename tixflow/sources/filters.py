@@ -8,25 +8,27 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tixflow.functions.time import as_of_literal
+from tixflow.functions.time import as_of_literal, parse_timestamp
+from tixflow.operators.normalize import rename_aliases
 
 
 def trailing_window(raw: DataFrame, days: int, as_of: datetime | str | None = None,
-                    filters: list[tuple[str, str]] | None = None,
-                    ts_col: str = "opened_at") -> DataFrame:
-    """Rows opened within ``days`` before ``as_of`` and matching every
-    ``(column, value)`` equality (the reference joins them with ``^``)."""
+                    filters: list[tuple[str, str] | Column] | None = None,
+                    ts_col: str = "opened_at", timestamp_formats: list[str] | None = None) -> DataFrame:
+    """Rows opened within ``days`` before ``as_of`` that meet every filter.
+
+    A filter is a ``(column, value)`` equality or any boolean column.  Headers
+    are resolved to canonical names first, and text timestamps are parsed in
+    the same formats as in ``normalize``.
+    """
+    raw = rename_aliases(raw)
     since = F.timestamp_add("DAY", F.lit(-int(days)), as_of_literal(as_of))
-    ts = F.col(ts_col)
-    dtype = raw.schema[ts_col].dataType.simpleString()
-    if dtype not in ("timestamp_ntz", "timestamp", "date"):
-        ts = F.try_to_timestamp(ts.cast("string")).cast("timestamp_ntz")
-    out = raw.where(ts >= since)
-    for col, value in filters or []:
-        out = out.where(F.col(col) == F.lit(value))
+    out = raw.where(parse_timestamp(F.col(ts_col), raw.schema[ts_col].dataType, timestamp_formats) >= since)
+    for f in filters or []:
+        out = out.where(F.col(f[0]) == F.lit(f[1]) if isinstance(f, tuple) else f)
     return out
 
 

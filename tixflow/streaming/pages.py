@@ -7,8 +7,9 @@ appended to a Parquet ticket log with a checkpoint for exactly-once file
 tracking.  ``current_tickets`` reads the log and keeps the latest row per
 ticket number (the batch dedupe operator).
 
-``ingest_ord`` of a streamed row is its batch time in seconds (later batches
-win), then a page-file hash and the position in the page break ties.
+``ingest_ord`` of a streamed row is (modification time, file, position), as in
+the batch read, so the latest version of a ticket is the same in both however
+the pages fall into micro-batches.  A corrupt page fails the query.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tixflow.operators.normalize import dedupe_keep_last, normalize
-from tixflow.sources.files import flatten
+from tixflow.sources.files import flatten, page_order
 
 
 def page_schema(record: T.StructType) -> T.StructType:
@@ -30,19 +31,15 @@ def page_schema(record: T.StructType) -> T.StructType:
 
 def page_records(stream: DataFrame) -> DataFrame:
     """Explode the envelopes of a (streaming) page frame into flat records."""
-    d = stream.select(F.input_file_name().alias("_file"), F.posexplode("result").alias("_pos", "r"))
-    d = d.select("_file", "_pos", "r.*")
-    # batch second << 32 | page-file hash (12 bits) << 20 | position (20 bits)
-    order = (F.unix_seconds(F.current_timestamp()) * F.lit(1 << 32)
-             + (F.abs(F.xxhash64("_file")) % F.lit(1 << 12)) * F.lit(1 << 20) + F.col("_pos") % F.lit(1 << 20))
-    return flatten(d.withColumn("ingest_ord", order).drop("_file", "_pos"))
+    d = stream.select(F.col("_metadata"), F.posexplode("result").alias("_pos", "r"))
+    return flatten(d.select("r.*", page_order(F.col("_pos")).alias("ingest_ord")), keep=("ingest_ord",))
 
 
 def start_page_stream(spark: SparkSession, source_dir: str, record_schema: T.StructType, log_path: str,
                       checkpoint_path: str, as_of: datetime | str | None = None,
                       available_now: bool = False) -> StreamingQuery:
     """Start the ingest query; ``available_now=True`` processes what is there and stops."""
-    pages = (spark.readStream.schema(page_schema(record_schema)).option("multiLine", True)
+    pages = (spark.readStream.schema(page_schema(record_schema)).option("multiLine", True).option("mode", "FAILFAST")
                   .json(source_dir))
     tickets = normalize(page_records(pages), as_of, dedupe=False)
     writer = (tickets.writeStream.format("parquet").option("path", log_path)
