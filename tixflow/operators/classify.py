@@ -122,8 +122,8 @@ def nearest_centroid(docs: DataFrame, vocab: DataFrame, centroids: DataFrame,
              .groupBy(*tkeys, "category").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
              .join(F.broadcast(cnorm), "category")
              .select(*tkeys, "category", "label_ord", (F.col("dot") / F.col("cn")).alias("sim")))
-    best = sims.groupBy(*tkeys).agg(F.max_by(F.struct("category", "sim"),
-                                             F.struct(F.col("sim"), -F.col("label_ord"))).alias("b"))
+    best = sims.groupBy(*tkeys).agg(F.min_by(F.struct("category", "sim"),
+                                             F.struct(-F.col("sim"), F.col("label_ord"))).alias("b"))
     out = doc_text.select(key, *tkeys).join(best, tkeys, "left")
     sim = F.coalesce(F.col("b.sim"), F.lit(0.0))
     return out.select(key, F.when(sim >= min_similarity, F.col("b.category")).otherwise(F.lit("Other"))
@@ -162,7 +162,9 @@ def classify(tickets: DataFrame, taxonomy: dict[str, list[str]] | None = None,
     ready = labels.agg(F.count(F.lit(1)).alias("n_labels")).select((F.col("n_labels") > 0).alias("_ml_ready"))
     pending = t.where(F.col("_needs") & F.col("_rule").isNull())
     pred = nearest_centroid(pending, vocab, centroids, labels, key=key)
-    t = t.join(pred, key, "left").crossJoin(F.broadcast(ready))
+    # Null-safe: the dedupe keeps one row without a number.
+    pred = pred.withColumnRenamed(key, "_key")
+    t = t.join(pred, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").crossJoin(F.broadcast(ready))
 
     cat = (F.when(~F.col("_needs"), strip_ws(F.col("category")))
             .when(F.col("_rule").isNotNull(), F.col("_rule"))

@@ -9,6 +9,7 @@ from tixflow.config import AGED_HOURS, MTTR_SLA_HOURS, OPEN_STATES
 from tixflow.functions.lookup import lookup
 from tixflow.functions.text import strip_ws
 from tixflow.operators.stats import exact_median
+from tixflow.session import cut_lineage
 
 
 def is_open(states: list[str] | None = None) -> Column:
@@ -87,8 +88,8 @@ def mttr_by_priority(t: DataFrame, sla: dict[str, int] | None = None) -> DataFra
     target (no target -> never breached).
     """
     targets = MTTR_SLA_HOURS if sla is None else sla
-    v = t.where(F.col("priority").isin(list(targets)) & F.col("mttr_hours").isNotNull()) \
-         .select("priority", "mttr_hours")
+    v = cut_lineage(t.where(F.col("priority").isin(list(targets)) & F.col("mttr_hours").isNotNull()) \
+         .select("priority", "mttr_hours"))
     sla_col = lookup(F.col("priority"), {k: str(x) for k, x in targets.items()}).cast("int")
     agg = v.groupBy("priority").agg(
         F.avg("mttr_hours").alias("avg_mttr"),

@@ -137,6 +137,12 @@ def root_cause_summary(rc_corpus: DataFrame, links: DataFrame, spark: SparkSessi
     return ranked, rc_recs
 
 
+def with_labels(t: DataFrame, labels: DataFrame, key: str = "number") -> DataFrame:
+    """``t`` with ``cluster_id``; null-safe, so the ticket without a number keeps its row."""
+    lab = labels.select(F.col(key).alias("_key"), "cluster_id")
+    return t.join(lab, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def run_report(tickets: DataFrame, as_of: datetime | str | None = None, *, with_root_causes: bool = True,
                generated_at: str | None = None) -> Report:
     """Classify -> recurring patterns -> root causes -> metrics, health, advice.
@@ -147,7 +153,7 @@ def run_report(tickets: DataFrame, as_of: datetime | str | None = None, *, with_
     spark = tickets.sparkSession
     t = cut_lineage(C.classify(tickets))
     dens = density_clusters(t, ["number"], "ingest_ord")
-    t = cut_lineage(t.join(dens.labels, "number"))
+    t = cut_lineage(with_labels(t, dens.labels))
     patterns = cut_lineage(CL.cluster_summary(t))
     n_patterns = patterns.agg(F.count(F.lit(1)).alias("n_patterns"))
     mttr = M.mttr_by_priority(t)

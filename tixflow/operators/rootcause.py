@@ -92,9 +92,15 @@ def _vectors(corpus: DataFrame, max_features: int):
     return members.select("number", "h1", "h2"), feats, dim
 
 
+def _labelled(corpus: DataFrame, labels: DataFrame) -> DataFrame:
+    """Null-safe on the number: the dedupe keeps one ticket without one."""
+    lab = labels.select(F.col("number").alias("_key"), "rc_cluster")
+    return corpus.join(lab, F.col("number").eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
                         max_features: int = ROOT_CAUSE_MAX_FEATURES, seed: int = 42,
-                        starts: int = 3, max_iter: int = 300, tol: float = 1e-4) -> RootCauseResult:
+                        starts: int = 10, max_iter: int = 300, tol: float = 1e-4) -> RootCauseResult:
     """TF-IDF of the resolution corpus, k chosen by cosine silhouette.
 
     k runs over 2..min(max_clusters, n-1, 10); the first k with the best
@@ -108,6 +114,11 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
     members, feats, dim = _vectors(corpus, max_features)
     feats = cut_lineage(feats)
     n_distinct = feats.count()
+    if dim == 0 or feats.where("nnz > 0").limit(1).count() == 0:
+        # Stop words only: no vocabulary, no root causes.
+        return RootCauseResult(corpus.limit(0).withColumn("rc_cluster", F.lit(None).cast("int")), 0, None, [])
+    if n_distinct == 1:  # one vector is one cluster; there is nothing to fit
+        return RootCauseResult(corpus.withColumn("rc_cluster", F.lit(0)), 1, None, [])
 
     def fit(k: int):
         best = None
@@ -121,28 +132,28 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
         return best[1]
 
     scores: list[tuple[int, float]] = []
-    best_k, best_score = 3, -1.0
+    best_k, best_score, model = 3, -1.0, None
     max_k = min(max_clusters, n - 1, 10)
     if n >= 6:
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="rc_cluster", weightCol="weight",
                                  metricName="silhouette", distanceMeasure="cosine")
         nonzero = feats.where(F.col("nnz") > 0)  # cosine silhouette is undefined for zero vectors
-        for k in range(2, max_k + 1):
-            if k > n_distinct:
-                break
-            pred = fit(k).transform(nonzero)
+        for k in range(2, min(max_k, n_distinct) + 1):
+            fitted = fit(k)
+            pred = fitted.transform(nonzero)
             if pred.select("rc_cluster").distinct().limit(2).count() < 2:
                 continue
             score = float(ev.evaluate(pred))
             scores.append((k, score))
             if score > best_score:
-                best_score, best_k = score, k
+                best_score, best_k, model = score, k, fitted
     else:
         best_k = 2
-    best_k = max(1, min(best_k, n_distinct))
-    model = fit(best_k)
+    if model is None:
+        best_k = min(best_k, n_distinct)
+        model = fit(best_k)
     pred = model.transform(feats).select("h1", "h2", F.col("rc_cluster").cast("int").alias("rc_cluster"))
-    labelled = corpus.join(members.join(pred, ["h1", "h2"]).select("number", "rc_cluster"), "number")
+    labelled = _labelled(corpus, members.join(pred, ["h1", "h2"]))
     return RootCauseResult(cut_lineage(labelled), best_k, best_score if scores else None, scores)
 
 
@@ -173,8 +184,8 @@ def link_patterns(rc: DataFrame, patterns: DataFrame, labels: DataFrame | None =
 
     ``rc``: (number, rc_cluster); ``patterns``: (number, cluster_id).
     Equi-join on the ticket number, then a count per pair."""
-    p = patterns.where(F.col("cluster_id") >= 0).select("number", F.col("cluster_id").alias("pattern_id"))
-    out = (rc.select("number", "rc_cluster").join(p, "number")
+    p = patterns.where(F.col("cluster_id") >= 0).select(F.col("number").alias("_key"), F.col("cluster_id").alias("pattern_id"))
+    out = (rc.select("number", "rc_cluster").join(p, F.col("number").eqNullSafe(F.col("_key")))
              .groupBy("rc_cluster", "pattern_id").agg(F.count(F.lit(1)).alias("shared_tickets")))
     if labels is not None:
         out = out.join(labels.select(F.col("cluster_id").alias("pattern_id"), F.col("label").alias("pattern_label")),

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tixflow.session import cut_lineage
+
 
 def _bracketed(v: DataFrame, keys: list[str], accuracy: int, width: float) -> DataFrame:
     lo_p = max(0.0, 0.5 - width)
@@ -41,18 +43,18 @@ def _bracketed(v: DataFrame, keys: list[str], accuracy: int, width: float) -> Da
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 accuracy: int = 200_000, verify: bool = False) -> DataFrame:
+                 accuracy: int = 200_000, verify: bool = True) -> DataFrame:
     """Per-group interpolating median of ``value`` (NULLs ignored).
 
     Groups with no non-NULL value are absent from the result.  The sketch's
     rank error is at most n / accuracy, and the bracket is four times that
-    wide; ``verify=True`` additionally checks every group (one extra pass)
-    and widens the bracket if one missed.
+    wide.  Every group is checked; if one missed, the bracket is widened.
+    The keys and values are materialised once for all passes.
     """
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    v = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
     width = 4.0 / accuracy
     while True:
-        res = _bracketed(v, keys, accuracy, width)
+        res = cut_lineage(_bracketed(v, keys, accuracy, width))  # one row per group
         if not verify or width >= 0.5:
             break
         # Cheap completeness check: one scalar back to the driver.

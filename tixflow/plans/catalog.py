@@ -271,7 +271,7 @@ def _sql_pattern_tfidf(final: str) -> Callable[[], str]:
     def build() -> str:
         s = O.Sql()
         t = O.tickets(s)
-        O.tfidf_ctes(s, "pt", t, ["number"], O.pattern_terms("full_text"), TFIDF_MAX_FEATURES, 2)
+        O.tfidf_ctes(s, "pt", t, ["number"], O.pattern_tokens("full_text"), TFIDF_MAX_FEATURES, 2)
         return s.select(final)
     return build
 
@@ -441,9 +441,10 @@ _register_density("doc", doc_density, ["doc_id"])
 @memo
 def clustered_tickets(spark, sf_dir):
     """Classified tickets with their density cluster id (materialised once)."""
+    from tixflow.operators.report import with_labels
     from tixflow.session import cut_lineage
     labels = tk_density(spark, sf_dir).labels
-    return cut_lineage(classified(spark, sf_dir).join(labels, "number"))
+    return cut_lineage(with_labels(classified(spark, sf_dir), labels))
 
 
 def _sql_clusters(final: Callable[[str], str]) -> Callable[[], str]:
