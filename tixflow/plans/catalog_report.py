@@ -251,9 +251,9 @@ SIMILAR_QUERY = "wireless connectivity lost at the branch office"
 def _sql_find_similar() -> str:
     s = O.Sql()
     t = O.tickets(s)
-    O.tfidf_ctes(s, "pt", t, ["number"], O.pattern_terms("full_text"), TFIDF_MAX_FEATURES, 2)
+    O.tfidf_ctes(s, "pt", t, ["number"], O.pattern_tokens("full_text"), TFIDF_MAX_FEATURES, 2)
     s.add("qd", f"SELECT 'q' AS qid, {O.q(SIMILAR_QUERY)} AS txt")
-    O.transform_ctes(s, "qv", "pt_vocab", "qd", ["qid"], O.pattern_terms("txt"))
+    O.transform_ctes(s, "qv", "pt_vocab", "qd", ["qid"], O.pattern_tokens("txt"))
     s.add("sc", "SELECT w.number, sum(w.w * q.w) AS score FROM pt_w w JOIN qv_w q USING (term) GROUP BY w.number")
     return s.select(f"SELECT t.number, round(coalesce(sc.score, 0.0), 6) AS similarity_score FROM {t} t "
                     f"LEFT JOIN sc USING (number) ORDER BY round(coalesce(sc.score, 0.0), 9) DESC, t.ingest_ord ASC LIMIT 10")

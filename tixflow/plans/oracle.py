@@ -12,7 +12,6 @@ from tixflow.config import (CATEGORY_KEYWORDS, CLASSIFIER_MIN_LABELED,
                             CLASSIFIER_MIN_SIMILARITY, MTTR_SLA_HOURS,
                             OPEN_STATES, PRIORITY_MAP, STATE_MAP, STOP_WORDS,
                             TFIDF_MAX_FEATURES)
-from tixflow.operators.classify import keyword_patterns
 from tixflow.plans.fixtures import AS_OF, TEMPLATES
 
 
@@ -62,9 +61,9 @@ def tokens_unicode(x: str) -> str:
 
 
 def ngrams(toks: str) -> str:
-    return (f"list_concat({toks}, CASE WHEN len({toks}) >= 2 THEN "
-            f"list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1]) "
-            f"ELSE []::VARCHAR[] END)")
+    # Neighbours are zipped outside any lambda: inside one the token list would be computed per token.
+    return (f"list_concat({toks}, list_transform(list_zip(({toks})[1:len({toks}) - 1], ({toks})[2:len({toks})]), "
+            f"lambda p: p[1] || ' ' || p[2]))")
 
 
 HOURS = "(date_diff('microsecond', {a}, {b}) / 3600000000.0)"
@@ -87,7 +86,9 @@ class Sql:
         return self
 
     def select(self, final: str) -> str:
-        withs = ",\n".join(f"{n} AS (\n{b}\n)" for n, b in self.ctes.items())
+        # Text tables that several later tables read are computed once.
+        once = ("_toks", "_terms", "_tf", "_vocab", "_w", "_mem", "_vec", "_vw", "_pairs", "_core")
+        withs = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith(once) else ''}(\n{b}\n)" for n, b in self.ctes.items())
         rec = "RECURSIVE " if self.recursive else ""
         return f"WITH {rec}{withs}\n{final}"
 
@@ -191,11 +192,12 @@ def tickets(s: Sql, variant: str = "base") -> str:
 # Text features
 # ---------------------------------------------------------------------------
 
-def tfidf_ctes(s: Sql, prefix: str, docs: str, id_cols: list[str], terms_expr: str,
+def tfidf_ctes(s: Sql, prefix: str, docs: str, id_cols: list[str], toks_expr: str,
                max_features: int | None, min_df: int, sublinear: bool = True) -> None:
     """Registers {prefix}_tf, {prefix}_vocab, {prefix}_w (id..., term, w)."""
     ids = ", ".join(id_cols)
-    s.add(f"{prefix}_terms", f"SELECT {ids}, {terms_expr} AS terms FROM {docs}")
+    s.add(f"{prefix}_toks", f"SELECT {ids}, {toks_expr} AS toks FROM {docs}")
+    s.add(f"{prefix}_terms", f"SELECT {ids}, {ngrams('toks')} AS terms FROM {prefix}_toks")
     s.add(f"{prefix}_tf", f"SELECT {ids}, term, count(*) AS tf FROM "
                           f"(SELECT {ids}, unnest(terms) AS term FROM {prefix}_terms) GROUP BY ALL")
     s.add(f"{prefix}_n", f"SELECT count(*) AS n_docs FROM {docs}")
@@ -210,10 +212,11 @@ def tfidf_ctes(s: Sql, prefix: str, docs: str, id_cols: list[str], terms_expr: s
                          f"FROM {prefix}_w0")
 
 
-def transform_ctes(s: Sql, prefix: str, vocab: str, docs: str, id_cols: list[str], terms_expr: str,
+def transform_ctes(s: Sql, prefix: str, vocab: str, docs: str, id_cols: list[str], toks_expr: str,
                    sublinear: bool = True) -> None:
     ids = ", ".join(id_cols)
-    s.add(f"{prefix}_terms", f"SELECT {ids}, {terms_expr} AS terms FROM {docs}")
+    s.add(f"{prefix}_toks", f"SELECT {ids}, {toks_expr} AS toks FROM {docs}")
+    s.add(f"{prefix}_terms", f"SELECT {ids}, {ngrams('toks')} AS terms FROM {prefix}_toks")
     s.add(f"{prefix}_tf", f"SELECT {ids}, term, count(*) AS tf FROM "
                           f"(SELECT {ids}, unnest(terms) AS term FROM {prefix}_terms) GROUP BY ALL")
     tfw = "(1.0 + ln(tf))" if sublinear else "CAST(tf AS DOUBLE)"
@@ -222,12 +225,16 @@ def transform_ctes(s: Sql, prefix: str, vocab: str, docs: str, id_cols: list[str
                          f"FROM {prefix}_w0")
 
 
+def pattern_tokens(x: str) -> str:
+    return tokens_clean(x, stop=True)
+
+
 def pattern_terms(x: str) -> str:
-    return ngrams(tokens_clean(x, stop=True))
+    return ngrams(pattern_tokens(x))
 
 
-def classifier_terms(x: str) -> str:
-    return ngrams(tokens_unicode(x))
+def classifier_tokens(x: str) -> str:
+    return tokens_unicode(x)
 
 
 # ---------------------------------------------------------------------------
@@ -235,9 +242,12 @@ def classifier_terms(x: str) -> str:
 # ---------------------------------------------------------------------------
 
 def categories_values() -> str:
-    pats = keyword_patterns()
-    rows = ", ".join(f"({i}, {q(c)}, {q(p)})" for i, (c, p) in enumerate(pats.items()))
-    return f"(VALUES {rows}) AS cats(pos, category, pattern)"
+    rows = []
+    for i, (category, words) in enumerate(CATEGORY_KEYWORDS.items()):
+        # Each keyword as a literal between word boundaries.
+        literal = ["".join(c if c.isalnum() or c == " " else "\\" + c for c in w.lower()) for w in words]
+        rows.append(f"({i}, {q(category)}, {q('\\b(' + '|'.join(literal) + ')\\b')})")
+    return f"(VALUES {', '.join(rows)}) AS cats(pos, category, pattern)"
 
 
 def rule_ctes(s: Sql, t: str) -> str:
@@ -258,7 +268,7 @@ def classify_ctes(s: Sql, t: str) -> str:
     s.add("lab0", f"SELECT number, ingest_ord, {strip('category')} AS category, full_text FROM {t} "
                   f"WHERE {strip('category')} IN {tax}")
     s.add("lab", f"SELECT lab0.* FROM lab0, (SELECT count(*) AS n FROM lab0) g WHERE g.n >= {CLASSIFIER_MIN_LABELED}")
-    tfidf_ctes(s, "cl", "lab", ["number"], classifier_terms("full_text"), TFIDF_MAX_FEATURES, 2)
+    tfidf_ctes(s, "cl", "lab", ["number"], classifier_tokens("full_text"), TFIDF_MAX_FEATURES, 2)
     s.add("labels", "SELECT category, min(ingest_ord) AS label_ord, count(*) AS n_cat FROM lab GROUP BY category")
     s.add("centroids", "SELECT l.category, w.term, sum(w.w) / any_value(lb.n_cat) AS c "
                        "FROM cl_w w JOIN lab l USING (number) JOIN labels lb USING (category) "
@@ -266,7 +276,7 @@ def classify_ctes(s: Sql, t: str) -> str:
     s.add("cnorm", "SELECT category, sqrt(sum(c * c)) AS cn FROM centroids GROUP BY category")
     s.add("pending", f"SELECT {t}.number, {t}.full_text FROM {t} JOIN needs USING (number) "
                      f"LEFT JOIN rule_best USING (number) WHERE needs.needs AND rule_best.rule_category IS NULL")
-    transform_ctes(s, "pd", "cl_vocab", "pending", ["number"], classifier_terms("full_text"))
+    transform_ctes(s, "pd", "cl_vocab", "pending", ["number"], classifier_tokens("full_text"))
     s.add("sims", "SELECT w.number, ce.category, sum(w.w * ce.c) / any_value(cn.cn) AS sim "
                   "FROM pd_w w JOIN centroids ce USING (term) JOIN cnorm cn USING (category) "
                   "GROUP BY w.number, ce.category")
@@ -301,7 +311,7 @@ def density_ctes(s: Sql, docs: str, id_cols: list[str], ord_expr: str, text_col:
     """Registers {prefix}_labels (ids..., cluster_id) and helpers; returns the labels CTE."""
     ids = ", ".join(id_cols)
     s.add(f"{prefix}_docs", f"SELECT {ids}, {ord_expr} AS ord, {text_col} AS txt FROM {docs}")
-    tfidf_ctes(s, f"{prefix}t", f"{prefix}_docs", id_cols, pattern_terms("txt"), TFIDF_MAX_FEATURES, 2)
+    tfidf_ctes(s, f"{prefix}t", f"{prefix}_docs", id_cols, pattern_tokens("txt"), TFIDF_MAX_FEATURES, 2)
     s.add(f"{prefix}_key", f"SELECT {ids}, string_agg(term || ':' || CAST(tf AS VARCHAR), ',' ORDER BY term) AS vkey "
                            f"FROM {prefix}t_tf JOIN {prefix}t_vocab USING (term) GROUP BY ALL")
     s.add(f"{prefix}_mem", f"SELECT k.*, d.ord FROM {prefix}_key k JOIN {prefix}_docs d USING ({ids})")
