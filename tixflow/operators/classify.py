@@ -124,7 +124,7 @@ def nearest_centroid(docs: DataFrame, vocab: DataFrame, centroids: DataFrame,
              .select(*tkeys, "category", "label_ord", (F.col("dot") / F.col("cn")).alias("sim")))
     best = sims.groupBy(*tkeys).agg(F.min_by(F.struct("category", "sim"),
                                              F.struct(-F.col("sim"), F.col("label_ord"))).alias("b"))
-    out = doc_text.select(key, *tkeys).join(best, tkeys, "left")
+    out = doc_text.select(key, *tkeys).join(cut_lineage(best), tkeys, "left")  # a plain shuffle: splittable
     sim = F.coalesce(F.col("b.sim"), F.lit(0.0))
     return out.select(key, F.when(sim >= min_similarity, F.col("b.category")).otherwise(F.lit("Other"))
                       .alias("ml_category"), sim.alias("ml_similarity"))
@@ -147,8 +147,10 @@ def classify(tickets: DataFrame, taxonomy: dict[str, list[str]] | None = None,
     # text of the rows that need a category, then join back on the text hash
     # (AQE broadcasts the rule table when it is small at run time).
     t, _ = textfeat.distinct_texts(t, "full_text")
-    rules = (t.where("_needs").groupBy("th1", "th2").agg(F.first("full_text").alias("_txt"))
-              .select("th1", "th2", rule_category(F.col("_txt"), taxonomy).alias("_rule_text")))
+    # Materialised, so both join inputs are plain shuffles and AQE can split
+    # the tickets of a text that very many share.
+    rules = cut_lineage(t.where("_needs").groupBy("th1", "th2").agg(F.first("full_text").alias("_txt"))
+                         .select("th1", "th2", rule_category(F.col("_txt"), taxonomy).alias("_rule_text")))
     t = t.join(rules, ["th1", "th2"], "left")
     rule = F.col("_rule_text")
     if use_category_text:

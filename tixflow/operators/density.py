@@ -107,8 +107,9 @@ def density_clusters(docs: DataFrame, ids: list[str], ord_col: str, text_col: st
     core = cut_lineage(core_points(vectors, pairs, min_samples))
     vc = cut_lineage(assign_clusters(core, pairs, min_cluster_size))
     # Distinct-text sized; texts with a zero vector or in no kept cluster -> -1.
-    text_label = (text_vec.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"])
-                          .join(vc, "vid").select(*tkeys, "cluster_id"))
+    # Materialised, so the documents of a hot text can be split in the join.
+    text_label = cut_lineage(text_vec.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"])
+                                     .join(vc, "vid").select(*tkeys, "cluster_id"))
     labels = (doc_text.join(text_label, tkeys, "left")
                       .select(*ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
     members = doc_text.join(text_vec, tkeys).select(*ids, "h1", "h2")

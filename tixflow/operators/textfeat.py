@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tixflow.session import cut_lineage
+
 
 def term_counts(docs: DataFrame, ids: list[str], terms: str = "terms") -> DataFrame:
     """(ids..., term, tf) for every term occurrence, grouped per document."""
@@ -106,7 +108,9 @@ def fit_transform_texts(docs: DataFrame, ids: list[str], text_col: str, terms_fn
     d = texts.select("th1", "th2", "tmult", terms_fn(F.col("text")).alias("terms"))
     tf = term_counts(d, ["th1", "th2", "tmult"])
     vocab = vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df, weight="tmult")
-    wt = tfidf(tf, vocab, ["th1", "th2"], sublinear)
+    # Materialised: the join below then has two plain shuffles, and AQE can
+    # split the documents of a text that very many share.
+    wt = cut_lineage(tfidf(tf, vocab, ["th1", "th2"], sublinear))
     w = doc_text.select(*ids, "th1", "th2").join(wt, ["th1", "th2"]).select(*ids, "term", "w")
     return vocab, w
 
