@@ -196,7 +196,7 @@ def cluster_members(t: DataFrame, key: str = "cluster_id", id_col: str = "number
     return _clustered(t, key).select(key, id_col)
 
 
-def cluster_summary(t: DataFrame, key: str = "cluster_id", by_time: bool = True) -> DataFrame:
+def cluster_summary(t: DataFrame, key: str = "cluster_id") -> DataFrame:
     """One row per kept cluster with every P7-P17 field (member list excluded).
 
     ``trend`` is the size-only reference rule; ``trend_by_time`` the

@@ -33,13 +33,14 @@ def _rec(seq: Column, priority: str, finding: Column, action: Column) -> list[Co
 
 
 def recommendations(t: DataFrame, mttr: DataFrame, patterns: DataFrame, rc_recs: DataFrame | None,
-                    dedupe: str = "prefix60", limit: int = 10) -> DataFrame:
+                    dedupe: str = "prefix60", limit: int = 10, by_time: bool = True) -> DataFrame:
     """(seq, priority, finding, action), in rule order, deduplicated
     on the first 60 characters of the action (``dedupe='full'`` uses the
     whole action), at most ``limit``.
 
     ``patterns``: cluster summary rows (id, label, size, keywords,
-    top_services, trend); ``rc_recs``: (rc_order, rank, label, ticket_count,
+    top_services, trend, trend_by_time), of which ``by_time`` picks the
+    time-split trend (False: the size-only rule); ``rc_recs``: (rc_order, rank, label, ticket_count,
     recommendation) for the root causes in ticket-count order, or None.
     """
     tot = M.ticket_totals(t)
@@ -58,7 +59,8 @@ def recommendations(t: DataFrame, mttr: DataFrame, patterns: DataFrame, rc_recs:
     services = F.slice("top_services", 1, 2)
     a3 = top3.where(F.col("size") >= 5).select(*_rec(
         F.lit(3000) + F.col("_o"), "Medium",
-        F.format_string("Recurring pattern: '%s' (%d tickets, trend: %s)", F.col("label"), F.col("size"), F.col("trend")),
+        F.format_string("Recurring pattern: '%s' (%d tickets, trend: %s)", F.col("label"), F.col("size"),
+                        F.col("trend_by_time" if by_time else "trend")),
         F.concat(F.lit(REPORT_ACTIONS["pattern_prefix"]), F.lit("Top keywords: "),
                  F.array_join(F.slice("keywords", 1, 3), ", "), F.lit(". "),
                  F.when(F.size("top_services") > 0,
@@ -127,7 +129,8 @@ def root_cause_summary(rc_corpus: DataFrame, links: DataFrame, spark: SparkSessi
               .select(F.col(key).alias("id"), label.alias("label"), "keywords", "ticket_count",
                       F.create_map(*[x for p in ["P1", "P2", "P3", "P4", "Unknown"] for x in (F.lit(p), F.col(p))]).alias("priority_dist"),
                       F.coalesce("top_groups", empty).alias("top_groups"), "avg_mttr_hours",
-                      "linked_patterns", F.coalesce("recommendations", empty).alias("recommendations"),
+                      F.coalesce("linked_patterns", F.array().cast(linked.schema["linked_patterns"].dataType)).alias("linked_patterns"),
+                      F.coalesce("recommendations", empty).alias("recommendations"),
                       "sample_resolutions"))
     order = F.row_number().over(Window.orderBy(F.col("ticket_count").desc(), F.col("id").asc()))
     ranked = out.withColumn("rc_order", order)

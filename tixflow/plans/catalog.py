@@ -579,6 +579,12 @@ def q_cluster_trend_by_time(spark, sf_dir):
     return trend_by_time(clustered_tickets(spark, sf_dir))
 
 
+@register("cluster_members", _sql_clusters(lambda ct: f"SELECT cluster_id, number FROM {ct} WHERE cluster_id >= 0"))
+def q_cluster_members(spark, sf_dir):
+    from tixflow.operators.clusters import cluster_members
+    return cluster_members(clustered_tickets(spark, sf_dir))
+
+
 def spark_queries() -> dict[str, SparkQuery]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

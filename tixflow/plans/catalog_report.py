@@ -87,11 +87,19 @@ def _sql_pattern_recs() -> str:
     ct = O.clustered_tickets(s)
     top = O.cluster_keyword_ctes(s, ct)
     s.add("cl_label", O.label_sql(top, "cluster_id", " Issues", "Uncategorized Issues", "cl"))
+    s.add("tbt", f"""SELECT cluster_id, CASE WHEN n_ts = 0 OR second_half = 0 THEN 'Unknown'
+       WHEN second_half / greatest(first_half, 1) > 1.3 THEN 'Increasing'
+       WHEN second_half / greatest(first_half, 1) < 0.7 THEN 'Decreasing' ELSE 'Stable' END AS trend
+FROM (SELECT c.cluster_id, count(*) FILTER (WHERE c.opened_at < r.mid) AS first_half,
+        count(*) FILTER (WHERE c.opened_at >= r.mid) AS second_half, count(c.opened_at) AS n_ts
+      FROM {ct} c JOIN (
+        SELECT cluster_id, min(opened_at) + to_microseconds(CAST(floor(date_diff('microsecond', min(opened_at),
+               max(opened_at)) / 2) AS BIGINT)) AS mid
+        FROM {ct} WHERE cluster_id >= 0 GROUP BY cluster_id) r USING (cluster_id)
+      GROUP BY c.cluster_id)""")
     s.add("pat", f"""SELECT k.cluster_id, count(*) AS size, coalesce(any_value(l.label), 'Uncategorized Issues') AS label,
-  CASE WHEN count(opened_at) = 0 THEN 'Unknown'
-       WHEN (count(*) - count(*) // 2) / greatest(count(*) // 2, 1) > 1.3 THEN 'Increasing'
-       WHEN (count(*) - count(*) // 2) / greatest(count(*) // 2, 1) < 0.7 THEN 'Decreasing' ELSE 'Stable' END AS trend
-FROM {ct} k LEFT JOIN cl_label l USING (cluster_id) WHERE k.cluster_id >= 0 GROUP BY k.cluster_id""")
+  any_value(tb.trend) AS trend
+FROM {ct} k LEFT JOIN cl_label l USING (cluster_id) JOIN tbt tb USING (cluster_id) WHERE k.cluster_id >= 0 GROUP BY k.cluster_id""")
     s.add("pat_kw", f"SELECT cluster_id, string_agg(keyword, ', ' ORDER BY rank) AS kw3 FROM {top} "
                     f"WHERE rank <= 3 GROUP BY cluster_id")
     s.add("pat_sv", f"SELECT cluster_id, replace(vals, '|', ', ') AS sv FROM ({O.top_values_sql(ct, 'business_service', 2)})")
