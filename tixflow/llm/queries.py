@@ -13,6 +13,7 @@ from tixflow.llm.fingerprints import op2_fingerprints
 from tixflow.llm.line_dedup import op4_line_dedup
 from tixflow.llm.lm_scoring import op10_lm_scoring
 from tixflow.llm.minhash_dedup import op1_minhash_dedup
+from tixflow.llm.oracle import ORACLE_SQL
 from tixflow.llm.packing import op7_packing
 from tixflow.llm.quality import op3_quality_classifier
 from tixflow.llm.secrets import op6_secret_scans
@@ -30,4 +31,4 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_secret_scans,
                                               op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
