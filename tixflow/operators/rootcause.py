@@ -89,7 +89,13 @@ def _vectors(corpus: DataFrame, max_features: int):
         "h1", "h2", "weight", F.coalesce(F.size(F.map_keys("m")), F.lit(0)).alias("nnz"),
         array_to_vector(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), max(dim, 1))).otherwise(dense)).alias("features"))
     members = doc_text.select("number", "th1", "th2").join(per_text.select("th1", "th2", "h1", "h2"), ["th1", "th2"])
-    return members.select("number", "h1", "h2"), feats, dim
+    return members.select("number", "h1", "h2"), feats, dim, w.select("h1", "h2", "term", "w")
+
+
+def resolution_weights(t: DataFrame, max_features: int = ROOT_CAUSE_MAX_FEATURES) -> DataFrame:
+    """(number, term, w) of every ticket in the resolution corpus."""
+    members, _, _, w = _vectors(cut_lineage(resolution_corpus(t)), max_features)
+    return members.join(cut_lineage(w), ["h1", "h2"]).select("number", "term", "w")
 
 
 def _labelled(corpus: DataFrame, labels: DataFrame) -> DataFrame:
@@ -111,7 +117,7 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
     n = corpus.count()
     if n == 0:
         return RootCauseResult(corpus.withColumn("rc_cluster", F.lit(None).cast("int")), 0, None, [])
-    members, feats, dim = _vectors(corpus, max_features)
+    members, feats, dim, _ = _vectors(corpus, max_features)
     feats = cut_lineage(feats)
     n_distinct = feats.count()
     if dim == 0 or feats.where("nnz > 0").limit(1).count() == 0:

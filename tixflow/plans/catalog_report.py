@@ -246,6 +246,103 @@ def q_rootcause_summary(spark, sf_dir):
                        F.array_join("recommendations", "|").alias("recommendations"))
 
 
+def _corpus_sql(t: str) -> str:
+    """Resolution corpus with a fixed grouping in place of the k-means label."""
+    return (f"SELECT *, CAST(ingest_ord % 5 AS INTEGER) AS rc_cluster FROM (SELECT *, {RESOLUTION_SQL} AS resolution_text FROM {t}) "
+            f"WHERE length(resolution_text) > 10")
+
+
+def _grouped_corpus(spark, sf_dir: str) -> DataFrame:
+    from tixflow.operators.rootcause import resolution_corpus
+    return (resolution_corpus(clustered_tickets(spark, sf_dir))
+            .withColumn("rc_cluster", (F.col("ingest_ord") % 5).cast("int")))
+
+
+def _sql_resolution_weights() -> str:
+    s = O.Sql()
+    t = O.tickets(s)
+    s.add("rcg", _corpus_sql(t))
+    O.tfidf_ctes(s, "rv", "rcg", ["number"], O.pattern_tokens("resolution_text"), 800, 1)
+    return s.select("SELECT number, term, round(w, 6) AS w FROM rv_w")
+
+
+@register("resolution_weights", _sql_resolution_weights)
+def q_resolution_weights(spark, sf_dir):
+    """The vectors that the root-cause clustering fits."""
+    from tixflow.operators.rootcause import resolution_weights
+    return resolution_weights(tickets(spark, sf_dir)).select("number", "term", r6(F.col("w")).alias("w"))
+
+
+def _sql_grouped_links() -> str:
+    s = O.Sql()
+    ct = O.clustered_tickets(s)
+    s.add("rcg", _corpus_sql(ct))
+    return s.select("SELECT rc_cluster, cluster_id AS pattern_id, count(*) AS shared_tickets FROM rcg "
+                    "WHERE cluster_id >= 0 GROUP BY ALL")
+
+
+@register("link_patterns_grouped", _sql_grouped_links)
+def q_link_patterns_grouped(spark, sf_dir):
+    """R9 over a fixed grouping of the resolution corpus."""
+    from tixflow.operators.rootcause import link_patterns
+    ct = clustered_tickets(spark, sf_dir)
+    return link_patterns(_grouped_corpus(spark, sf_dir).select("number", "rc_cluster"), ct)
+
+
+def _sql_grouped_summary() -> str:
+    s = O.Sql()
+    ct = O.clustered_tickets(s)
+    s.add("rcg", _corpus_sql(ct))
+    top = O.cluster_keyword_ctes(s, "rcg", key="rc_cluster", text="resolution_text", prefix="rk")
+    s.add("rk_label", O.label_sql(top, "rc_cluster", "", "Unknown Root Cause", "rk"))
+    s.add("rk_kw", f"SELECT rc_cluster, string_agg(keyword, '|' ORDER BY rank) AS keywords FROM {top} GROUP BY rc_cluster")
+    rules = ", ".join(f"({i}, {O.sql_list(tr)}, {O.q(text)})" for i, (tr, text) in enumerate(RECOMMENDATION_RULES))
+    s.add("rules", f"SELECT * FROM (VALUES {rules}) AS r(rule_id, triggers, recommendation)")
+    s.add("rtrig", "SELECT rule_id, unnest(triggers) AS tr FROM rules")
+    s.add("fires", f"SELECT DISTINCT k.rc_cluster, r.rule_id, r.recommendation FROM {top} k "
+                   f"JOIN rtrig t ON contains(lower(k.keyword), t.tr) JOIN rules r ON r.rule_id = t.rule_id")
+    s.add("recs", "SELECT rc_cluster, string_agg(recommendation, '|' ORDER BY rule_id) AS recommendations FROM "
+                  "(SELECT *, row_number() OVER (PARTITION BY rc_cluster ORDER BY rule_id) AS n FROM fires) WHERE n <= 3 GROUP BY rc_cluster")
+    s.add("smp", "SELECT rc_cluster, string_agg(resolution_text, '|' ORDER BY ingest_ord) AS samples FROM (SELECT *, row_number() OVER "
+                 "(PARTITION BY rc_cluster ORDER BY ingest_ord) AS n FROM rcg) WHERE n <= 3 GROUP BY rc_cluster")
+    s.add("grp", f"SELECT rc_cluster, string_agg(v, '|' ORDER BY n) AS top_groups FROM (SELECT rc_cluster, assignment_group AS v, row_number() OVER "
+                 f"(PARTITION BY rc_cluster ORDER BY count(*) DESC, min(ingest_ord)) AS n FROM rcg WHERE assignment_group <> '' "
+                 f"GROUP BY rc_cluster, assignment_group) WHERE n <= 2 GROUP BY rc_cluster")
+    s.add("base", "SELECT rc_cluster, count(*) AS ticket_count, round(avg(mttr_hours), 6) AS avg_mttr_hours, "
+                  "count(*) FILTER (WHERE priority = 'P1') AS p1 FROM rcg GROUP BY rc_cluster")
+    return s.select("SELECT b.rc_cluster AS id, coalesce(label, 'Unknown Root Cause') AS label, coalesce(keywords, '') AS keywords, ticket_count, avg_mttr_hours, "
+                    "p1, coalesce(top_groups, '') AS top_groups, coalesce(recommendations, '') AS recommendations, samples, "
+                    "row_number() OVER (ORDER BY ticket_count DESC, b.rc_cluster) AS rc_order FROM base b LEFT JOIN rk_label USING (rc_cluster) "
+                    "LEFT JOIN rk_kw USING (rc_cluster) LEFT JOIN recs USING (rc_cluster) LEFT JOIN smp USING (rc_cluster) LEFT JOIN grp USING (rc_cluster)")
+
+
+@register("rootcause_summary_grouped", _sql_grouped_summary)
+def q_rootcause_summary_grouped(spark, sf_dir):
+    """R7, R8, R10, R11 over a fixed grouping of the resolution corpus."""
+    from tixflow.operators.report import root_cause_summary
+    from tixflow.operators.rootcause import link_patterns
+    corpus = _grouped_corpus(spark, sf_dir)
+    links = link_patterns(corpus, clustered_tickets(spark, sf_dir), tk_patterns(spark, sf_dir).select("cluster_id", "label"))
+    rows, _ = root_cause_summary(corpus, links, spark)
+    join = lambda c: F.array_join(c, "|")
+    return rows.select("id", "label", join("keywords").alias("keywords"), "ticket_count", r6(F.col("avg_mttr_hours")).alias("avg_mttr_hours"),
+                       F.col("priority_dist")["P1"].alias("p1"), join("top_groups").alias("top_groups"), join("recommendations").alias("recommendations"),
+                       join("sample_resolutions").alias("samples"), F.col("rc_order").cast("long").alias("rc_order"))
+
+
+@register("rootcause_invariants", _sql_on_tickets(lambda t: f"""SELECT count(*) AS n_rows, true AS all_labelled, true AS labels_below_k,
+  true AS every_k_scored, true AS first_best_chosen FROM ({_corpus_sql(t)})"""))
+def q_rootcause_invariants(spark, sf_dir):
+    """What holds for any k-means result."""
+    rc = tk_root_causes(spark, sf_dir)
+    ks = [k for k, _ in rc.scores]
+    best = max((s for _, s in rc.scores), default=None)
+    first = next((k for k, s in rc.scores if s == best), rc.k)
+    return rc.corpus.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col("rc_cluster").isNotNull()).alias("all_labelled"),
+                         (F.max("rc_cluster") < rc.k).alias("labels_below_k")).select(
+        "*", F.lit(ks == list(range(2, 2 + len(ks))) and len(ks) >= 1).alias("every_k_scored"), F.lit(first == rc.k).alias("first_best_chosen"))
+
+
 @register("report_row")
 def q_report_row(spark, sf_dir):
     """The full pipeline's nested report (one row)."""
