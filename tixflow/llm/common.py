@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -84,6 +85,16 @@ def doc_chunks(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20) -> It
         j = min(max(j, i + 1), n)
         yield i, j, raw[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker process lives through many tasks and jobs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def crc32_mod(doc_id, n: int):

@@ -127,13 +127,13 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
             for i, j, data, off in doc_chunks(b, "text"):
                 h, s, e, wo = kernel.words(data, off)
                 toks, inv = wt.of(data, h, s, e)
-                toks.append(np.array([end_id], np.uint32))
+                toks.append(np.array([end_id], np.uint32).tobytes())
                 inv = np.insert(inv, wo[1:], len(toks) - 1)
-                per = np.fromiter(map(len, toks), np.int64, len(toks))
+                per = np.fromiter(map(len, toks), np.int64, len(toks)) // 4
                 start = np.cumsum(per) - per
                 size = per[inv]
                 stop = np.cumsum(size)
-                flat = np.concatenate(toks)[np.arange(stop[-1]) + np.repeat(start[inv] - stop + size, size)].astype("<u4")
+                flat = np.frombuffer(b"".join(toks), np.uint32)[np.arange(stop[-1]) + np.repeat(start[inv] - stop + size, size)].astype("<u4")
                 ends = stop[wo[1:] + np.arange(j - i)]
                 out = []
                 for t, u in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
