@@ -37,6 +37,43 @@ def test_minhash_components(docs_of, corpus, k):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_minhash_families_of_near_copies(docs_of):
+    """Members that their leader leaves apart still find each other: copies of far copies, truncated copies, extra passages."""
+    import random
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, extra = [word() for _ in range(150)], [word() for _ in range(40)]
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = word()
+        return w
+    texts = [base] + [edited(base, rng.randrange(0, 14)) for _ in range(80)]
+    for _ in range(12):  # far copies, each with close copies of its own
+        far = edited(base, rng.randrange(5, 16))
+        texts += [far] + [edited(far, rng.randrange(0, 4)) for _ in range(4)]
+    texts += [base[:rng.randrange(70, 150)] for _ in range(25)]
+    texts += [edited(base, 3) + extra[:rng.randrange(10, 40)] for _ in range(25)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingle_set(t, 4) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(rows))}
+    assert 10 < len(set(want.values())) < 120
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs_of(rows), words=4).collect()} == want
+
+
 def test_minhash_edges(docs_of):
     d = docs_of([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "q r s"), (None, None), (9, "")])
     got = sorted(((r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(d).collect()), key=str)
