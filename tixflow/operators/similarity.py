@@ -109,18 +109,43 @@ def similar_pairs(w: DataFrame, threshold: float) -> DataFrame:
     return sims.where(F.col("sim") >= F.lit(round(threshold, SIM_DECIMALS)))
 
 
-def find_similar(doc_w: DataFrame, docs: DataFrame, query_w: DataFrame, key: str,
+def find_similar(doc_text: DataFrame, texts: DataFrame, text_w: DataFrame, query_w: DataFrame,
                  order_col: str, top_n: int = 10) -> DataFrame:
     """P20: top ``top_n`` documents by cosine to one query vector.
 
-    ``doc_w``: (key, term, w); ``query_w``: (term, w) of the query (bounded by
-    the query length, broadcast).  Documents sharing no term score 0 and are
-    still eligible, so the result always has ``min(top_n, n)`` rows.  Ties
-    (scores equal to 9 decimals, e.g. identical texts) go to the earlier row.  Global top-k: per-partition top-k merged once.
+    ``doc_text``, ``texts`` (with ``tord``) and ``text_w`` as from
+    ``textfeat.fit_texts``; ``query_w``: (term, w) of the query, bounded by its
+    length and broadcast.  Texts are scored, not documents: the best documents
+    belong to the best ``top_n`` texts (by score, then earliest document), whose
+    documents are then looked up by a broadcast of at most ``top_n`` rows.
+    Documents sharing no term score 0 and are still eligible, so the result
+    always has ``min(top_n, n)`` rows.  Ties (scores equal to 9 decimals) go to
+    the earlier row.
     """
-    scores = (doc_w.join(F.broadcast(query_w.select("term", F.col("w").alias("qw"))), "term")
-                   .groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("similarity_score")))
-    return (docs.join(scores, key, "left")
-                .withColumn("similarity_score", F.coalesce(F.col("similarity_score"), F.lit(0.0)))
-                .orderBy(F.round("similarity_score", SIM_DECIMALS).desc(), F.col(order_col).asc())
-                .limit(top_n))
+    scores = (text_w.join(F.broadcast(query_w.select("term", F.col("w").alias("qw"))), "term")
+                    .groupBy("th1", "th2").agg(F.sum(F.col("w") * F.col("qw")).alias("similarity_score")))
+    best = (texts.select("th1", "th2", "tord").join(scores, ["th1", "th2"], "left")
+                 .withColumn("similarity_score", F.coalesce("similarity_score", F.lit(0.0)))
+                 .orderBy(F.round("similarity_score", SIM_DECIMALS).desc(), "tord").limit(top_n).drop("tord"))
+    return (doc_text.join(F.broadcast(best), ["th1", "th2"])
+                    .orderBy(F.round("similarity_score", SIM_DECIMALS).desc(), F.col(order_col).asc()).limit(top_n))
+
+
+def find_similar_batch(doc_text: DataFrame, texts: DataFrame, text_w: DataFrame, query_w: DataFrame,
+                       query_key: str, order_col: str, top_n: int = 10) -> DataFrame:
+    """P20 for many queries: (query_key, rank, document columns, similarity_score).
+
+    ``query_w``: (query_key, term, w).  An equi-join on the term scores each
+    query against the distinct texts; a group limit keeps ``top_n`` texts a
+    query before their documents are joined and ranked.  Documents that share
+    no term with a query are not listed.
+    """
+    scores = (text_w.join(query_w.select(query_key, "term", F.col("w").alias("qw")), "term")
+                    .groupBy(query_key, "th1", "th2").agg(F.sum(F.col("w") * F.col("qw")).alias("similarity_score"))
+                    .join(texts.select("th1", "th2", "tord"), ["th1", "th2"]))
+    by_score = F.round("similarity_score", SIM_DECIMALS).desc()
+    texts_first = F.row_number().over(Window.partitionBy(query_key).orderBy(by_score, "tord"))
+    best = scores.withColumn("_r", texts_first).where(F.col("_r") <= top_n).drop("_r", "tord")
+    docs_first = F.row_number().over(Window.partitionBy(query_key).orderBy(by_score, order_col))
+    return (doc_text.join(best, ["th1", "th2"]).withColumn("rank", docs_first)
+                    .where(F.col("rank") <= top_n).drop("th1", "th2"))

@@ -94,24 +94,34 @@ def fit_transform(docs: DataFrame, ids: list[str], max_features: int | None, min
     return vocab, tfidf(tf, vocab, ids, sublinear)
 
 
-def fit_transform_texts(docs: DataFrame, ids: list[str], text_col: str, terms_fn,
-                        max_features: int | None, min_df: int,
-                        sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``fit_transform`` of ``terms_fn(text_col)`` with identical texts collapsed.
+def fit_texts(docs: DataFrame, text_col: str, terms_fn, max_features: int | None, min_df: int,
+              sublinear: bool = True, ord_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Fit on ``terms_fn(text_col)`` with identical texts collapsed: (vocab, doc_text, texts, weights).
 
     Tokenising, counting and weighting run once per distinct text; the
     vocabulary is weighted by multiplicity (same result as counting every
-    document).  Per-document weights come from one join of the documents
-    with the distinct-text weights on the text hash.
+    document).  ``weights`` are (th1, th2, term, w); ``doc_text`` and ``texts`` as in
+    ``distinct_texts``.
     """
-    doc_text, texts = distinct_texts(docs.select(*ids, text_col), text_col)
+    doc_text, texts = distinct_texts(docs, text_col, ord_col)
     d = texts.select("th1", "th2", "tmult", terms_fn(F.col("text")).alias("terms"))
     tf = term_counts(d, ["th1", "th2", "tmult"])
     vocab = vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df, weight="tmult")
+    return vocab, doc_text, texts, tfidf(tf, vocab, ["th1", "th2"], sublinear)
+
+
+def fit_transform_texts(docs: DataFrame, ids: list[str], text_col: str, terms_fn,
+                        max_features: int | None, min_df: int,
+                        sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``fit_transform`` of ``terms_fn(text_col)`` with identical texts collapsed.
+
+    Per-document weights come from one join of the documents with the
+    distinct-text weights on the text hash.
+    """
+    vocab, doc_text, _, wt = fit_texts(docs.select(*ids, text_col), text_col, terms_fn, max_features, min_df, sublinear)
     # Materialised: the join below then has two plain shuffles, and AQE can
     # split the documents of a text that very many share.
-    wt = cut_lineage(tfidf(tf, vocab, ["th1", "th2"], sublinear))
-    w = doc_text.select(*ids, "th1", "th2").join(wt, ["th1", "th2"]).select(*ids, "term", "w")
+    w = doc_text.select(*ids, "th1", "th2").join(cut_lineage(wt), ["th1", "th2"]).select(*ids, "term", "w")
     return vocab, w
 
 

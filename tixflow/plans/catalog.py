@@ -279,7 +279,7 @@ def _sql_pattern_tfidf(final: str) -> Callable[[], str]:
 @register("vocabulary", _sql_pattern_tfidf(
     "SELECT term, total, df, round(idf, 6) AS idf FROM pt_vocab"))
 def q_vocabulary(spark, sf_dir):
-    vocab, _ = _pattern_tfidf(spark, sf_dir)
+    vocab, *_ = TF.fit_texts(tickets(spark, sf_dir).select("full_text"), "full_text", vectoriser_terms, TFIDF_MAX_FEATURES, 2)
     return vocab.select("term", "total", "df", r6(F.col("idf")).alias("idf"))
 
 

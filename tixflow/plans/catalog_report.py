@@ -13,7 +13,7 @@ from tixflow.operators import metrics as M
 from tixflow.operators import textfeat as TF
 from tixflow.plans import fixtures as FX
 from tixflow.plans import oracle as O
-from tixflow.plans.catalog import (_pattern_tfidf, _sql_on_tickets, clustered_tickets, memo, r6,
+from tixflow.plans.catalog import (_sql_on_tickets, clustered_tickets, memo, r6,
                                    register, tickets)
 
 
@@ -364,19 +364,46 @@ def _sql_find_similar() -> str:
                     f"LEFT JOIN sc USING (number) ORDER BY round(coalesce(sc.score, 0.0), 9) DESC, t.ingest_ord ASC LIMIT 10")
 
 
+def _fitted_texts(spark, sf_dir):
+    t = tickets(spark, sf_dir).select("number", "ingest_ord", "full_text")
+    return TF.fit_texts(t, "full_text", vectoriser_terms, TFIDF_MAX_FEATURES, 2, ord_col="ingest_ord")
+
+
 @register("find_similar", _sql_find_similar)
 def q_find_similar(spark, sf_dir):
     """P20: top 10 tickets for a query text in the fitted pattern vocabulary."""
     from tixflow.operators.similarity import find_similar
-    vocab, w = _pattern_tfidf(spark, sf_dir)
+    vocab, doc_text, texts, w = _fitted_texts(spark, sf_dir)
     qd = spark.createDataFrame([("q", SIMILAR_QUERY)], "qid string, txt string") \
               .select("qid", vectoriser_terms(F.col("txt")).alias("terms"))
     qw = TF.transform(qd, vocab, ["qid"]).select("term", "w")
-    t = tickets(spark, sf_dir)
-    r = find_similar(w, t.select("number", "ingest_ord"), qw, "number", "ingest_ord", 10)
+    r = find_similar(doc_text, texts, w, qw, "ingest_ord", 10)
     return r.select("number", r6(F.col("similarity_score")).alias("similarity_score"))
 
 
+def _sql_find_similar_batch() -> str:
+    s = O.Sql()
+    t = O.tickets(s)
+    O.tfidf_ctes(s, "pt", t, ["number"], O.pattern_tokens("full_text"), TFIDF_MAX_FEATURES, 2)
+    s.add("qd", "SELECT n_nationkey AS qid, 'customer in ' || n_name || ' lost connectivity after password reset' AS txt FROM nation")
+    O.transform_ctes(s, "qv", "pt_vocab", "qd", ["qid"], O.pattern_tokens("txt"))
+    s.add("sc", "SELECT q.qid, w.number, sum(w.w * q.w) AS score FROM pt_w w JOIN qv_w q USING (term) GROUP BY q.qid, w.number")
+    s.add("rk", f"SELECT sc.*, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, t.ingest_ord) AS rank FROM sc JOIN {t} t USING (number)")
+    return s.select("SELECT qid, rank, number, round(score, 6) AS similarity_score FROM rk WHERE rank <= 5")
+
+
+@register("find_similar_batch", _sql_find_similar_batch)
+def q_find_similar_batch(spark, sf_dir):
+    """P20 for one query text per nation."""
+    from tixflow.operators.similarity import find_similar_batch
+    from tixflow.sources.tables import read_table
+    vocab, doc_text, texts, w = _fitted_texts(spark, sf_dir)
+    text = F.concat(F.lit("customer in "), F.col("n_name"), F.lit(" lost connectivity after password reset"))
+    qd = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), vectoriser_terms(text).alias("terms"))
+    r = find_similar_batch(doc_text, texts, w, TF.transform(qd, vocab, ["qid"]), "qid", "ingest_ord", 5)
+    return r.select("qid", F.col("rank").cast("long").alias("rank"), "number", r6(F.col("similarity_score")).alias("similarity_score"))
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Health report summary: score, label, totals, pattern and root-cause counts."""
     from tixflow.operators.report import run_report
