@@ -10,15 +10,16 @@ Banding.  Bands of ``rows`` bins are hashed to buckets; with the default 48
 bands of 6 bins two sets of similarity 0.8 share no bucket with probability
 (1 - 0.8^6)^48 < 5e-7.
 
-Links.  Documents with equal shingle sets are one node.  In every bucket one
-leader is compared with the members of other components; components are
-merged, and the next round draws other leaders among what is still apart.  A
-bucket of near copies thus costs its size, not its square, however many copies
-it has.  When the leaders have merged what they can, the pairs that are still
-in one bucket but in different components are compared each.  A pair is first
-tried on its sizes and sketch estimate (a pair of similarity 0.8 falls below
-the floor of 0.55 with probability < 1e-10), then confirmed on the full
-shingle sets.
+Links.  Documents with equal shingle sets are one node.  Every bucket's leader is
+the member that meets most others in its buckets; each member is compared with
+its leaders on the full shingle sets, and linked nodes are merged.  Comparing all
+members of a bucket would cost the square of its size, so what the leaders leave
+apart is searched by two facts.  Let u and v be linked, in a bucket of leader b,
+and u not linked with b.  Either they share enough shingles outside b; then a
+prefix filter over the members' shingles outside b, rarest first, finds them.  Or
+what they share within b is enough; then both sizes are bounded by their overlaps
+with b, which only members smaller than b can satisfy.  Only such pairs are
+compared, so a family of near copies costs its size, and no link is lost.
 
 Defined results: a null or empty text has no shingles and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows of equal id
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tixflow.llm import kernel
@@ -38,9 +39,7 @@ from tixflow.llm.common import doc_chunks, read_table, stage
 from tixflow.llm.graph import components
 
 BANDS, ROWS, SIMILARITY = 48, 6, 0.8
-ESTIMATE_BINS, ESTIMATE_FLOOR = 128, 0.55
-LEADER_ROUNDS = 3
-SKETCHED = "doc_id long, th long, n_shingles long, sig1 long, sig2 long, sketch binary, bands array<long>"
+SKETCHED = "doc_id long, th long, n_shingles long, sig1 long, sig2 long, bands array<long>"
 U = np.uint64
 _SEEDS = np.zeros(0, U)
 
@@ -79,9 +78,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Set size, 128-bit set signature, sketch bytes and band keys of every text (SKETCHED)."""
-    bins = min(ESTIMATE_BINS, bands * rows)
-
+    """Set size, 128-bit set signature and band keys of every text (SKETCHED)."""
     def run(batches):
         for b in batches:
             for i, j, data, off in doc_chunks(b, "text"):
@@ -98,8 +95,7 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
                     sums.append(pa.array((acc[so[1:]] - acc[so[:-1]]).view(np.int64)))
                 n_keys = np.where(size > 0, bands, 0)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_keys))).astype(np.int32)), pa.array(keys[size > 0].ravel()))
-                low = (sk[:, :bins] & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(size), *sums, pa.array([r.tobytes() for r in low], pa.binary()), flat], names=[f.split()[0] for f in SKETCHED.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(size), *sums, flat], names=[f.split()[0] for f in SKETCHED.split(", ")])
     return docs.mapInArrow(run, SKETCHED)
 
 
@@ -112,89 +108,120 @@ def _sets(col: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs that sizes and sketches allow: (a, b)."""
-    x = nodes.select(F.col("nid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    y = nodes.select(F.col("nid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    least = int(ESTIMATE_FLOOR * bins)
-
+def overlaps(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, na, nb, both): set sizes and intersection size of every pair, on the full sets."""
     def run(batches):
-        for b in batches:
-            m = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in (2, 3)]
-            ok = (m[0] == m[1]).sum(axis=1) >= least if len(b) else np.zeros(0, bool)
-            yield b.select([0, 1]).filter(pa.array(ok))
-    both = (pairs.join(x, "a").join(y, "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+        for x in batches:
+            for i in range(0, len(x), 128):
+                part = x.slice(i, 128)
+                na, nb, both = [], [], []
+                for p, q in zip(_sets(part.column(2), words), _sets(part.column(3), words), strict=True):
+                    na.append(len(p))
+                    nb.append(len(q))
+                    both.append(len(np.intersect1d(p, q, assume_unique=True)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, both))], names=["a", "b", "na", "nb", "both"])
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, na long, nb long, both long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full shingle sets."""
+def outside(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, g): for every pair a row per shingle of b that a lacks; g stands for a and the shingle."""
+    def run(batches):
+        for x in batches:
+            for i in range(0, len(x), 128):
+                part = x.slice(i, 128)
+                lists = [np.setdiff1d(q, p, assume_unique=True).view(np.int64).tolist() for p, q in zip(_sets(part.column(2), words), _sets(part.column(3), words), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["a", "b", "s"])
+    rows = _with_texts(pairs, texts).mapInArrow(run, "a long, b long, s array<long>")
+    return rows.select("a", "b", F.explode("s").alias("s")).select("a", "b", F.xxhash64("a", "s").alias("g"))
+
+
+def shared_outside(spots: DataFrame, known: DataFrame, within: float, least_size: float) -> DataFrame:
+    """(a, b): members apart that may share as many shingles outside their leader as a link takes.
+
+    A link of u and v, |u| <= |v|, needs ``within`` (|u| + |v|) common shingles, and
+    at most as many as u (or v) shares with the leader lie inside it.  So
+    u needs at least 2 within |u| - |u and leader| outside, and v at least
+    least_size |v| - |v and leader|.  Of two lists in one order that share t
+    entries, the first len - t + 1 of either share one (prefix filtering); the
+    order is by rarity, so what many members share is hardly ever looked at.
+    """
+    spots = stage(spots)
+    often = stage(spots.groupBy("g").agg(F.count(F.lit(1)).alias("c")))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("c", "g"))  # one member's shingles
+    need = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("nb") - F.col("both") - 1e-6))
+    one = known.select("a", "b", "nb", "both", "comp")
+    rows = spots.join(often, "g").withColumn("r", rank).where("c > 1").join(one, ["a", "b"])
+    rows = rows.where(F.col("r") <= F.col("nb") - F.col("both") - need(F.lit(least_size)) + 1)
+    rows = stage(rows.select("g", "b", "nb", "comp", (F.col("r") <= F.col("nb") - F.col("both") - need(F.lit(2 * within)) + 1).alias("small")))
+    x = rows.where("small").select("g", F.col("b").alias("u"), F.col("nb").alias("nu"), F.col("comp").alias("cu"))
+    y = rows.select("g", F.col("b").alias("v"), F.col("nb").alias("nv"), F.col("comp").alias("cv"))
+    return x.join(y, "g").where("nu <= nv and cu <> cv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     x = texts.select(F.col("nid").alias("a"), F.col("text").alias("ta"))
     y = texts.select(F.col("nid").alias("b"), F.col("text").alias("tb"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
 
-    def run(batches):
-        for b in batches:
-            for i in range(0, len(b), 128):
-                part = b.slice(i, 128)
-                ok = []
-                for p, q in zip(_sets(part.column(2), words), _sets(part.column(3), words), strict=True):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(p) + len(q) - both))
-                yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (nid, comp) after the components that ``links`` (a, b) join are merged."""
+    x, y = comp.select(F.col("nid").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("nid").alias("b"), F.col("comp").alias("cb"))
+    edges = stage(links.join(x, "a").join(y, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not edges.limit(1).count():
+        return comp
+    roots = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return stage(comp.join(roots, "comp", "left").select("nid", F.coalesce("root", "comp").alias("comp")))
+
+
+def _leaders(members: DataFrame, group: str) -> DataFrame:
+    """(group, lead): of every group the member that meets most others, over all groups."""
+    size = members.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
+    met = members.join(size, group).groupBy("nid").agg(F.sum("c").alias("met"))
+    return members.join(met, "nid").groupBy(group).agg(F.max(F.struct("met", "nid")).alias("top")).select(group, F.col("top.nid").alias("lead"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id per row of ``docs``."""
-    percent, bins = round(100 * similarity), min(ESTIMATE_BINS, bands * rows)
+    percent = round(100 * similarity)
+    within = percent / (100 + percent)
+    linked = (100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows_ = stage(sketch(src, words, bands, rows))
-    full = rows_.where("n_shingles > 0")
-    # one node per distinct set; equal sets have equal sketches, so any will do
-    nodes = stage(full.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-                  .select(F.monotonically_increasing_id().alias("nid"), "sig1", "sig2", "least", "at", "n_shingles", "sketch", "bands"))
+    sketched = stage(sketch(src, words, bands, rows))
+    full = sketched.where("n_shingles > 0")
+    # one node per distinct set; equal sets have equal bands, so any will do
+    nodes = stage(full.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("bands").alias("bands"))
+                  .select(F.monotonically_increasing_id().alias("nid"), "sig1", "sig2", "least", "at", "bands"))
     entry = nodes.select("nid", F.explode("bands").alias("bucket"))
-    buckets = stage(entry.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("bucket"))
-    members = stage(entry.join(buckets, "bucket").select("bucket", "nid"))
-    light = nodes.select("nid", "n_shingles", "sketch")
+    shared = stage(entry.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("bucket"))
+    members = stage(entry.join(shared, "bucket").select("bucket", "nid"))
 
     used = members.select("nid").distinct().join(nodes.select("nid", "at.doc_id", "at.th"), "nid")
     u = used.select("nid", F.col("doc_id").alias("k1"), F.col("th").alias("k2"))
-    # a text once per node, though the row may be repeated
+    # a text once per node, though its row may be repeated
     texts = stage(src.join(u, src.doc_id.eqNullSafe(u.k1) & (src.th == u.k2)).select("nid", "text").dropDuplicates(["nid"]))
 
-    comp = members.select("nid", F.col("nid").alias("comp")).distinct()
-    tried, links = None, None
-    apart = members.join(comp, "nid")
-    for step in range(LEADER_ROUNDS + 1):
-        apart = stage(apart)
-        open_ = stage(apart.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("nid", F.lit(step)).alias("h"), "nid", "comp")).alias("leader")).where("lo < hi")
-                      .select("bucket", F.col("leader.nid").alias("lead"), F.col("leader.comp").alias("lead_comp")))
-        here = apart.join(open_, "bucket")
-        if step < LEADER_ROUNDS:
-            pairs = here.where("comp <> lead_comp").select(F.least("lead", "nid").alias("a"), F.greatest("lead", "nid").alias("b"))
-        else:
-            x = here.select("bucket", F.col("nid").alias("a"), F.col("comp").alias("ca"))
-            y = here.select("bucket", F.col("nid").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        found = stage(confirm(stage(plausible(pairs, light, percent, bins)), texts, words, percent))
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
-            comp = comp.select("nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        apart = members.join(open_.select("bucket"), "bucket").join(comp, "nid")
-
-    ids = nodes.select("nid", "sig1", "sig2", "least").join(comp, "nid", "left").select("sig1", "sig2", "least", F.coalesce("comp", "nid").alias("comp"))
-    smallest = ids.groupBy("comp").agg(F.min("least").alias("component"))
-    classes = stage(stage(ids).join(stage(smallest), "comp").select("sig1", "sig2", "component"))
-    empty = rows_.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
+    led = members.join(stage(_leaders(members, "bucket")), "bucket")
+    pairs = stage(led.where("lead <> nid").select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct())
+    known = stage(overlaps(pairs, texts, words).withColumn("linked", linked))
+    comp = merged(texts.select("nid", F.col("nid").alias("comp")), known.where("linked").select("a", "b"))
+
+    # leaders whose members are still apart
+    known = known.join(comp.select(F.col("nid").alias("b"), "comp"), "b")
+    apart = known.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a")
+    known = stage(known.join(apart, "a"))
+    v = known.where("nb < na").select("a", F.col("b").alias("v"), F.col("nb").alias("nv"), F.col("both").alias("bv"), F.col("comp").alias("cv"))
+    inside = (known.where("not linked").join(v, "a").where((F.col("comp") != F.col("cv")) & (F.least("both", "bv") + 1e-6 >= within * (F.col("nb") + F.col("nv"))))
+              .select(F.least("b", "v").alias("a"), F.greatest("b", "v").alias("b")))
+    beyond = shared_outside(outside(known, texts, words), known, within, percent / 100)
+    left = stage(inside.unionByName(beyond).distinct())
+    comp = merged(comp, overlaps(left, texts, words).where(linked).select("a", "b"))
+
+    ids = stage(nodes.select("nid", "sig1", "sig2", "least").join(comp, "nid", "left").select("sig1", "sig2", "least", F.coalesce("comp", "nid").alias("comp")))
+    smallest = stage(ids.groupBy("comp").agg(F.min("least").alias("component")))
+    classes = stage(ids.join(smallest, "comp").select("sig1", "sig2", "component"))
+    empty = sketched.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
     return (full.join(classes, ["sig1", "sig2"])
             .select("doc_id", "th", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(empty))
 
