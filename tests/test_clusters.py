@@ -54,3 +54,24 @@ def test_exact_median_matches_pandas(spark):
     import statistics
     for g in range(3):
         assert got[g] == pytest.approx(statistics.median([v for gg, v in rows if gg == g]))
+
+
+def test_recurrence_of_a_hot_cluster(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tixflow.operators.clusters import recurrence
+    rng = random.Random(9)
+    # one cluster holds most rows and most timestamps; one timestamp holds a third of its rows
+    rows = [(0, rng.randrange(0, 3_000_000)) for _ in range(1200)] + [(0, 77)] * 600
+    rows += [(1, rng.randrange(0, 900_000)) for _ in range(25)] + [(2, 5)] + [(3, None)] + [(4, 1), (4, 1)]
+    t = spark.createDataFrame(rows, "cluster_id int, s long").select(
+        "cluster_id", F.timestamp_add("SECOND", F.col("s"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("opened_at"))
+    got = {r["cluster_id"]: r["median_gap_hours"] for r in recurrence(t).collect()}
+    for c in range(5):
+        s = sorted(x for k, x in rows if k == c and x is not None)
+        gaps = sorted((b - a) / 3600 for a, b in zip(s, s[1:]))
+        m = len(gaps)
+        want = (gaps[(m - 1) // 2] + gaps[m // 2]) / 2 if m else None
+        assert (got[c] is None) == (want is None) and (want is None or abs(got[c] - want) < 1e-9), c

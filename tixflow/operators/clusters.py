@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tixflow.config import KEYWORD_MAX_FEATURES, PRIORITY_DIST_KEYS, STOP_WORDS
 from tixflow.functions.text import title_case, vectoriser_terms
 from tixflow.operators import textfeat
+from tixflow.session import cut_lineage
 
 RECURRENCE_BANDS = [
     (2.0, "Continuous / ongoing"),
@@ -109,31 +110,56 @@ def state_distribution(t: DataFrame, key: str = "cluster_id") -> DataFrame:
     return _clustered(t, key).groupBy(key, "state").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _gaps(per_ts: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, ts, cnt, _prev): the key's timestamp before each of its distinct ones.
+
+    Rows are range-partitioned by (key, ts), so a key with very many
+    timestamps spreads over partitions; the lag runs per partition and key, and
+    the first row of each takes the last timestamp of the key's partition
+    before (a table of one row per partition and key).
+    """
+    s = cut_lineage(per_ts.repartitionByRange(key, ts).select(key, ts, "cnt", F.spark_partition_id().alias("_pid")))
+    last = s.groupBy("_pid", key).agg(F.max(ts).alias("_last"))
+    before = last.select("_pid", key, F.lag("_last").over(Window.partitionBy(key).orderBy("_pid")).alias("_before"))
+    inner = s.withColumn("_in", F.lag(ts).over(Window.partitionBy("_pid", key).orderBy(ts)))
+    return inner.join(before, ["_pid", key]).select(key, ts, "cnt", F.coalesce("_in", "_before").alias("_prev"))
+
+
+def _running_total(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``df`` with ``_cum``, the key's running total of ``value`` by ``order`` (distinct per key).
+
+    Range-partitioned like ``_gaps``: totals per partition and key, offset by
+    the sums of the key's partitions before.
+    """
+    s = cut_lineage(df.repartitionByRange(key, order).select("*", F.spark_partition_id().alias("_pid")))
+    sums = s.groupBy("_pid", key).agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_pid", key, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_pid", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_in", F.sum(value).over(inner))
+    return s.join(base, ["_pid", key]).withColumn("_cum", F.col("_in") + F.col("_base")).drop("_pid", "_in", "_base")
+
+
 def recurrence(t: DataFrame, key: str = "cluster_id", ts: str = "opened_at") -> DataFrame:
     """(key, median_gap_hours, recurrence).
 
     Gaps between consecutive non-NULL timestamps.  Equal timestamps are
-    pre-aggregated to (timestamp, count): they contribute count-1 zero gaps,
-    so the ordered window runs over distinct timestamps per cluster, and the
-    exact interpolating median over distinct gap values with weights.
+    pre-aggregated to (timestamp, count): they contribute count-1 zero gaps.
+    The weighted median is read off running totals over the distinct gaps.
     """
     c = _clustered(t, key).where(F.col(ts).isNotNull())
-    per_ts = c.groupBy(key, ts).agg(F.count(F.lit(1)).alias("cnt"))
-    prev = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    g = per_ts.withColumn("_prev", prev)
+    g = _gaps(c.groupBy(key, ts).agg(F.count(F.lit(1)).alias("cnt")), key, ts)
     diffs = g.where(F.col("_prev").isNotNull()).select(
-        key, (F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts)) / 3.6e9).alias("gap"),
-        F.lit(1).cast("long").alias("wt"))
+        key, (F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts)) / 3.6e9).alias("gap"))
     zeros = g.where(F.col("cnt") > 1).select(key, F.lit(0.0).alias("gap"), (F.col("cnt") - 1).alias("wt"))
-    gaps = diffs.unionByName(zeros).groupBy(key, "gap").agg(F.sum("wt").alias("wt"))
-    n = gaps.groupBy(key).agg(F.sum("wt").alias("n"))
-    cum = F.sum("wt").over(Window.partitionBy(key).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = gaps.join(n, key).withColumn("_cum", cum).withColumn("_prev_cum", F.col("_cum") - F.col("wt"))
-    k1 = F.floor((F.col("n") - 1) / 2) + 1
-    k2 = F.floor(F.col("n") / 2) + 1
+    gaps = diffs.withColumn("wt", F.lit(1).cast("long")).unionByName(zeros).groupBy(key, "gap").agg(F.sum("wt").alias("wt"))
+    ranked = _running_total(gaps, key, "gap", "wt")
+    n = cut_lineage(gaps.groupBy(key).agg(F.sum("wt").alias("n")))
+    ranked = ranked.join(n, key)
+    holds = lambda k: (F.col("_cum") - F.col("wt") < k) & (F.col("_cum") >= k)
     med = ranked.groupBy(key).agg(
-        F.max(F.when((F.col("_prev_cum") < k1) & (F.col("_cum") >= k1), F.col("gap"))).alias("_g1"),
-        F.max(F.when((F.col("_prev_cum") < k2) & (F.col("_cum") >= k2), F.col("gap"))).alias("_g2"))
+        F.max(F.when(holds(F.floor((F.col("n") - 1) / 2) + 1), F.col("gap"))).alias("_g1"),
+        F.max(F.when(holds(F.floor(F.col("n") / 2) + 1), F.col("gap"))).alias("_g2"))
     med = med.select(key, ((F.col("_g1") + F.col("_g2")) / 2).alias("median_gap_hours"))
     keys = _clustered(t, key).select(key).distinct()
     out = keys.join(med, key, "left")
@@ -166,7 +192,7 @@ def trend_by_time(t: DataFrame, key: str = "cluster_id", ts: str = "opened_at")
     """P15 corrected: split the cluster's time range at its midpoint and
     compare the two halves' counts with the same thresholds."""
     c = _clustered(t, key)
-    rng = c.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    rng = cut_lineage(c.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")))  # a plain shuffle: splittable
     mid = F.timestamp_add("MICROSECOND", F.floor(F.timestamp_diff("MICROSECOND", F.col("_lo"), F.col("_hi")) / 2),
                           F.col("_lo"))
     j = c.select(key, ts).join(rng, key)
