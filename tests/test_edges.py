@@ -9,7 +9,7 @@ from tixflow.operators.classify import classify
 from tixflow.operators.components import connected_components
 from tixflow.operators.density import density_clusters, noise_count
 from tixflow.operators.normalize import DERIVED_NAMES, ORD, REQUIRED_NAMES, empty_tickets, normalize
-from tixflow.operators.report import recommendations, run_report
+from tixflow.operators.report import recommendations, run_report, write_report
 from tixflow.operators.stats import exact_median
 from tixflow.sources.files import write_report_json
 
@@ -72,6 +72,10 @@ def test_report_content(spark, tmp_dir):
     assert got["metrics"]["summary"]["open"] == 4 and got["metrics"]["summary"]["p1_open"] == 4
     assert sorted(c["size"] for c in got["patterns"]["clusters"]) == [6, 6]
     assert got["root_causes"]["unresolved_insight"].startswith("4 ticket(s) remain open. 4 are P1")
+    write_report(rep, os.path.join(tmp_dir, "tables"))
+    back = spark.read.parquet(os.path.join(tmp_dir, "tables", "summary.parquet")).first()
+    assert (back["total"], back["open"], back["n_patterns"], back["noise_count"]) == (12, 4, 2, 0)
+    assert spark.read.parquet(os.path.join(tmp_dir, "tables", "pattern_members.parquet")).count() == 12
     assert rep.members.count() == 12 and {r["cluster_id"] for r in rep.members.collect()} == {0, 1}
 
 

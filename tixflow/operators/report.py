@@ -104,6 +104,7 @@ class Report:
     actions: DataFrame
     recommendations: DataFrame
     row: DataFrame               # one nested row (J1)
+    summary: DataFrame           # one flat row: score, totals and counts
 
 
 def root_cause_summary(rc_corpus: DataFrame, links: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -181,8 +182,33 @@ def run_report(tickets: DataFrame, as_of: datetime | str | None = None, *, with_
     insight = R.open_insight(t)
     recs = recommendations(t, mttr, patterns, rc_recs)
     row = report_row(health, metrics, patterns, dens.labels, rc_rows, insight, actions, recs, generated_at)
+    summary = report_summary(health, metrics, patterns, noise_count(dens.labels), generated_at)
     return Report(t, metrics, health, deductions, patterns, CL.cluster_members(t), noise_count(dens.labels),
-                  rc_rows, links, insight, actions, recs, row)
+                  rc_rows, links, insight, actions, recs, row, summary)
+
+
+def _generated(generated_at: str | None) -> Column:
+    return F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm 'UTC'")
+
+
+def report_summary(health: DataFrame, metrics: dict[str, DataFrame], patterns: DataFrame, noise: DataFrame,
+                   generated_at: str | None = None) -> DataFrame:
+    """One flat row of bounded size, whatever the number of patterns or states."""
+    n = patterns.agg(F.count(F.lit(1)).alias("n_patterns"))
+    return (health.select(_generated(generated_at).alias("generated_at"), "health_score", "health_label")
+                  .crossJoin(metrics["totals"].select("total", "open", "resolved", "p1_open", "aged_open"))
+                  .crossJoin(metrics["no_root_cause_pct"].select(F.bround("no_root_cause_pct", 1).alias("no_root_cause_pct")))
+                  .crossJoin(n).crossJoin(noise.select("noise_count")))
+
+
+def write_report(report: Report, path: str, mode: str = "overwrite") -> None:
+    """The report as tables side by side, none of which holds a list that grows with the tickets."""
+    tables = {"summary": report.summary, "deductions": report.deductions, "patterns": report.patterns,
+              "pattern_members": report.members, "root_causes": report.root_causes, "pattern_links": report.links,
+              "top_actions": report.actions, "recommendations": report.recommendations,
+              **{f"metric_{name}": df for name, df in report.metrics.items()}}
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{path}/{name}.parquet")
 
 
 def sorted_structs(df: DataFrame, desc_col: str, asc_col: str) -> Column:
@@ -200,8 +226,20 @@ def sorted_structs(df: DataFrame, desc_col: str, asc_col: str) -> Column:
 def report_row(health: DataFrame, metrics: dict[str, DataFrame], patterns: DataFrame, labels: DataFrame,
                rc_rows: DataFrame, insight: DataFrame, actions: DataFrame, recs: DataFrame,
                generated_at: str | None = None) -> DataFrame:
-    """One nested row; every part is a one-row frame, cross-joined."""
-    gen = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm 'UTC'")
+    """One nested row; every part is a one-row frame, cross-joined.
+
+    Hours and percentages are presented with one decimal.  The row holds every
+    pattern; ``write_report`` is the form for many.
+    """
+    gen = _generated(generated_at)
+
+    def one_decimal(df: DataFrame, *cols: str) -> DataFrame:
+        return df.select(*(F.bround(c, 1).alias(c) if c in cols else c for c in df.columns))
+
+    metrics = metrics | {"mttr": one_decimal(metrics["mttr"], "avg_mttr", "median_mttr", "breach_pct"),
+                         "no_root_cause_pct": one_decimal(metrics["no_root_cause_pct"], "no_root_cause_pct")}
+    patterns = one_decimal(patterns, "avg_mttr_hours")
+    rc_rows = one_decimal(rc_rows, "avg_mttr_hours")
 
     def packed(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))

@@ -350,6 +350,29 @@ def q_report_row(spark, sf_dir):
     return run_report(tickets(spark, sf_dir), FX.AS_OF, generated_at="fixed").row
 
 
+def _sql_report_summary() -> str:
+    s = O.Sql()
+    ct = O.clustered_tickets(s)
+    s.add("hb", _health_base_sql(ct))
+    s.add("hd", _deductions_sql())
+    pts = " - ".join(f"(SELECT points FROM hd WHERE deduction = '{k}')"
+                     for k in ["p1_open", "p1_breach", "recurring_patterns", "aged_open", "no_root_cause_rate"])
+    s.add("hs", f"SELECT greatest(0, CAST(floor(CAST(100 AS DOUBLE) - {pts}) AS INTEGER)) AS health_score")
+    return s.select(f"""SELECT health_score, CASE WHEN health_score >= 85 THEN 'Healthy' WHEN health_score >= 65 THEN 'Fair'
+       WHEN health_score >= 40 THEN 'At Risk' ELSE 'Critical' END AS health_label,
+  (SELECT count(*) FROM {ct}) AS total, (SELECT count(*) FROM {ct} WHERE state IN {O.OPEN_IN}) AS open, resolved, p1_open, aged_open,
+  round_even(CASE WHEN resolved > 0 THEN nrc * 100.0 / resolved ELSE 0 END, 1) AS no_root_cause_pct, n_patterns,
+  (SELECT count(*) FROM {ct} WHERE cluster_id < 0) AS noise_count FROM hb, hs""")
+
+
+@register("report_summary", _sql_report_summary)
+def q_report_summary(spark, sf_dir):
+    """J1 as one flat row, from the whole pipeline."""
+    from tixflow.operators.report import run_report
+    rep = run_report(tickets(spark, sf_dir), FX.AS_OF, with_root_causes=False, generated_at="fixed")
+    return rep.summary.drop("generated_at")
+
+
 SIMILAR_QUERY = "wireless connectivity lost at the branch office"
 
 
