@@ -126,6 +126,9 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
     if n_distinct == 1:  # one vector is one cluster; there is nothing to fit
         return RootCauseResult(corpus.withColumn("rc_cluster", F.lit(0)), 1, None, [])
 
+    # Many short fits: partitions of a few thousand vectors, not one per core.
+    feats = feats.coalesce(n_distinct // 2000 + 1).cache()
+
     def fit(k: int):
         best = None
         for s in range(starts):
