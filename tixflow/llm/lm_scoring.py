@@ -41,7 +41,7 @@ from tixflow.llm import kernel
 from tixflow.llm.common import crc32_mod, doc_chunks, read_table, shuffle_width, stage
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_BYTES, RANGE_BYTES = 12 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 BITS = 56
 CONTEXT_BUCKETS = 48
 STEP = 0.1
