@@ -152,10 +152,14 @@ def shared_outside(spots: DataFrame, known: DataFrame, within: float, least_size
     one = known.select("a", "b", "nb", "both", "comp")
     rows = spots.join(often, "g").withColumn("r", rank).where("c > 1").join(one, ["a", "b"])
     rows = rows.where(F.col("r") <= F.col("nb") - F.col("both") - need(F.lit(least_size)) + 1)
-    rows = stage(rows.select("g", "b", "nb", "comp", (F.col("r") <= F.col("nb") - F.col("both") - need(F.lit(2 * within)) + 1).alias("small")))
-    x = rows.where("small").select("g", F.col("b").alias("u"), F.col("nb").alias("nu"), F.col("comp").alias("cu"))
-    y = rows.select("g", F.col("b").alias("v"), F.col("nb").alias("nv"), F.col("comp").alias("cv"))
-    return x.join(y, "g").where("nu <= nv and cu <> cv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    rows = stage(rows.select("g", "b", "nb", "both", "comp", "r", (F.col("r") <= F.col("nb") - F.col("both") - need(F.lit(2 * within)) + 1).alias("small")))
+    x = rows.where("small").select("g", F.col("b").alias("u"), F.col("nb").alias("nu"), F.col("both").alias("iu"), F.col("comp").alias("cu"), F.col("r").alias("ru"))
+    y = rows.select("g", F.col("b").alias("v"), F.col("nb").alias("nv"), F.col("both").alias("iv"), F.col("comp").alias("cv"), F.col("r").alias("rv"))
+    # of this very pair: what must be shared outside, and whether this shingle is early enough in both lists
+    must = F.greatest(F.lit(1), F.ceil(within * (F.col("nu") + F.col("nv")) - F.least("iu", "iv") - 1e-6))
+    early = F.least(F.col("nu") - F.col("iu") - F.col("ru"), F.col("nv") - F.col("iv") - F.col("rv")) + 1 >= must
+    found = x.join(y, (x.g == y.g) & (F.col("nu") <= F.col("nv")) & (F.col("cu") != F.col("cv")) & early)
+    return found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
