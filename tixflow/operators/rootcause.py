@@ -11,7 +11,9 @@ most nine k on the cached vectors; each fit is a distributed job.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -27,6 +29,9 @@ from tixflow.operators.similarity import vector_hash
 from tixflow.session import cut_lineage
 
 
+FIT_THREADS = 8
+
+
 def resolution_text(root_cause: Column, close_notes: Column) -> Column:
     """strip(root_cause + ' ' + close_notes)."""
     return strip_ws(F.concat_ws(" ", F.coalesce(root_cause, F.lit("")), F.coalesce(close_notes, F.lit(""))))
@@ -129,16 +134,18 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
     # Many short fits: partitions of a few thousand vectors, not one per core.
     feats = feats.coalesce(n_distinct // 2000 + 1).cache()
 
+    def start(job: tuple[int, int]):
+        k, s = job
+        km = KMeans(k=k, seed=seed + s, maxIter=max_iter, tol=tol, weightCol="weight",
+                    featuresCol="features", predictionCol="rc_cluster")
+        model = km.fit(feats)
+        return model.summary.trainingCost, s, model
+
     def fit(k: int):
-        best = None
-        for s in range(starts):
-            km = KMeans(k=k, seed=seed + s, maxIter=max_iter, tol=tol, weightCol="weight",
-                        featuresCol="features", predictionCol="rc_cluster")
-            model = km.fit(feats)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-        return best[1]
+        # The starts are independent small jobs: let the scheduler overlap them.
+        with ThreadPool(min(starts, FIT_THREADS)) as pool:
+            fitted = pool.map(inheritable_thread_target(start), [(k, s) for s in range(starts)])
+        return min(fitted, key=lambda x: x[:2])[2]
 
     scores: list[tuple[int, float]] = []
     best_k, best_score, model = 3, -1.0, None
