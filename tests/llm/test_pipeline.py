@@ -60,6 +60,39 @@ def test_line_dedup_edges(docs_of):
     assert line_dedup.dedup_lines(docs_of([])).collect() == []
 
 
+def whole_line_dedup(rows):
+    """Kept text per id by brute force: a line goes if a run of at least 8 words around it is in any earlier document."""
+    lines = {i: t.split("\n") if t else [] for i, t in rows}
+    out = {}
+    for i, own in lines.items():
+        gone = set()
+        for p in (p for p in lines if p < i):
+            held = lines[p]
+            for j in range(len(own)):
+                for k in range(len(held)):
+                    n = 0
+                    while j + n < len(own) and k + n < len(held) and own[j + n] == held[k + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[j:j + n]) >= 8:
+                        gone |= set(range(j, j + n))
+        out[i] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    return out
+
+
+def kept_lines(docs_of, rows):
+    return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(rows)).collect()}
+
+
+def test_line_dedup_frequent_short_lines(docs_of):
+    # each line is in more than 100 other documents; only 500 and 501 hold them as one passage
+    rows = [(i, f"own {i}\nsee you soon again\nother {i}\nall the best wishes") for i in range(130)]
+    rows += [(500, "left\nsee you soon again\nall the best wishes"), (501, "see you soon again\nall the best wishes\nright")]
+    rows += [(600 + i, "left\nsee you soon again\nall the best wishes") for i in range(130)]
+    got = kept_lines(docs_of, rows)
+    assert got[501] == "right" and got[729] == "" and got[500] == rows[130][1]
+    assert got == whole_line_dedup(rows)
+
+
 @pytest.fixture(scope="module")
 def labelled(docs_of, shipped):
     rng = random.Random(6)

@@ -1,16 +1,17 @@
 """Line dedup by pairwise alignment (operator 4).
 
-Every line's hash is counted over the corpus with its first holder.  A later
-document is paired with the first holders of its telling lines: a line tells
-if it is rare (at most ``RARE_DOCS`` documents hold it) or has at least
-``TELLING_WORDS`` words.  Pairs are therefore at most one per line occurrence,
-never all pairs of a line's holders, however many documents hold the line.
+A run is the least sequence of adjacent lines with ``BLOCK_WORDS`` words from a
+line on; two documents share a block if and only if they share a run.  Every
+run's hash is counted over the corpus with its first holder, and a later
+document is paired with the first holders of its runs.  Pairs are therefore at
+most one per line, never all pairs of a run's holders, however many documents
+hold the run or its lines.
 
 Each pair is aligned by patience diff: lines that are unique in both documents
 are matched along their longest increasing run, matches grow over equal
-neighbours, and the gaps between them are aligned in the same way.  Common
-blocks of at least ``BLOCK_WORDS`` words are deleted from the later document.
-All pairs are judged on the input, so a line's first holder always keeps it.
+neighbours, and the gaps between them are aligned in the same way.  Common blocks of at least ``BLOCK_WORDS``
+words are deleted from the later document.  All pairs are judged on the input,
+so a block's first holder always keeps it.
 
 Only line hashes (8 bytes a line) are shuffled for counting and aligning;
 texts are shuffled once, to be rewritten.
@@ -25,15 +26,17 @@ an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tixflow.llm import kernel
 from tixflow.llm.common import read_table, stage
 
-RARE_DOCS, TELLING_WORDS, BLOCK_WORDS = 100, 8, 8
+BLOCK_WORDS, CHUNK_LINES = 8, 1 << 18
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,33 +94,61 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def runs(h: np.ndarray, w: np.ndarray, off: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start, end and hash of the least runs of ``block_words`` words from every line."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    at, acc = np.arange(len(h)), np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    end = np.searchsorted(acc, acc[:-1] + block_words)
+    down = end <= off[row + 1]
+    s, e = at[down], end[down]
+    return row[s], s, e, kernel.span_hash(h, s, e)
+
+
+def _chunks(batch: pa.RecordBatch, *lists: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Slices of about ``CHUNK_LINES`` lines, with flat values and offsets of the named lists."""
+    off = [batch.column(c).offsets.to_numpy().astype(np.int64) for c in lists]
+    total, i = sum(o - o[0] for o in off), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(total, total[i] + CHUNK_LINES, side="right")) - 1)
+        x = batch.slice(i, j - i)
+        yield x, [(x.column(c).flatten().to_numpy(zero_copy_only=False), o[i:j + 1] - o[i]) for c, o in zip(lists, off, strict=True)]
+        i = j
+
+
 def _lines(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, th, hashes and word counts of every line, one row per distinct document."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", F.xxhash64("text").alias("th"), _lines(F.col("text")).alias("lines"))
     # words up to the number that matters: gaps between runs of other characters
-    words = F.transform("lines", lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", 1 + max(TELLING_WORDS, BLOCK_WORDS)), "")))
+    words = F.transform("lines", lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", 1 + block_words), "")))
     src = src.select("doc_id", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words"))
     return src.groupBy("doc_id", "th").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
 
 
-def partners(lines: DataFrame, rare_docs: int = RARE_DOCS, telling_words: int = TELLING_WORDS) -> DataFrame:
+def partners(lines: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, th, first): the earlier documents to align every document with."""
-    each = lines.select("doc_id", "th", F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("x")).select("doc_id", "th", F.col("x.hashes").alias("line"), F.col("x.words").alias("words")).where("words > 0")
-    held = stage(each.groupBy("line").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("words").alias("w"))
-                 .where((F.col("n") > 1) & ((F.col("n") <= rare_docs) | (F.col("w") >= telling_words))).select("line", "first"))
+    def run(batches):
+        for b in batches:
+            for x, ((h, off), (w, _)) in _chunks(b, "hashes", "words"):
+                row, _, _, key = runs(h.view(np.uint64), w, off, block_words)
+                row, key = np.unique(np.stack([row.astype(np.uint64), key]), axis=1)
+                row = pa.array(row.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(row), x.column("th").take(row), pa.array(key.view(np.int64))], names=["doc_id", "th", "run"])
+
+    each = lines.select("doc_id", "th", "hashes", "words").mapInArrow(run, "doc_id long, th long, run long")
+    held = stage(each.groupBy("run").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first"))
     me = F.struct("doc_id", "th")
-    return each.join(held, "line").where(F.col("first") < me).select("doc_id", "th", "first").distinct()
+    return each.join(held, "run").where(F.col("first") < me).select("doc_id", "th", "first").distinct()
 
 
-def removed_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, telling_words: int = TELLING_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, th, keep): one flag per line, for documents that lose lines."""
-    lines = stage(line_table(docs))
-    pairs = stage(partners(lines, rare_docs, telling_words).select("doc_id", "th", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th")))
+    lines = stage(line_table(docs, block_words))
+    pairs = stage(partners(lines, block_words).select("doc_id", "th", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th")))
     a = lines.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("hashes").alias("a"))
     b = lines.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), F.col("hashes").alias("b"), "words")
 
