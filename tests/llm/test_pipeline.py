@@ -93,6 +93,16 @@ def test_line_dedup_frequent_short_lines(docs_of):
     assert got == whole_line_dedup(rows)
 
 
+def test_line_dedup_repeats(docs_of):
+    long = "one two three four five six seven eight nine"
+    # no line that is unique in both; both occurrences go, whichever document repeats
+    assert line_dedup.patience([7, 1, 8, 1, 7], [9, 1, 6, 1, 9]) == [(1, 1, 1), (3, 3, 1)]
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{long}\ne"), (3, f"f f\n{long} x\ng\n{long} x\nh"), (4, f"k\n{long} x\nm"), (5, "p p p p\nq q q q\nr\np p p p\nq q q q"), (6, "s\np p p p\nq q q q\nt")]
+    got = kept_lines(docs_of, rows)
+    assert got[2] == "c\nd\ne" and got[4] == "k\nm" and got[6] == "s\nt" and got[5] == rows[4][1]
+    assert got == whole_line_dedup(rows)
+
+
 @pytest.fixture(scope="module")
 def labelled(docs_of, shipped):
     rng = random.Random(6)

@@ -9,7 +9,10 @@ hold the run or its lines.
 
 Each pair is aligned by patience diff: lines that are unique in both documents
 are matched along their longest increasing run, matches grow over equal
-neighbours, and the gaps between them are aligned in the same way.  Common blocks of at least ``BLOCK_WORDS``
+neighbours, and the gaps between them are aligned in the same way; in a gap
+without unique lines the n-th occurrences of a line are matched.  An alignment
+leaves repeats and lines in another order; there, the later document's runs are
+looked up among the earlier one's.  Common blocks of at least ``BLOCK_WORDS``
 words are deleted from the later document.  All pairs are judged on the input,
 so a block's first holder always keeps it.
 
@@ -57,6 +60,14 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _occurrences(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Pairs of the n-th occurrences of each line in a[a0:a1] and b[b0:b1]."""
+    left: dict[int, list[int]] = {}
+    for j in range(b1 - 1, b0 - 1, -1):
+        left.setdefault(b[j], []).append(j)
+    return [(i, left[a[i]].pop()) for i in range(a0, a1) if left.get(a[i])]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Common blocks (start in a, start in b, length) of the patience diff of a and b."""
     match: list[tuple[int, int]] = []
@@ -78,6 +89,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
         for j in range(b0, b1):
             seen[b[j]] = -1 if b[j] in seen else j
         anchors = _increasing([(i, seen[x]) for x, i in once.items() if i >= 0 and seen.get(x, -1) >= 0])
+        if not anchors:
+            anchors = _increasing(_occurrences(a, b, a0, a1, b0, b1))
         if not anchors:
             continue
         # each gap ends before an anchor; the anchor itself starts the next gap's common beginning
@@ -145,23 +158,40 @@ def partners(lines: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return each.join(held, "run").where(F.col("first") < me).select("doc_id", "th", "first").distinct()
 
 
+def common_lines(a: tuple, wa: np.ndarray, b: tuple, wb: np.ndarray, block_words: int = BLOCK_WORDS) -> np.ndarray:
+    """Flags of the lines of each text of b that are in a block common with the same text of a.
+
+    ``a`` and ``b`` are flat line hashes and offsets, ``wa`` and ``wb`` word counts.
+    """
+    (ha, oa), (hb, ob) = a, b
+    gone, acc = np.zeros(len(hb), bool), np.concatenate([[0], np.cumsum(wb, dtype=np.int64)])
+    la, lb = ha.tolist(), hb.tolist()
+    for i, z, j, y in zip(oa[:-1].tolist(), oa[1:].tolist(), ob[:-1].tolist(), ob[1:].tolist(), strict=True):
+        for _, k, n in patience(la[i:z], lb[j:y]):
+            if acc[j + k + n] - acc[j + k] >= block_words:
+                gone[j + k:j + k + n] = True
+    # what the alignment left: repeats and other orders
+    (ra, _, _, ka), (rb, s, e, kb) = runs(ha.view(np.uint64), wa, oa, block_words), runs(hb.view(np.uint64), wb, ob, block_words)
+    hit = np.isin(kb ^ kernel.mix(rb.astype(np.uint64)), ka ^ kernel.mix(ra.astype(np.uint64)))
+    edge = np.zeros(len(hb) + 1, np.int64)
+    np.add.at(edge, s[hit], 1)
+    np.add.at(edge, e[hit], -1)
+    return gone | (np.cumsum(edge[:-1]) > 0)
+
+
 def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, th, keep): one flag per line, for documents that lose lines."""
     lines = stage(line_table(docs, block_words))
     pairs = stage(partners(lines, block_words).select("doc_id", "th", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th")))
-    a = lines.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("hashes").alias("a"))
+    a = lines.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("hashes").alias("a"), F.col("words").alias("a_words"))
     b = lines.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), F.col("hashes").alias("b"), "words")
 
     def align(batches):
         for x in batches:
-            out = []
-            for p, q, w in zip(*(x.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                gone = []
-                for _, j, n in patience(p, q):
-                    if sum(w[j:j + n]) >= block_words:
-                        gone += range(j, j + n)
-                out.append(gone)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([len(q) for q in x.column(3).to_pylist()], pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "th", "n", "gone"])
+            for y, (p, (pw, _), q, (qw, _)) in _chunks(x, "a", "a_words", "b", "words"):
+                gone, off = common_lines(p, pw, q, qw, block_words), q[1]
+                out = [np.flatnonzero(gone[i:j]) for i, j in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([y.column("doc_id"), y.column("th"), pa.array(np.diff(off), pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "th", "n", "gone"])
 
     def flags(batches):
         for x in batches:
@@ -174,7 +204,7 @@ def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(keep, pa.list_(pa.bool_()))], names=["doc_id", "th", "keep"])
 
     both = (pairs.join(a, F.col("f_id").eqNullSafe(F.col("a_id")) & (F.col("f_th") == F.col("a_th")))
-            .join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th"))).select("doc_id", "th", "a", "b", "words"))
+            .join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th"))).select("doc_id", "th", "a", "a_words", "b", "words"))
     gone = both.mapInArrow(align, "doc_id long, th long, n int, gone array<int>").where("size(gone) > 0")
     per = gone.groupBy("doc_id", "th").agg(F.max("n").alias("n"), F.collect_list("gone").alias("gone"))  # bounded by one document's lines
     return per.mapInArrow(flags, "doc_id long, th long, keep array<boolean>")
