@@ -103,6 +103,23 @@ def test_line_dedup_repeats(docs_of):
     assert got == whole_line_dedup(rows)
 
 
+def test_line_dedup_other_holders(docs_of):
+    x, y = "a b c d e f g h i", "j k l m n o p q r"
+    rows = [(1, f"{x}\nmiddle\n{y}"), (2, f"{y}\nother\n{x}")]  # crossing lines
+    rows += [(3, "see you soon\nu"), (4, "v\nall the best wishes again"), (5, "w\nsee you soon\nall the best wishes again"), (6, "see you soon\nall the best wishes again\nz")]
+    rows += [(7, f"{x}\ntail"), (8, f"s\n{x}\ntail")]  # the first holder of x has no tail
+    got = kept_lines(docs_of, rows)
+    assert got[2] == "other" and got[6] == "z" and got[7] == "tail" and got[8] == "s"
+    assert got == whole_line_dedup(rows)
+
+
+def test_line_dedup_whole(docs_of):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 14))) for _ in range(40)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16)))) for i in range(220)]
+    assert kept_lines(docs_of, rows) == whole_line_dedup(rows)
+
+
 @pytest.fixture(scope="module")
 def labelled(docs_of, shipped):
     rng = random.Random(6)

@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment (operator 4).
 
 A run is the least sequence of adjacent lines with ``BLOCK_WORDS`` words from a
-line on; two documents share a block if and only if they share a run.  Every
+line on, or up to a line.  Every common block of that many words is covered by
+runs, so two documents share a block if and only if they share a run.  Every
 run's hash is counted over the corpus with its first holder, and a later
 document is paired with the first holders of its runs.  Pairs are therefore at
-most one per line, never all pairs of a run's holders, however many documents
+most two per line, never all pairs of a run's holders, however many documents
 hold the run or its lines.
 
 Each pair is aligned by patience diff: lines that are unique in both documents
@@ -13,7 +14,8 @@ neighbours, and the gaps between them are aligned in the same way; in a gap
 without unique lines the n-th occurrences of a line are matched.  An alignment
 leaves repeats and lines in another order; there, the later document's runs are
 looked up among the earlier one's.  Common blocks of at least ``BLOCK_WORDS``
-words are deleted from the later document.  All pairs are judged on the input,
+words are deleted from the later document: a line stays if and only if no such
+block around it is in an earlier document.  All pairs are judged on the input,
 so a block's first holder always keeps it.
 
 Only line hashes (8 bytes a line) are shuffled for counting and aligning;
@@ -108,12 +110,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def runs(h: np.ndarray, w: np.ndarray, off: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start, end and hash of the least runs of ``block_words`` words from every line."""
+    """Text, start, end and hash of the least runs of ``block_words`` words from every line and up to every line."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at, acc = np.arange(len(h)), np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
     end = np.searchsorted(acc, acc[:-1] + block_words)
-    down = end <= off[row + 1]
-    s, e = at[down], end[down]
+    start = np.searchsorted(acc, acc[1:] - block_words, side="right") - 1
+    down, up = end <= off[row + 1], start >= off[row]
+    s, e = np.concatenate([at[down], start[up]]), np.concatenate([end[down], at[up] + 1])
+    s, e = np.unique(np.stack([s, e]), axis=1)
     return row[s], s, e, kernel.span_hash(h, s, e)
 
 
