@@ -149,6 +149,19 @@ def test_quality_never_learns_from_held_out_rows(labelled, shipped):
     assert a == b
 
 
+def test_quality_reads_long_texts_to_the_end():
+    import numpy as np
+    rng = random.Random(8)
+    said = lambda word, n: " ".join(f"{word}{rng.randrange(900)}" for _ in range(n)).encode()
+    dicts = [quality.build_dictionary([said(w, 500) for _ in range(200)]) for w in ("spam", "fine")]
+    neutral, bad = rng.randbytes(3 << 20), said("spam", 1500)
+    texts = [b"", bad, neutral, neutral + bad]
+    off = np.cumsum([0, *map(len, texts)])
+    sizes = quality._sizes(np.frombuffer(b"".join(texts), np.uint8), off, dicts)
+    diff = sizes[:, 0] - sizes[:, 1]
+    assert diff[1] < -100 and abs((diff[3] - diff[2]) / diff[1] - 1) < 0.2
+
+
 def test_quality_edges(docs_of, labelled, shipped):
     docs, labels, _ = labelled
     odd = docs_of([(1, None), (1, ""), (None, "x"), (2, "y " * 50_000)])

@@ -1,8 +1,10 @@
 """Quality classifier by compression (operator 3).
 
 Two zstandard dictionaries are built from good and from bad labelled text.  A
-text is compressed with either; the size difference, normalised by the larger
-size, says which class its phrases come from.  A logistic calibration turns
+text is compressed with either, in pieces of ``PIECE`` bytes so that the
+dictionary stays in reach to the end of a long text; the difference of the
+summed sizes, normalised by the larger sum, says which class its phrases come
+from.  A logistic calibration turns
 it into a probability; it also sees both compressed ratios and the length,
 because the same difference means less for a text that hardly compresses or is
 very short.
@@ -89,8 +91,8 @@ def _sizes(data: np.ndarray, off: np.ndarray, dicts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(off) - 1, 2))
     raw = data.tobytes()
     for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        t = raw[a:z]
-        out[i] = len(bad.compress(t)), len(good.compress(t))
+        pieces = [raw[k:min(k + PIECE, z)] for k in range(a, max(z, a + 1), PIECE)]
+        out[i] = [sum(len(c.compress(t)) for t in pieces) for c in (bad, good)]
     return out
 
 
