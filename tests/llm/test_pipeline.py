@@ -162,6 +162,17 @@ def test_quality_reads_long_texts_to_the_end():
     assert diff[1] < -100 and abs((diff[3] - diff[2]) / diff[1] - 1) < 0.2
 
 
+def test_quality_sample_is_one_text_an_id(labelled):
+    docs, labels, truth = labelled
+    often = docs
+    for _ in range(5):  # 32 rows an id
+        often = often.union(often.where("doc_id < 100"))
+    a, b = quality.fit(docs, labels), quality.fit(often, labels)
+    assert a.dicts == b.dicts and (a.weights == b.weights).all()
+    other = docs.union(docs.withColumn("text", F.concat(F.lit("another "), "text")))
+    assert sum(r["n"] for r in quality._one_text(other.withColumn("y", F.lit(1))).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()) == len(truth)
+
+
 def test_quality_edges(docs_of, labelled, shipped):
     docs, labels, _ = labelled
     odd = docs_of([(1, None), (1, ""), (None, "x"), (2, "y " * 50_000)])

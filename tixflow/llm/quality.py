@@ -12,7 +12,8 @@ very short.
 The dictionaries are fitted on at most ``DICT_DOCS`` labelled documents a
 class of at most ``DICT_DOC_CHARS`` characters, the calibration on at most
 ``CALIBRATION_DOCS`` others a class, drawn by a hash of the id (documented
-bounds; a score reads its whole text).  Only labels and texts are used, no other
+bounds; a score reads its whole text); of several texts of one id the least by
+hash counts.  Only labels and texts are used, no other
 column.
 
 Defined results: a null text is empty; every text gets a score, the empty one
@@ -118,6 +119,11 @@ class QualityModel:
         return src.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, score double")
 
 
+def _one_text(sample: DataFrame) -> DataFrame:
+    """doc_id, y and text of one row an id, however many rows it has: the text of the least hash."""
+    return sample.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("x")).select("doc_id", "y", "x.text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> QualityModel:
     """Learn from labelled rows outside the held-out fold."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)")
@@ -136,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, calibrat
         return QualityModel(None, None, 0.5 if shares is None else float(shares))
     spark = docs.sparkSession
     sample = text.join(F.broadcast(spark.createDataFrame(picked, "doc_id long, y int, for_dict boolean")), "doc_id")
-    base = sample.where(F.col("for_dict") & (F.char_length("text") <= DICT_DOC_CHARS)).select("doc_id", "y", "text").collect()
+    base = _one_text(sample.where(F.col("for_dict") & (F.char_length("text") <= DICT_DOC_CHARS))).collect()
     base.sort(key=lambda r: (r["doc_id"], r["text"]))
     dicts = [build_dictionary([r["text"].encode() for r in base if r["y"] == y]) for y in (0, 1)]
     if not all(len(d) >= 8 for d in dicts):
@@ -147,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, calibrat
             for i, j, data, off in doc_chunks(b, "text"):
                 s = _sizes(data, off, dicts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(np.diff(off))], names=["y", "bad", "good", "n"])
-    got = sample.where(~F.col("for_dict")).select("y", "text").mapInArrow(run, "y int, bad double, good double, n long").collect()
+    got = _one_text(sample.where(~F.col("for_dict"))).select("y", "text").mapInArrow(run, "y int, bad double, good double, n long").collect()
     got.sort(key=lambda r: tuple(r))
     m = np.array([tuple(r) for r in got], float).reshape(-1, 4)
     # classes are drawn up to the same number; weights restore how often they occur
