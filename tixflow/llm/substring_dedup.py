@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing (operator 8).
+"""Substring dedup by content-defined block hashing (operator 8).
 
 Reference blocks.  In every window of ``window`` words the smallest hash among
 its half-length word runs is the window's anchor; neighbouring windows with the
@@ -6,13 +6,12 @@ same anchor form a block.  Equal text has equal anchors, so blocks are cut by
 content alone.  All blocks of all documents are indexed by (anchor, block
 hash), and the index keeps each block's first document.
 
-Factors.  A document is factored greedily against the index: each maximal run
-of blocks that an earlier document holds is copied whole.  Where a factor ends,
-its boundary blocks share an anchor with a different block elsewhere; only
-these are checked window by window, against the windows of the first holders
-of all blocks with that anchor.  Every word of a window that also starts in an
-earlier document is a duplicate.  The result is exact: it equals comparing all
-windows with all windows.
+Copies.  It stands in for a relative Lempel-Ziv parsing: no text is factored.
+Each block that an earlier document holds is a copy, one by one.  A block that
+is none, but shares its anchor with a different block elsewhere, is checked
+window by window, against the windows of all such blocks.  Every word of a
+window that also starts in an earlier document is a duplicate.  The result is
+exact: it equals comparing all windows with all windows.
 
 The index holds one row per block (about one per ``window / 4`` words), is
 pre-aggregated before it is shuffled, and no group of equal blocks is ever
