@@ -78,4 +78,27 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN per USING (doc_id)"""
 
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1, "op6_secret_scans": _op6(), "op8_substring_dedup": OP8, "op9_decontamination": OP9}
+# The stop words of the operator's table, written out.
+STOPS = ("a al als and are as at au auf avec be by con dans das de del dem den der des die du ein eine el en es est et for from have im in is ist it la las le les lo los "
+         "mit nicht no of on par para pas por pour que qui se sich su sur that the this to un una und une von was with y zu").split()
+OP13 = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, {_words('text', SPACE_WORD, False)} AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+win AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS win FROM pos),
+twice AS (SELECT doc_id, win FROM win GROUP BY doc_id, win HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+line AS (SELECT doc_id, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS y FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup, count(*) FILTER (WHERE regexp_matches(y, '^[-*•‣●▪]')) AS bullet,
+  count(*) FILTER (WHERE y LIKE '%...' OR y LIKE '%…') AS cut FROM line WHERE y <> '' GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+  len(list_filter(regexp_extract_all({FOLD.format(x='t')}, '\p{{L}}+'), x -> x IN ({", ".join(f"'{w}'" for w in STOPS)}))) AS n_stop_words,
+  coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines, coalesce(l.bullet, 0) AS n_bullet_lines, coalesce(l.cut, 0) AS n_cut_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN rep r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', CASE WHEN n_words < 50 THEN 'few_words' END,
+  CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated_words' END, CASE WHEN n_words > 100000 THEN 'many_words' END, CASE WHEN word_chars < 3 * n_words THEN 'short_words' END,
+  CASE WHEN word_chars > 10 * n_words THEN 'long_words' END, CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END, CASE WHEN 100 * n_letter_words < 80 * n_words THEN 'few_letters' END,
+  CASE WHEN 100 * n_stop_words < 6 * n_words THEN 'few_stop_words' END, CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 'repeated_lines' END,
+  CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullet_lines' END, CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 'cut_lines' END) AS failed FROM m)
+SELECT *, failed = '' AS kept FROM f"""
+
+ORACLE_SQL = {"op1_minhash_dedup": OP1, "op6_secret_scans": _op6(), "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op13_quality_rules": OP13}

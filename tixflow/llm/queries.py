@@ -16,6 +16,7 @@ from tixflow.llm.minhash_dedup import op1_minhash_dedup
 from tixflow.llm.oracle import ORACLE_SQL
 from tixflow.llm.packing import op7_packing
 from tixflow.llm.quality import op3_quality_classifier
+from tixflow.llm.quality_rules import op13_quality_rules
 from tixflow.llm.secrets import op6_secret_scans
 from tixflow.llm.substring_dedup import op8_substring_dedup
 from tixflow.llm.token_counts import op5_token_counts
@@ -30,5 +31,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_secret_scans,
-                                              op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring)}
+                                              op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring, op13_quality_rules)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
