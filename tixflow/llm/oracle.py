@@ -90,8 +90,8 @@ line AS (SELECT doc_id, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+
 lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup, count(*) FILTER (WHERE regexp_matches(y, '^[-*•‣●▪]')) AS bullet,
   count(*) FILTER (WHERE y LIKE '%...' OR y LIKE '%…') AS cut FROM line WHERE y <> '' GROUP BY doc_id),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
-  len(list_filter(regexp_extract_all({FOLD.format(x='t')}, '\p{{L}}+'), x -> x IN ({", ".join(f"'{w}'" for w in STOPS)}))) AS n_stop_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+  len(list_filter(regexp_extract_all({FOLD.format(x='t')}, '\p{{L}}+'), lambda x: x IN ({", ".join(f"'{w}'" for w in STOPS)}))) AS n_stop_words,
   coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines, coalesce(l.bullet, 0) AS n_bullet_lines, coalesce(l.cut, 0) AS n_cut_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN rep r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', CASE WHEN n_words < 50 THEN 'few_words' END,

@@ -15,6 +15,7 @@ from tixflow.llm.lm_scoring import op10_lm_scoring
 from tixflow.llm.minhash_dedup import op1_minhash_dedup
 from tixflow.llm.oracle import ORACLE_SQL
 from tixflow.llm.packing import op7_packing
+from tixflow.llm.periodic_runs import op11_periodic_runs
 from tixflow.llm.quality import op3_quality_classifier
 from tixflow.llm.quality_rules import op13_quality_rules
 from tixflow.llm.secrets import op6_secret_scans
@@ -31,5 +32,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_secret_scans,
-                                              op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring, op13_quality_rules)}
+                                              op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring, op11_periodic_runs, op13_quality_rules)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
