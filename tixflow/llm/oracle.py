@@ -101,4 +101,20 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullet_lines' END, CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 'cut_lines' END) AS failed FROM m)
 SELECT *, failed = '' AS kept FROM f"""
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1, "op6_secret_scans": _op6(), "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op13_quality_rules": OP13}
+# CRC-32 of a number's decimal text, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, ch: list_reduce(list_prepend(xor(crc, ch), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"""
+OP12 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations),
+own AS MATERIALIZED (SELECT conv_id, list(struct_pack(r := r, t := t) ORDER BY i) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, l, {CRC.format(x='conv_id')} % 6 AS h FROM own),
+re AS MATERIALIZED (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS l FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+pre AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS p FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM re)),
+node AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends FROM pre GROUP BY p, d),
+kid AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+own_sum AS (SELECT node.p, node.d, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * length(node.p[node.d].t) END AS saved FROM node LEFT JOIN kid ON kid.p = node.p),
+tree AS (SELECT p[1:k] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT p, leaf, saved, unnest(range(0, d + 1)) AS k FROM own_sum) GROUP BY 1)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN tree ON tree.p = node.p LEFT JOIN kid ON kid.p = node.p LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]"""
+
+ORACLE_SQL = {"op1_minhash_dedup": OP1, "op6_secret_scans": _op6(), "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op12_conversation_trie": OP12, "op13_quality_rules": OP13}

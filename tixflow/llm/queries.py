@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tixflow.llm.common import ship_package
+from tixflow.llm.conversation_trie import op12_conversation_trie
 from tixflow.llm.decontaminate import op9_decontamination
 from tixflow.llm.fingerprints import op2_fingerprints
 from tixflow.llm.line_dedup import op4_line_dedup
@@ -32,5 +33,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_minhash_dedup, op2_fingerprints, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_secret_scans,
-                                              op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring, op11_periodic_runs, op13_quality_rules)}
+                                              op7_packing, op8_substring_dedup, op9_decontamination, op10_lm_scoring, op11_periodic_runs, op12_conversation_trie, op13_quality_rules)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
