@@ -46,20 +46,22 @@ def drop_stop_words(tokens: Column, stop_words: list[str] | None = None) -> Colu
     words = STOP_WORDS if stop_words is None else stop_words
     if not words:
         return tokens
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: ~t.isin(words))  # a hash set in the plan
 
 
 def with_bigrams(tokens: Column) -> Column:
     """Unigrams followed by adjacent bigrams (n-gram range 1..2).
 
-    ``zip_with`` of the array and its one-step shift: linear in the token
-    count (an index lambda over ``tokens`` would re-evaluate the whole token
-    expression per element).
+    ``tokens`` is bound once as the variable of a one-element ``transform``:
+    named several times, its whole expression would be evaluated as often.
+    ``zip_with`` of the array and its one-step shift is linear in the tokens.
     """
-    shifted = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.zip_with(tokens, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(tokens, F.filter(pairs, lambda x: x.isNotNull()))
+    def both(t: Column) -> Column:
+        shifted = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+        pairs = F.zip_with(t, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(t, F.filter(pairs, lambda x: x.isNotNull()))
+
+    return F.get(F.transform(F.array(tokens), both), 0)
 
 
 def vectoriser_terms(text: Column, stop_words: list[str] | None = STOP_WORDS,

@@ -1,10 +1,10 @@
 """Connected components and distributed ranking.
 
 Components: min-label propagation with pointer jumping (label := label of
-the label), reliable checkpoints in each round so the lineage stays short and
+the label), a written table in each round so the lineage stays short and
 a lost executor only costs the current round.  The driver sees one row per
 round (whether a label changed).  Hot vertices and labels: both inputs of
-every join are checkpointed tables, i.e. plain shuffles, which AQE's skew join
+every join are written tables, i.e. plain shuffles, which AQE's skew join
 can split; minima are combined before they are shuffled.
 """
 

@@ -1,4 +1,4 @@
-"""Density clustering over the similar-pair graph.
+"""Density clustering of texts by similarity.
 
 Semantics (eps-neighbourhood on cosine distance, ``min_samples`` counting the
 point itself): a vector with multiplicity m is its own neighbour m times; a
@@ -13,6 +13,7 @@ become noise (-1).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +23,33 @@ from tixflow.config import (DBSCAN_EPS, DBSCAN_MIN_SAMPLES, MIN_CLUSTER_SIZE,
 from tixflow.functions.text import vectoriser_terms
 from tixflow.operators import similarity as S
 from tixflow.operators import textfeat
-from tixflow.operators.components import connected_components, dense_index
+from tixflow.operators.ballcover import ball_clusters
+from tixflow.operators.components import dense_index
 from tixflow.session import cut_lineage
 
 
 @dataclass
 class DensityResult:
+    """Labels and what they come from; the neighbour graph is made only when asked for."""
+
     vocab: DataFrame          # (term, total, df, idf)
     weights: DataFrame        # (vid, term, df, w) per distinct vector
     members: DataFrame        # (ids..., h1, h2) documents with non-zero vectors
     vectors: DataFrame        # (h1, h2, vid, mult, key)
-    pairs: DataFrame          # (a, b, sim) similar distinct vectors, a < b
-    core: DataFrame           # (vid, mult, mass, is_core)
     vector_clusters: DataFrame  # (vid, cluster_id) vectors in kept clusters
     labels: DataFrame         # (ids..., cluster_id) for every document (-1 = noise)
+    threshold: float
+    min_samples: int
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(a, b, sim) similar distinct vectors, a < b."""
+        return cut_lineage(S.similar_pairs(self.weights, self.threshold))
+
+    @cached_property
+    def core(self) -> DataFrame:
+        """(vid, mult, mass, is_core) with the exact neighbour mass."""
+        return cut_lineage(core_points(self.vectors, self.pairs, self.min_samples))
 
 
 def core_points(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
@@ -50,24 +64,14 @@ def core_points(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataF
     return c.select("vid", "mult", mass.alias("mass"), (mass >= min_samples).alias("is_core"))
 
 
-def assign_clusters(core: DataFrame, pairs: DataFrame, min_cluster_size: int) -> DataFrame:
-    """(vid, cluster_id) for vectors in clusters of >= ``min_cluster_size`` documents."""
-    cores = core.where("is_core").select(F.col("vid").alias("node"))
-    cc_edges = (pairs.join(cores.withColumnRenamed("node", "a"), "a")
-                     .join(cores.withColumnRenamed("node", "b"), "b")
-                     .select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    comp = connected_components(cores, cc_edges)  # (node, comp); comp = first core vid
-    # Border vectors: non-core with a core neighbour -> earliest adjacent cluster.
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    noncore = core.where(~F.col("is_core")).select(F.col("vid").alias("a"))
-    border = (both.join(noncore, "a")
-                  .join(comp.select(F.col("node").alias("b"), "comp"), "b")
-                  .groupBy("a").agg(F.min("comp").alias("comp"))
-                  .select(F.col("a").alias("vid"), "comp"))
-    member = comp.select(F.col("node").alias("vid"), "comp").unionByName(border)
-    numbered = dense_index(comp.select("comp"), "comp", "cluster_id")
-    sized = (member.join(core.select("vid", "mult"), "vid")
-                   .groupBy("comp").agg(F.sum("mult").alias("size"))
+def number_clusters(member: DataFrame, mult: DataFrame, min_cluster_size: int) -> DataFrame:
+    """(vid, cluster_id) for vectors in clusters of >= ``min_cluster_size`` documents, from (vid, comp).
+
+    Clusters are numbered by their first core vector, before the size filter.
+    """
+    member = cut_lineage(member)
+    numbered = dense_index(member.select("comp"), "comp", "cluster_id")
+    sized = (member.join(mult, "vid").groupBy("comp").agg(F.sum("mult").alias("size"))
                    .where(F.col("size") >= min_cluster_size))
     return (member.join(sized.select("comp"), "comp")
                   .join(numbered, "comp")
@@ -95,17 +99,16 @@ def density_clusters(docs: DataFrame, ids: list[str], ord_col: str, text_col: st
     tf = cut_lineage(textfeat.term_counts(d, [*tkeys, "tord", "tmult"]))
     n_docs = texts.agg(F.sum("tmult").alias("n_docs"))
     vocab = textfeat.vocabulary(tf, n_docs, max_features, min_df, weight="tmult")
-    # The vocabulary (<= max_features rows), the distinct vectors, the pair
-    # table and the core table are each read several times below: write them
-    # once to the reliable checkpoint folder instead of recomputing the
-    # self-join per use (also bounds the lineage a lost executor replays).
+    # The vocabulary (<= max_features rows), the distinct vectors and their
+    # weights are each read several times below: written once to the reliable
+    # checkpoint folder (also bounds the lineage a lost executor replays).
     vocab = cut_lineage(vocab)
     text_vec, vectors = S.collapse_vectors(tf, vocab, tkeys, "tord", "tmult")
     vectors = cut_lineage(vectors)
     weights = cut_lineage(S.unit_weights(vectors, vocab))
-    pairs = cut_lineage(S.similar_pairs(weights, 1.0 - eps))
-    core = cut_lineage(core_points(vectors, pairs, min_samples))
-    vc = cut_lineage(assign_clusters(core, pairs, min_cluster_size))
+    vec = cut_lineage(S.vector_table(weights).join(vectors.select("vid", "mult"), "vid"))
+    comp = ball_clusters(vec, 1.0 - eps, min_samples)
+    vc = cut_lineage(number_clusters(comp, vectors.select("vid", "mult"), min_cluster_size))
     # Distinct-text sized; texts with a zero vector or in no kept cluster -> -1.
     # Materialised, so the documents of a hot text can be split in the join.
     text_label = cut_lineage(text_vec.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"])
@@ -113,7 +116,7 @@ def density_clusters(docs: DataFrame, ids: list[str], ord_col: str, text_col: st
     labels = (doc_text.join(text_label, tkeys, "left")
                       .select(*ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
     members = doc_text.join(text_vec, tkeys).select(*ids, "h1", "h2")
-    return DensityResult(vocab, weights, members, vectors, pairs, core, vc, labels)
+    return DensityResult(vocab, weights, members, vectors, vc, labels, 1.0 - eps, min_samples)
 
 
 def noise_count(labels: DataFrame) -> DataFrame:

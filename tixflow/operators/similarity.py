@@ -1,6 +1,6 @@
 """Thresholded cosine self-join (P1) and similar-document search (P20).
 
-All-pairs cosine is a theta join; it is re-expressed as an equi-join on terms:
+All-pairs cosine is a theta join; it is re-expressed over tiles of vectors:
 
 1. Documents whose in-vocabulary term counts are equal have equal vectors;
    they collapse to one vector with a multiplicity (a ``groupBy`` on a
@@ -9,14 +9,26 @@ All-pairs cosine is a theta join; it is re-expressed as an equi-join on terms:
 2. L2 prefix filter (Bayardo et al., WWW 2007): order each vector's terms by
    ascending document frequency and index only the prefix whose remaining
    suffix norm is still >= t.  Any pair with cosine >= t shares a prefix term,
-   so joining prefix x prefix on ``term`` loses no pair.
-3. Candidates get their exact dot product from the two unit vectors.
+   so only vectors on one posting list have to meet.
+3. Every posting list is cut into tiles of at most about ``TILE`` vectors and
+   each pair of tiles is one group, so no task holds a whole list however
+   frequent its term is.  A group scores its vectors by one matrix product and
+   returns only pairs that reach the threshold; a pair on several lists is
+   returned by the first of them.
+4. With a vocabulary of at most ``max_features`` terms the lists of dense
+   vectors overlap so much that their squares add up to more than the square
+   of the number of vectors.  Then all vectors are one list (counted, not
+   guessed), which is less work for the same result.
 
 Per-vector windows are bounded by the vocabulary size.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +36,7 @@ from tixflow.operators import textfeat
 from tixflow.session import cut_lineage
 
 SIM_DECIMALS = 9
+TILE = 1024  # vectors a side of a scored pair of tiles
 
 
 def vector_hash(key: Column) -> tuple[Column, Column]:
@@ -59,53 +72,103 @@ def unit_weights(vectors: DataFrame, vocab: DataFrame, sublinear: bool = True) -
     return w.join(F.broadcast(vocab.select("term", "df")), "term")
 
 
-def prefix_terms(w: DataFrame, threshold: float, margin: float = 1e-6) -> DataFrame:
-    """(vid, term, w) of each vector's L2 prefix for cosine threshold ``threshold``."""
-    order = Window.partitionBy("vid").orderBy(F.col("df").asc(), F.col("term").asc()) \
-                  .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    t = max(threshold - margin, 0.0)
-    suffix = F.sum(F.col("w") * F.col("w")).over(order)
-    return w.withColumn("_suffix", suffix).where(F.col("_suffix") >= t * t).select("vid", "term", "w")
+def vector_table(w: DataFrame) -> DataFrame:
+    """(vid, tids, ws, pre): each vector's weights by integer term id.
+
+    Ids are ranks by (document frequency, term) over the bounded vocabulary.
+    """
+    tid = (w.select("term", "df").distinct()
+            .select("term", (F.row_number().over(Window.orderBy("df", "term")) - 1).cast("int").alias("tid")))
+    e = w.join(F.broadcast(tid), "term").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("tid", "w"))).alias("e"))
+    return e.select("vid", F.col("e.tid").alias("tids"), F.col("e.w").alias("ws"))
+
+
+def _prefix_lists(vec: DataFrame, cos_limit: Column, margin: float = 1e-6) -> DataFrame:
+    """``vec`` with ``pre``: the term ids of the L2 prefix for the row's own limit."""
+    t = F.greatest(cos_limit - margin, F.lit(0.0))
+    n = F.size("ws")
+    # squared norm of what follows and includes each position, from the last to the first
+    tail = F.reverse(F.aggregate(F.reverse("ws"), F.array().cast("array<double>"),
+                                 lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + x * x))))
+    return vec.withColumn("_tail", tail).withColumn(
+        "pre", F.slice("tids", 1, F.greatest(F.size(F.filter("_tail", lambda x: x >= t * t)), F.least(n, F.lit(1))))).drop("_tail")
 
 
-def candidate_pairs(w: DataFrame, threshold: float, margin: float = 1e-9) -> DataFrame:
-    """(a, b) pairs sharing a prefix term whose cosine can still reach ``threshold``.
+def _tile_pairs(lists: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """Rows (list, i, j, at, vid, ...): every row of a list once for each pair of tiles that it is in.
 
-    While grouping the prefix join per pair, the partial dot over the shared
-    prefix terms and their squared norms give an exact upper bound
-    (Cauchy-Schwarz on the remaining coordinates):
-    ``dot <= partial + sqrt(1 - sa) * sqrt(1 - sb)``.  Pairs below it are
-    dropped before any full vector is touched.
+    ``sizes``: (list, k), the number of tiles of each list; bounded by the
+    vocabulary and broadcast.
+    """
+    d = lists.join(F.broadcast(sizes), "list")
+    d = d.withColumn("at", F.pmod(F.xxhash64("vid", "list"), F.col("k")).cast("int"))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
+    return d.withColumn("i", F.least("at", "_o")).withColumn("j", F.greatest("at", "_o")).drop("_o", "k")
+
+
+def _score_tiles(theta: float, n_terms: int, margin: float = 1e-9):
+    """Function over one pair of tiles: (a, b, sim) of vectors at most theta + r(a) + r(b) apart, a < b."""
+    def dense(t: pa.Table) -> np.ndarray:
+        tids, ws = t.column("tids").combine_chunks(), t.column("ws").combine_chunks()
+        x = np.zeros((t.num_rows, n_terms))
+        rows = np.repeat(np.arange(t.num_rows), np.diff(tids.offsets.to_numpy()))
+        x[rows, tids.flatten().to_numpy()] = ws.flatten().to_numpy()
+        return x
+
+    def score(key: tuple, t: pa.Table) -> pa.Table:
+        lst, i, j = (k.as_py() for k in key)
+        at = t.column("at").to_numpy()
+        left = t.filter(pa.array(at == i))
+        right = left if i == j else t.filter(pa.array(at == j))
+        va, vb = left.column("vid").to_numpy(), right.column("vid").to_numpy()
+        ra, rb = left.column("r").to_numpy(), right.column("r").to_numpy()
+        sims = dense(left) @ dense(right).T if len(va) and len(vb) else np.zeros((len(va), len(vb)))
+        if ra.any() or rb.any():
+            limit = np.cos(np.minimum(theta + ra[:, None] + rb[None, :], np.pi)) - margin
+        else:
+            limit = np.cos(theta) - margin
+        x, y = np.nonzero(sims >= limit)
+        if i == j:
+            once = va[x] < vb[y]
+            x, y = x[once], y[once]
+        if lst >= 0 and len(x):  # on several lists: the first shared prefix term returns the pair
+            pa_, pb_ = left.column("pre").combine_chunks(), right.column("pre").combine_chunks()
+            first = [np.intersect1d(pa_[p].values.to_numpy(), pb_[q].values.to_numpy())[0] == lst for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+            x, y = x[first], y[first]
+        a, b = va[x], vb[y]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sims[x, y]})
+
+    return score
+
+
+def near_vectors(vec: DataFrame, theta: float, tile: int = TILE, max_radius: float = 0.0) -> DataFrame:
+    """(a, b, sim) of the pairs of ``vec`` (vid, r, tids, ws; staged) at most theta + r(a) + r(b) apart (angles).
+
+    ``max_radius`` bounds r.  See the module's text for the tiles.
     """
-    p = prefix_terms(w, threshold)
-    pa = p.select(F.col("vid").alias("a"), "term", F.col("w").alias("wa"))
-    pb = p.select(F.col("vid").alias("b"), "term", F.col("w").alias("wb"))
-    g = (pa.join(pb, "term").where(F.col("a") < F.col("b"))
-           .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("_dot"),
-                                  F.sum(F.col("wa") * F.col("wa")).alias("_sa"),
-                                  F.sum(F.col("wb") * F.col("wb")).alias("_sb")))
-    ub = F.col("_dot") + F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("_sa"))) * \
-        F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("_sb")))
-    return g.where(ub >= threshold - margin).select("a", "b")
-
-
-def similar_pairs(w: DataFrame, threshold: float) -> DataFrame:
+    reach = F.least(F.lit(theta) + F.col("r") + F.lit(max_radius), F.lit(math.pi / 2))
+    with_pre = cut_lineage(_prefix_lists(vec, F.cos(reach)))
+    posting = with_pre.select(F.explode("pre").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("m"))
+    # one row each reaches the driver
+    total = vec.agg(F.count(F.lit(1)).alias("n"), (F.max(F.get("tids", F.size("tids") - 1)) + 1).alias("terms")).first()
+    work = posting.agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("s")).first()["s"] or 0.0
+    n_terms = total["terms"] or 1
+    if max_radius > 0 and theta + 2 * max_radius >= math.pi / 2 or work >= float(total["n"]) ** 2:
+        k = -(-total["n"] // tile) or 1
+        lists = with_pre.select(F.lit(-1).alias("list"), "vid", "r", "tids", "ws", F.array().cast("array<int>").alias("pre"))
+        sizes = vec.sparkSession.range(1).select(F.lit(-1).alias("list"), F.lit(k).cast("long").alias("k"))
+    else:
+        lists = with_pre.select(F.explode("pre").alias("list"), "vid", "r", "tids", "ws", "pre")
+        sizes = posting.select("list", F.ceil(F.col("m") / tile).alias("k"))
+    groups = _tile_pairs(lists, sizes, tile).groupBy("list", "i", "j")
+    return groups.applyInArrow(_score_tiles(theta, n_terms), "a long, b long, sim double")
+
+
+def similar_pairs(w: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(a, b, sim) with a < b and round(cosine, 9) >= threshold."""
-    cand = candidate_pairs(w, threshold)
-    # Integer term ids keep the per-candidate maps small: the vocabulary is
-    # bounded (max_features rows), so one ordered window over it is cheap.
-    tid = (w.select("term").distinct()
-            .select("term", F.row_number().over(Window.orderBy("term")).cast("int").alias("_tid")))
-    vec = (w.join(F.broadcast(tid), "term")
-            .groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("_tid", "w"))).alias("m")))
-    va = vec.select(F.col("vid").alias("a"), F.col("m").alias("ma"))
-    vb = vec.select(F.col("vid").alias("b"), F.col("m").alias("mb"))
-    j = cand.join(va, "a").join(vb, "b")
-    # Only the shared terms are looked up (hash intersection of the key sets).
-    shared = F.array_intersect(F.map_keys("ma"), F.map_keys("mb"))
-    dot = F.aggregate(shared, F.lit(0.0),
-                      lambda acc, k: acc + F.element_at("ma", k) * F.element_at("mb", k))
-    sims = j.select("a", "b", F.round(dot, SIM_DECIMALS).alias("sim"))
+    vec = cut_lineage(vector_table(w).withColumn("r", F.lit(0.0)))
+    near = near_vectors(vec, math.acos(max(threshold - 1e-9, -1.0)), tile)
+    sims = near.select("a", "b", F.round("sim", SIM_DECIMALS).alias("sim"))
     return sims.where(F.col("sim") >= F.lit(round(threshold, SIM_DECIMALS)))
 
 
