@@ -192,23 +192,3 @@ def find_similar(doc_text: DataFrame, texts: DataFrame, text_w: DataFrame, query
                  .orderBy(F.round("similarity_score", SIM_DECIMALS).desc(), "tord").limit(top_n).drop("tord"))
     return (doc_text.join(F.broadcast(best), ["th1", "th2"])
                     .orderBy(F.round("similarity_score", SIM_DECIMALS).desc(), F.col(order_col).asc()).limit(top_n))
-
-
-def find_similar_batch(doc_text: DataFrame, texts: DataFrame, text_w: DataFrame, query_w: DataFrame,
-                       query_key: str, order_col: str, top_n: int = 10) -> DataFrame:
-    """P20 for many queries: (query_key, rank, document columns, similarity_score).
-
-    ``query_w``: (query_key, term, w).  An equi-join on the term scores each
-    query against the distinct texts; a group limit keeps ``top_n`` texts a
-    query before their documents are joined and ranked.  Documents that share
-    no term with a query are not listed.
-    """
-    scores = (text_w.join(query_w.select(query_key, "term", F.col("w").alias("qw")), "term")
-                    .groupBy(query_key, "th1", "th2").agg(F.sum(F.col("w") * F.col("qw")).alias("similarity_score"))
-                    .join(texts.select("th1", "th2", "tord"), ["th1", "th2"]))
-    by_score = F.round("similarity_score", SIM_DECIMALS).desc()
-    texts_first = F.row_number().over(Window.partitionBy(query_key).orderBy(by_score, "tord"))
-    best = scores.withColumn("_r", texts_first).where(F.col("_r") <= top_n).drop("_r", "tord")
-    docs_first = F.row_number().over(Window.partitionBy(query_key).orderBy(by_score, order_col))
-    return (doc_text.join(best, ["th1", "th2"]).withColumn("rank", docs_first)
-                    .where(F.col("rank") <= top_n).drop("th1", "th2"))

@@ -408,22 +408,23 @@ def _sql_find_similar_batch() -> str:
     s = O.Sql()
     t = O.tickets(s)
     O.tfidf_ctes(s, "pt", t, ["number"], O.pattern_tokens("full_text"), TFIDF_MAX_FEATURES, 2)
-    s.add("qd", "SELECT n_nationkey AS qid, 'customer in ' || n_name || ' lost connectivity after password reset' AS txt FROM nation")
-    O.transform_ctes(s, "qv", "pt_vocab", "qd", ["qid"], O.pattern_tokens("txt"))
-    s.add("sc", "SELECT q.qid, w.number, sum(w.w * q.w) AS score FROM pt_w w JOIN qv_w q USING (term) GROUP BY q.qid, w.number")
-    s.add("rk", f"SELECT sc.*, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, t.ingest_ord) AS rank FROM sc JOIN {t} t USING (number)")
+    s.add("qd", f"SELECT number AS qid FROM {t} WHERE CAST(substr(number, 4) AS BIGINT) % 50 = 0")
+    s.add("sc", "SELECT q.number AS qid, w.number, sum(w.w * q.w) AS score FROM pt_w w JOIN pt_w q USING (term) "
+                "WHERE q.number IN (SELECT qid FROM qd) GROUP BY q.number, w.number")
+    s.add("rk", f"SELECT qd.qid, t.number, coalesce(sc.score, 0.0) AS score, row_number() OVER (PARTITION BY qd.qid "
+                f"ORDER BY round(coalesce(sc.score, 0.0), 9) DESC, t.ingest_ord) AS rank "
+                f"FROM qd CROSS JOIN {t} t LEFT JOIN sc ON sc.qid = qd.qid AND sc.number = t.number")
     return s.select("SELECT qid, rank, number, round(score, 6) AS similarity_score FROM rk WHERE rank <= 5")
 
 
 @register("find_similar_batch", _sql_find_similar_batch)
 def q_find_similar_batch(spark, sf_dir):
-    """P20 for one query text per nation."""
-    from tixflow.operators.similarity import find_similar_batch
-    from tixflow.sources.tables import read_table
+    """P20 with every ticket whose key is divisible by 50 as a query, against all tickets."""
+    from tixflow.operators.search import find_similar_batch
     vocab, doc_text, texts, w = _fitted_texts(spark, sf_dir)
-    text = F.concat(F.lit("customer in "), F.col("n_name"), F.lit(" lost connectivity after password reset"))
-    qd = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), vectoriser_terms(text).alias("terms"))
-    r = find_similar_batch(doc_text, texts, w, TF.transform(qd, vocab, ["qid"]), "qid", "ingest_ord", 5)
+    asked = tickets(spark, sf_dir).where(F.substring("number", 4, 20).cast("long") % 50 == 0)
+    r = find_similar_batch(asked.select(F.col("number").alias("qid"), F.col("full_text").alias("query")), "qid", "query",
+                           doc_text.select("number", "ingest_ord", "th1", "th2"), texts, w, vocab, vectoriser_terms, "ingest_ord", 5)
     return r.select("qid", F.col("rank").cast("long").alias("rank"), "number", r6(F.col("similarity_score")).alias("similarity_score"))
 
 
