@@ -154,12 +154,16 @@ def normalize(raw: DataFrame, as_of: datetime | str | None = None, *,
     return dedupe_keep_last(df) if dedupe else df
 
 
-def dedupe_keep_last(df: DataFrame, key: str = "number") -> DataFrame:
+def dedupe_keep_last(df: DataFrame, key: str = "number", updated: str | None = None) -> DataFrame:
     """One row per ``key``, the one with the largest ``ingest_ord``.
 
+    With ``updated`` (a timestamp column) the latest update wins and
+    ``ingest_ord`` decides between equal ones; rows without one are the oldest.
+
     ``row_number() = 1`` prunes unused columns and runs as a group limit before
     and after the shuffle, so of a key that holds a large share of the rows
     (e.g. NULL numbers) every task sends one row.
     """
-    latest = Window.partitionBy(key).orderBy(F.col(ORD).desc())
+    order = [F.col(ORD).desc()] if updated is None else [F.col(updated).desc_nulls_last(), F.col(ORD).desc()]
+    latest = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn")

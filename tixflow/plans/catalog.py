@@ -159,6 +159,20 @@ def q_dedupe(spark, sf_dir):
     return tickets(spark, sf_dir, "dup").select("number", "state", "ingest_ord")
 
 
+@register("keep_latest_upsert", _sql_norm("number, state, ingest_ord", "dup"))
+def q_upsert(spark, sf_dir):
+    """The duplicate view merged in three batches, the latest rows first and some rows twice; then the current table."""
+    from uuid import uuid4
+
+    from tixflow.session import ensure_checkpoint_dir
+    from tixflow.streaming.upsert import read_current, upsert
+    rows = normalize(FX.tk_dup_raw(spark, sf_dir), FX.AS_OF, dedupe=False).withColumn("_b", F.pmod(F.xxhash64("number", "ingest_ord"), F.lit(3)))
+    table = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid4().hex}"
+    for i, part in enumerate(("_b = 2", "_b = 1", "_b <> 1")):
+        upsert(rows.where(part).drop("_b"), i, table, 8)
+    return read_current(spark, table).select("number", "state", "ingest_ord")
+
+
 # ---------------------------------------------------------------------------
 # Metrics
 # ---------------------------------------------------------------------------
