@@ -22,34 +22,29 @@ def test_patience_blocks():
             i0, j0 = i + n, j + n
 
 
-def reference_line_dedup(rows):
-    lines = {i: t.split("\n") if t else [] for i, t in rows}
-    first, held = {}, {}
-    for i in sorted(lines):
-        for x in set(lines[i]):
-            first.setdefault(x, i)
-            held[x] = held.get(x, 0) + 1
-    size = lambda x: min(9, len(x.encode().split()))
-    out = {}
-    for i, own in lines.items():
-        gone = set()
-        for p in {first[x] for x in own if x.split() and first[x] < i and held[x] > 1 and (held[x] <= 100 or size(x) >= 8)}:
-            for _, j, n in line_dedup.patience(lines[p], own):
-                if sum(map(size, own[j:j + n])) >= 8:
-                    gone |= set(range(j, j + n))
-        out[i] = (len(own), len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone))
-    return out
-
-
 def test_line_dedup(docs_of):
     rng = random.Random(4)
     pool = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 14))) for _ in range(60)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(150)] + [(200, ""), (201, "\n\n"), (202, "short"), (203, "short")]
     got = {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], r["text"]) for r in line_dedup.dedup_lines(docs_of(rows, clash=True)).collect()}
-    assert got == reference_line_dedup(rows)
+    kept = whole_line_dedup(rows)
+    count = lambda t: len(t.split("\n")) if t else 0
+    assert {i: t for i, (_, _, t) in got.items()} == kept
+    assert all(got[i][0] == count(t) for i, t in rows) and all(n - gone == count(t) for i, (n, gone, t) in got.items() if t)
     assert sum(x[1] for x in got.values()) > 100
 
 
+def test_alignment_deletes(monkeypatch):
+    """Blocks leave through the alignment only: without it nothing does."""
+    import numpy as np
+    a, b = np.array([1, 2, 3, 9, 4, 5], np.int64), np.array([4, 5, 7, 1, 2, 3, 1, 2, 3], np.int64)
+    wa, wb = np.full(6, 4), np.full(9, 4)
+    cut = lambda: line_dedup.common_lines((a, np.array([0, 6])), wa, (b, np.array([0, 9])), wb, 8).tolist()
+    assert cut() == [True, True, False, True, True, True, True, True, True]
+    monkeypatch.setattr(line_dedup, "patience", lambda x, y: [])
+    assert not any(cut())
+
+
 def test_line_dedup_edges(docs_of):
     long = "one two three four five six seven eight nine"
     d = docs_of([(1, long), (2, long), (2, long), (None, None), (None, long), (3, f"{long}\nmore"), (4, "")], clash=True)

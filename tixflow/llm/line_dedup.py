@@ -12,10 +12,11 @@ Each pair is aligned by patience diff: lines that are unique in both documents
 are matched along their longest increasing run, matches grow over equal
 neighbours, and the gaps between them are aligned in the same way; in a gap
 without unique lines the n-th occurrences of a line are matched.  An alignment
-leaves repeats and lines in another order; there, the later document's runs are
-looked up among the earlier one's.  Common blocks of at least ``BLOCK_WORDS``
-words are deleted from the later document: a line stays if and only if no such
-block around it is in an earlier document.  All pairs are judged on the input,
+leaves repeats and lines in another order: what is left of the later document
+is aligned again, piece by piece, with the places of the earlier one where its
+runs occur.  Aligned common blocks of at least ``BLOCK_WORDS`` words are deleted
+from the later document: a line stays if and only if no such block around it is
+in an earlier document.  All pairs are judged on the input,
 so a block's first holder always keeps it.
 
 Only line hashes (8 bytes a line) are shuffled for counting and aligning;
@@ -174,13 +175,21 @@ def common_lines(a: tuple, wa: np.ndarray, b: tuple, wb: np.ndarray, block_words
         for _, k, n in patience(la[i:z], lb[j:y]):
             if acc[j + k + n] - acc[j + k] >= block_words:
                 gone[j + k:j + k + n] = True
-    # what the alignment left: repeats and other orders
-    (ra, _, _, ka), (rb, s, e, kb) = runs(ha.view(np.uint64), wa, oa, block_words), runs(hb.view(np.uint64), wb, ob, block_words)
-    hit = np.isin(kb ^ kernel.mix(rb.astype(np.uint64)), ka ^ kernel.mix(ra.astype(np.uint64)))
-    edge = np.zeros(len(hb) + 1, np.int64)
-    np.add.at(edge, s[hit], 1)
-    np.add.at(edge, e[hit], -1)
-    return gone | (np.cumsum(edge[:-1]) > 0)
+    # what the alignment left, repeats and other orders, is aligned again at the places where its runs occur
+    (ra, sa, ea, ka), (rb, s, e, kb) = runs(ha.view(np.uint64), wa, oa, block_words), runs(hb.view(np.uint64), wb, ob, block_words)
+    ka, kb = ka ^ kernel.mix(ra.astype(np.uint64)), kb ^ kernel.mix(rb.astype(np.uint64))
+    order = np.argsort(ka, kind="stable")
+    at = np.searchsorted(ka, kb, sorter=order)
+    there = np.flatnonzero(at < len(ka))
+    there = there[ka[order[at[there]]] == kb[there]]
+    kept = np.concatenate([[0], np.cumsum(~gone)])
+    for r in there[kept[e[there]] > kept[s[there]]].tolist():
+        x, y, o = int(s[r]), int(e[r]), order[at[r]]
+        if not gone[x:y].all():
+            for _, k, n in patience(la[sa[o]:ea[o]], lb[x:y]):
+                if acc[x + k + n] - acc[x + k] >= block_words:
+                    gone[x + k:x + k + n] = True
+    return gone
 
 
 def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

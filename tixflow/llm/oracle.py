@@ -81,7 +81,7 @@ FROM t LEFT JOIN per USING (doc_id)"""
 # The stop words of the operator's table, written out.
 STOPS = ("a al als and are as at au auf avec be by con dans das de del dem den der des die du ein eine el en es est et for from have im in is ist it la las le les lo los "
          "mit nicht no of on par para pas por pour que qui se sich su sur that the this to un una und une von was with y zu").split()
-OP13 = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, {_words('text', SPACE_WORD, False)} AS w FROM documents),
+OP13 = rf"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, {_words('text', SPACE_WORD, False)} AS w FROM documents),
 pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
 win AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS win FROM pos),
 twice AS (SELECT doc_id, win FROM win GROUP BY doc_id, win HAVING count(*) > 1),
