@@ -25,6 +25,7 @@ from tixflow.config import (KMEANS_MAX_CLUSTERS, OPEN_STATES, RECOMMENDATION_RUL
                             ROOT_CAUSE_MIN_ROWS, STOP_WORDS, AGED_HOURS)
 from tixflow.functions.text import strip_ws, vectoriser_terms
 from tixflow.operators import textfeat
+from tixflow.operators.silhouette import cosine_silhouette, mean_silhouette
 from tixflow.operators.similarity import vector_hash
 from tixflow.session import cut_lineage
 
@@ -103,6 +104,15 @@ def resolution_weights(t: DataFrame, max_features: int = ROOT_CAUSE_MAX_FEATURES
     return members.join(cut_lineage(w), ["h1", "h2"]).select("number", "term", "w")
 
 
+def grouped_silhouette(corpus: DataFrame, max_features: int = ROOT_CAUSE_MAX_FEATURES) -> DataFrame:
+    """R5 for any grouping: (rc_cluster, n, silhouette) of a resolution corpus with ``rc_cluster``; all tickets under null."""
+    corpus = cut_lineage(corpus.select("number", "resolution_text", "rc_cluster"))
+    members, _, _, w = _vectors(corpus, max_features)
+    points = (members.join(corpus.select(F.col("number").alias("_key"), "rc_cluster"), F.col("number").eqNullSafe(F.col("_key")))
+                     .groupBy("h1", "h2", "rc_cluster").agg(F.count(F.lit(1)).alias("mult")))
+    return mean_silhouette(cosine_silhouette(points, cut_lineage(w.select("h1", "h2", "term", "w")), ["h1", "h2"], "rc_cluster"), "rc_cluster")
+
+
 def _labelled(corpus: DataFrame, labels: DataFrame) -> DataFrame:
     """Null-safe on the number: the dedupe keeps one ticket without one."""
     lab = labels.select(F.col("number").alias("_key"), "rc_cluster")

@@ -330,6 +330,34 @@ def q_rootcause_summary_grouped(spark, sf_dir):
                        join("sample_resolutions").alias("samples"), F.col("rc_order").cast("long").alias("rc_order"))
 
 
+def _sql_grouped_silhouette() -> str:
+    """The pairwise definition over distinct (text, group) rows with their number of tickets."""
+    s = O.Sql()
+    t = O.tickets(s)
+    s.add("rcg", _corpus_sql(t))
+    O.tfidf_ctes(s, "rv", "rcg", ["number"], O.pattern_tokens("resolution_text"), 800, 1)
+    s.add("cls", "SELECT resolution_text AS txt, rc_cluster AS g, count(*) AS m FROM rcg WHERE number IN (SELECT number FROM rv_w) GROUP BY ALL")
+    s.add("rep", "SELECT resolution_text AS txt, min(number) AS number FROM rcg GROUP BY ALL")
+    s.add("tw", "SELECT rep.txt, w.term, w.w FROM rep JOIN rv_w w USING (number)")
+    s.add("dot", "SELECT a.txt AS x, b.txt AS y, sum(a.w * b.w) AS d FROM tw a JOIN tw b USING (term) GROUP BY ALL")
+    s.add("size", "SELECT g, sum(m) AS n FROM cls GROUP BY g")
+    s.add("dist", "SELECT a.txt, a.g, a.m, b.g AS og, sum(b.m * (1 - coalesce(dot.d, 0))) AS total FROM cls a CROSS JOIN cls b "
+                  "LEFT JOIN dot ON dot.x = a.txt AND dot.y = b.txt GROUP BY ALL")
+    s.add("ab", "SELECT d.txt, d.g, d.m, max(n) FILTER (WHERE og = d.g) AS own, max(total / (n - 1)) FILTER (WHERE og = d.g AND n > 1) AS a, "
+                "min(total / n) FILTER (WHERE og <> d.g) AS b FROM dist d JOIN size ON size.g = d.og GROUP BY ALL")
+    s.add("sil", "SELECT g, m, CASE WHEN b IS NULL THEN NULL WHEN own = 1 OR greatest(a, b) < 1e-12 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab")
+    return s.select("SELECT coalesce(CAST(g AS VARCHAR), 'all') AS rc_cluster, CAST(sum(m) AS BIGINT) AS n, round(sum(s * m) / sum(m), 6) AS silhouette "
+                    "FROM sil GROUP BY GROUPING SETS ((g), ())")
+
+
+@register("rootcause_silhouette_grouped", _sql_grouped_silhouette)
+def q_grouped_silhouette(spark, sf_dir):
+    """R5 over a fixed grouping of the resolution corpus."""
+    from tixflow.operators.rootcause import grouped_silhouette, resolution_corpus
+    corpus = resolution_corpus(tickets(spark, sf_dir)).withColumn("rc_cluster", (F.col("ingest_ord") % 5).cast("int"))
+    return grouped_silhouette(corpus).select(F.coalesce(F.col("rc_cluster").cast("string"), F.lit("all")).alias("rc_cluster"), "n", r6(F.col("silhouette")).alias("silhouette"))
+
+
 @register("rootcause_invariants", _sql_on_tickets(lambda t: f"""SELECT count(*) AS n_rows, true AS all_labelled, true AS labels_below_k,
   true AS every_k_scored, true AS first_best_chosen FROM ({_corpus_sql(t)})"""))
 def q_rootcause_invariants(spark, sf_dir):
