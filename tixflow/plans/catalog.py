@@ -384,8 +384,9 @@ def tk_density(spark, sf_dir):
 
 
 def conversation_docs(spark, sf_dir):
-    cv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return cv.select("conv_id", "turn", (F.col("conv_id") * 1048576 + F.col("turn")).alias("ord"), "text")
+    from tixflow.operators.components import dense_index
+    cv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text").withColumn("_key", F.struct("conv_id", "turn"))
+    return cv.join(dense_index(cv, "_key", "ord"), "_key").select("conv_id", "turn", "ord", "text")
 
 
 def document_docs(spark, sf_dir):
@@ -411,8 +412,8 @@ def _sql_density(kind: str, final: Callable[[str], str]) -> Callable[[], str]:
             t = O.tickets(s)
             lab = O.density_ctes(s, t, ["number"], "ingest_ord", "full_text", prefix="dc")
         elif kind == "cv":
-            lab = O.density_ctes(s, "conversations", ["conv_id", "turn"], "conv_id * 1048576 + turn", "text",
-                                 prefix="dc")
+            s.add("cvd", "SELECT *, dense_rank() OVER (ORDER BY conv_id, turn) - 1 AS ord FROM conversations")
+            lab = O.density_ctes(s, "cvd", ["conv_id", "turn"], "ord", "text", prefix="dc")
         else:
             lab = O.density_ctes(s, "documents", ["doc_id"], "doc_id", "text", prefix="dc")
         return s.select(final(lab))
