@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import string
 
-from tixflow.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS
-
 FOLD = f"translate({{x}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 TERM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,27 +52,39 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
 
+# (kind, pattern, group of the value, least length); a run of n or more characters starts where its maximal run does.
+SECRETS = [
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("vendor", r"gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+]
+
+
 def _op6() -> str:
     parts = []
-    for no, (kind, pattern, group, least) in enumerate(BASE + ADDED):
+    for no, (kind, pattern, group, least) in enumerate(SECRETS):
         rx = "'" + pattern.replace("'", "''") + "'"
         parts.append(f"""SELECT doc_id, source, {no} AS no, '{kind}' AS kind, {least} AS least,
   unnest(range(1, len(hits) + 1)) AS i, string_split_regex(t, {rx}) AS gaps, hits, regexp_extract_all(t, {rx}, {group}) AS vals
 FROM (SELECT doc_id, source, t, regexp_extract_all(t, {rx}) AS hits FROM t)""")
-    base = f"no < {len(BASE)}"
+    base = "no < 3"
     span = "kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR)"
     return f"""WITH t AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 hit AS ({' UNION ALL '.join(parts)}),
 found AS MATERIALIZED (SELECT doc_id, source, no, kind, vals[i] AS val, CAST(length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i], '')) AS BIGINT) AS e,
   CAST(length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i], '')) - length(hits[i]) AS BIGINT) AS s
   FROM hit WHERE length(vals[i]) >= least),
-own AS (SELECT val, count(DISTINCT coalesce(source, '')) AS n_owners FROM found GROUP BY val),
+own AS (SELECT val, count(DISTINCT struct_pack(s := source)) AS n_owners, count(DISTINCT struct_pack(s := source, d := doc_id)) AS n_repositories FROM found GROUP BY val),
 per AS (SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
-  count(*) FILTER (WHERE NOT {base}) AS n_added, count(*) FILTER (WHERE n_owners < {EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (WHERE n_owners >= {EXAMPLE_OWNERS}) AS n_example,
+  count(*) FILTER (WHERE NOT {base}) AS n_added, count(*) FILTER (WHERE n_owners < 3) AS n_live, count(*) FILTER (WHERE n_owners >= 3) AS n_example,
+  max(n_owners) AS max_owners, max(n_repositories) AS max_repositories,
   string_agg({span}, ',' ORDER BY s, no) FILTER (WHERE {base}) AS base, string_agg({span}, ',' ORDER BY s, no) AS spans
   FROM found JOIN own USING (val) GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+  coalesce(max_owners, 0) AS max_owners, coalesce(max_repositories, 0) AS max_repositories
 FROM t LEFT JOIN per USING (doc_id)"""
 
 
