@@ -129,23 +129,51 @@ def test_token_counts_and_prefixes(docs_of, corpus):
     rows = corpus + [(70, "x <|endoftext|>y 0 00 x0y ０ İI ̈a 'S 's (Foo) [bar], café́ ²"), (70, "again")]
     p = token_counts.prefix_counts(docs_of(rows, clash=True), limit=30)
     got = defaultdict(list)
-    for r in p.collect():
-        got[r["doc_id"]].append(r)
+    for r, c in zip(p.collect(), token_counts.counts(p).collect(), strict=True):
+        got[r["doc_id"]].append((r, (c["n_bytes"], c["n_chars"], c["n_tokens"])))
     for i, t in rows:
         t = t or ""
         want = (len(t.encode()), len(t), len(wt.encode(t)))
-        r = next(r for r in got[i] if (r["n_bytes"], r["n_chars"], r["n_tokens"]) == want)
+        r = next(r for r, c in got[i] if c == want)
         assert len(wt.encode(t[:r["limit_chars"]])) <= 30 or want[2] <= 30
-        for w in range(0, len(r["word_end"]), max(1, len(r["word_end"]) // 20)):
-            assert r["prefix_tokens"][w] == len(wt.encode(t[:r["word_end"][w]]))
+        for w in range(0, len(r["piece_end"]), max(1, len(r["piece_end"]) // 20)):
+            assert r["prefix_tokens"][w] == len(wt.encode(t[:r["piece_end"][w]]))
         if want[2] > 30:  # every longer prefix is beyond the limit
             assert all(len(wt.encode(t[:n])) > 30 for n in range(r["limit_chars"] + 1, min(len(t), r["limit_chars"] + 25) + 1) if t[:n].rstrip() != t[:r["limit_chars"]].rstrip())
-    one = {r["doc_id"]: r["n_words"] for r in token_counts.within_budget(p, 30).collect() if r["doc_id"] == 62}
-    assert one[62] == sum(x <= 30 for x in got[62][0]["prefix_tokens"])
+    one = {r["doc_id"]: r["n_pieces"] for r in token_counts.within_budget(p, 30).collect() if r["doc_id"] == 62}
+    assert one[62] == sum(x <= 30 for x in got[62][0][0]["prefix_tokens"])
     assert {r["n_tokens"] for r in token_counts.count_at(p.where("doc_id = 7"), "5").collect()} == {len(wt.encode("one"))}
     assert token_counts.prefix_counts(docs_of([])).collect() == []
 
 
+def test_token_prefixes_inside_words():
+    """Every budget's cut and every piece's end against the library on every beginning of odd words."""
+    import random
+    import numpy as np
+    rng, wp = random.Random(3), token_counts.WordPieces(token_counts.TOKENIZER)
+    words = ["we'llove", "'rest''re", "a1b22c!!?x", "unbelievablyinternationalization", "日本語テキスト処理", "aa<|endoftext|>bb!!<|x", "😀😀a😀", "ŒUVRE", "İstanbul", "été", "qzxjkvqzxjkw" * 6]
+    words += ["".join(rng.choice("abcdeinorst'!.19éßÄ日") for _ in range(rng.randrange(1, 30))) for _ in range(100)]
+    for w in words:
+        n = [len(wp.encode(w[:k])) for k in range(len(w) + 1)]
+        assert all(n[k] == d for k, d in np.frombuffer(wp.word(w.encode()), np.int32).reshape(-1, 2).tolist()), w
+        assert [wp.longest_within(w, b) for b in range(7)] == [max(k for k, x in enumerate(n) if x <= b) for b in range(7)], w
+    assert wp.longest_within("xa\u0301\u0327b", 2) in (1, 4)  # never between a letter and its marks
+
+
+def test_token_cut_of_long_unspaced_texts(docs_of):
+    import random
+    import time
+    rng, wt = random.Random(4), token_counts.WordTokens(token_counts.TOKENIZER)
+    rows = [(1, "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(1_000_000))), (2, "日本語" * 100_000), (3, "a" * 1_000_000)]
+    t0 = time.time()
+    got = {r["doc_id"]: r for r in token_counts.counts(token_counts.prefix_counts(docs_of(rows))).collect()}
+    assert time.time() - t0 < 60
+    for i, t in rows:
+        k = got[i]["limit_chars"]
+        assert got[i]["n_tokens"] == len(wt.encode(t)) and len(wt.encode(t[:k])) <= token_counts.TOKEN_LIMIT
+        assert all(len(wt.encode(t[:n])) > token_counts.TOKEN_LIMIT for n in range(k + 1, k + 40))
+
+
 def test_packing(docs_of, corpus):
     wt = token_counts.WordTokens(token_counts.TOKENIZER)
     rows = corpus + [(100 + i, "w1 w2 w3") for i in range(40)] + [(7, "one")]
@@ -270,6 +298,17 @@ def test_secrets(docs_of):
     assert secrets.scan_documents(docs_of([])).collect() == []
 
 
+def test_secret_owners_of_equal_rows(shipped):
+    """One id and text from three sources has three owners; a null owner is one of its own; one very long text."""
+    key = "AKIA" + "B" * 16
+    rows = [(5, f"see {key}", s) for s in ("a", "b", "c", "a")] + [(6, "token = abcdefgh", None), (6, "token = abcdefgh", ""), (7, "word " * 200_000 + "0123456789abcdef" * 2, "a"), (None, f"{key}", "a")]
+    d = shipped.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["n_live"], r["n_example"], r["max_owners"], r["max_repositories"]) for r in secrets.scan_documents(d).collect()}
+    assert got == {(5, 0, 1, 3, 4), (None, 0, 1, 3, 4), (6, 1, 0, 2, 2), (7, 1, 0, 1, 1)}
+    long = secrets.scan_documents(d).where("doc_id = 7").first()
+    assert long["spans"] == "hex:1000000:1000032"
+
+
 def test_lm_scores(docs_of, corpus):
     rows = corpus + [(7, "one"), (200, "never seen words")]
     got = lm_scoring.lm_scores(docs_of(rows, clash=True)).collect()
