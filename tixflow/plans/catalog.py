@@ -23,6 +23,7 @@ from tixflow.operators.normalize import normalize
 from tixflow.plans import fixtures as FX
 from tixflow.plans import oracle as O
 from tixflow.sources.filters import preview, trailing_window
+from tixflow.sources.tables import read_table
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[SparkQuery, Callable[[], str] | None]] = {}
@@ -173,6 +174,22 @@ def q_upsert(spark, sf_dir):
     return read_current(spark, table).select("number", "state", "ingest_ord")
 
 
+@register("quoted_csv_export", lambda: """SELECT CAST(doc_id AS VARCHAR) AS number, sha256(t) AS text_sha256, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS BIGINT) AS n_lines
+FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10)) || chr(10) || '"' || source || '"' AS t FROM documents)""")
+def q_quoted_csv(spark, sf_dir):
+    """The documents, a line a sentence and their quoted source, written as CSV and read again in byte ranges."""
+    from uuid import uuid4
+
+    from tixflow.session import ensure_checkpoint_dir
+    from tixflow.sources.files import read_csv, write_csv
+    docs = read_table(spark, sf_dir, "documents")
+    text = F.concat(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit('\n"'), "source", F.lit('"'))
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid4().hex}"
+    write_csv(docs.select(F.col("doc_id").alias("number"), text.alias("description")), path)
+    d = read_csv(spark, path, na_tokens=None, splittable=True)
+    return d.select("number", F.sha2("description", 256).alias("text_sha256"), F.size(F.split("description", "\n")).cast("long").alias("n_lines"))
+
+
 # ---------------------------------------------------------------------------
 # Metrics
 # ---------------------------------------------------------------------------

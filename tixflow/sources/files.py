@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 
 from tixflow.config import NA_TOKENS
 from tixflow.operators.normalize import rename_aliases
+from tixflow.session import cut_lineage
+from tixflow.sources import quoted
 
 
 def _jvm_fs(spark: SparkSession, path: str):
@@ -90,31 +92,63 @@ def _na_to_null(df: DataFrame, tokens: list[str] | None) -> DataFrame:
                        if c != "ingest_ord" else F.col(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8",
-             na_tokens: list[str] | None = NA_TOKENS, aliases: dict[str, str] | None = None,
-             multi_line: bool = True) -> DataFrame:
-    """Raw tickets from CSV exports with canonical column names and ``ingest_ord``.
+def _header(line: bytes, ok: bool, encoding: str) -> tuple[tuple[str, ...], str]:
+    """Column names of a header line and the encoding to read its file with."""
+    utf8 = encoding.lower().replace("-", "") == "utf8"
+    enc = "ISO-8859-1" if utf8 and not ok else encoding
+    names = next(csv.reader([line.decode(enc, "replace").removeprefix("\ufeff").removesuffix("\r")]), [])
+    return tuple(names), enc
 
-    ``multi_line=False`` lets Spark split large files; quoted line breaks are
-    then not supported.
-    """
-    files = list_files(spark, path, ".csv")
+
+def _unsplit_frames(spark: SparkSession, files: list[str], encoding: str, multi_line: bool, aliases):
     facts = file_facts(spark, files)
-    utf8 = encoding.lower().replace("-", "") == "utf8"
-    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for f in files:
-        header, ok = facts.get(f, (b"", True))
-        enc = "ISO-8859-1" if utf8 and not ok else encoding
-        names = next(csv.reader([header.decode(enc, "replace").removeprefix("\ufeff")]), [])
+        names, enc = _header(*facts.get(f, (b"", True)), encoding)
         if names:  # an empty file has no rows
-            groups.setdefault((tuple(names), enc), []).append(f)
-    frames = []
+            groups.setdefault((names, enc), []).append(f)
     for (names, enc), fs in groups.items():
         by_position = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
         raw = spark.read.schema(by_position).csv(fs, header=True, enforceSchema=True, multiLine=multi_line,
                                                  quote='"', escape='"', encoding=enc, mode="PERMISSIVE")
         raw = raw.select(*by_position.names, file_order().alias("ingest_ord"))
-        frames.append(rename_aliases(raw, aliases, [*names, "ingest_ord"]))
+        yield rename_aliases(raw, aliases, [*names, "ingest_ord"])
+
+
+def _split_frames(spark: SparkSession, files: list[str], encoding: str, aliases):
+    lines = quoted.file_lines(spark, files)
+    ranges = cut_lineage(quoted.byte_ranges(lines))
+    first = F.min(F.struct("block", "first"))["first"]
+    heads = ranges.groupBy("file").agg(first.alias("first"), F.min("utf8").alias("ok")).collect()  # one row per file
+    groups: dict[tuple, int] = {}
+    of_file = []
+    for r in heads:
+        line = bytes(r["first"]["value"])
+        names, enc = _header(line, r["ok"], encoding)
+        if names:
+            g = groups.setdefault((names, enc, line.endswith(b"\r")), len(groups))
+            of_file.append((r["file"], g, r["first"]["pos"]))
+    if not of_file:
+        return
+    of_file = F.broadcast(spark.createDataFrame(of_file, "file string, header_group int, header_pos long"))  # the driver's list of files
+    rows = cut_lineage(quoted.records(lines, ranges).join(of_file, "file").where("pos <> header_pos"))
+    for (names, enc, crlf), g in groups.items():
+        yield rename_aliases(quoted.parse(rows.where(F.col("header_group") == g), len(names), enc, crlf), aliases, [*names, "ingest_ord"])
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8",
+             na_tokens: list[str] | None = NA_TOKENS, aliases: dict[str, str] | None = None,
+             multi_line: bool = True, splittable: bool = False) -> DataFrame:
+    """Raw tickets from CSV exports with canonical column names and ``ingest_ord``.
+
+    Quoted line breaks are kept.  ``splittable=True`` reads large files in byte
+    ranges all the same (``sources.quoted``; ASCII-compatible encodings, quotes
+    as RFC 4180 has them); without it a file is one task.
+    ``multi_line=False`` lets Spark split large files; quoted line breaks are
+    then not supported.
+    """
+    files = list_files(spark, path, ".csv")
+    frames = list(_split_frames(spark, files, encoding, aliases) if splittable else _unsplit_frames(spark, files, encoding, multi_line, aliases))
     if not frames:
         return spark.createDataFrame([], "number string")
     out = frames[0]
@@ -160,10 +194,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tickets as CSV with a header (timestamps as text)."""
+    """Tickets as CSV with a header (timestamps as text, white space kept)."""
     out = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if not isinstance(t, (T.ArrayType, T.MapType, T.StructType))
                       else F.to_json(F.col(f"`{c}`")).alias(c) for c, t in ((f.name, f.dataType) for f in df.schema.fields)])
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out.write.mode(mode).option("header", True).option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_report_json(report_row: DataFrame, path: str, mode: str = "overwrite") -> None:
