@@ -120,6 +120,7 @@ def _split_frames(spark: SparkSession, files: list[str], encoding: str, aliases)
     ranges = cut_lineage(quoted.byte_ranges(lines))
     first = F.min(F.struct("block", "first"))["first"]
     heads = ranges.groupBy("file").agg(first.alias("first"), F.min("utf8").alias("ok")).collect()  # one row per file
+    path = {r["file"]: r["path"] for r in spark.createDataFrame([(f,) for f in files], "path string").withColumn("file", F.xxhash64("path")).collect()}
     groups: dict[tuple, int] = {}
     of_file = []
     for r in heads:
@@ -127,11 +128,11 @@ def _split_frames(spark: SparkSession, files: list[str], encoding: str, aliases)
         names, enc = _header(line, r["ok"], encoding)
         if names:
             g = groups.setdefault((names, enc, line.endswith(b"\r")), len(groups))
-            of_file.append((r["file"], g, r["first"]["pos"]))
+            of_file.append((r["file"], path[r["file"]], g, r["first"]["pos"]))
     if not of_file:
         return
-    of_file = F.broadcast(spark.createDataFrame(of_file, "file string, header_group int, header_pos long"))  # the driver's list of files
-    rows = cut_lineage(quoted.records(lines, ranges).join(of_file, "file").where("pos <> header_pos"))
+    of_file = F.broadcast(spark.createDataFrame(of_file, "file long, path string, header_group int, header_pos long"))  # the driver's list of files
+    rows = quoted.records(lines, ranges).join(of_file, "file").where("pos <> header_pos")
     for (names, enc, crlf), g in groups.items():
         yield rename_aliases(quoted.parse(rows.where(F.col("header_group") == g), len(names), enc, crlf), aliases, [*names, "ingest_ord"])
 

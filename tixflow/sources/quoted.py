@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 from tixflow.session import cut_lineage, ensure_checkpoint_dir
 
 MAX_BROADCAST = 500_000
-PIECE = "file string, block long, pos long, head boolean, closed boolean, value binary"
+PIECE = "file long, block long, pos long, head boolean, closed boolean, value binary"
 
 
 def file_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """file, block, pos, value: every line (without its line feed) and the byte range that holds it."""
+    """file (hash of its path), block, pos, value: every line (without its line feed) and the byte range that holds it."""
     ensure_checkpoint_dir(spark)
+    # the metadata path is percent-encoded, but for "+"; a hash keeps the checkpoint small
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = spark.read.option("lineSep", "\n").text(files).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.xxhash64(path).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), "value")
     return lines.checkpoint()
 
@@ -58,7 +60,7 @@ def _pieces(lines: DataFrame) -> DataFrame:
 
         def batch(rows):
             cols = zip(*rows, strict=True) if rows else [[]] * 6
-            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for b in batches:
@@ -110,10 +112,10 @@ def records(lines: DataFrame, ranges: DataFrame, max_broadcast: int = MAX_BROADC
 
 
 def parse(records: DataFrame, n_columns: int, encoding: str, crlf: bool) -> DataFrame:
-    """_c0, _c1, ... and ingest_ord of the records; empty lines are none."""
+    """_c0, _c1, ... and ingest_ord of the records (with their files' path); empty lines are none."""
     text = F.col("value").cast("string") if encoding.lower().replace("-", "") == "utf8" else F.decode("value", encoding)
     if crlf:
         text = F.replace(F.regexp_replace(text, "\r$", ""), F.lit("\r\n"), F.lit("\n"))
     schema = ", ".join(f"_c{i} string" for i in range(n_columns))
-    rows = records.select(F.struct("file", "block", "pos").alias("ingest_ord"), text.alias("text")).where("text <> ''")
+    rows = records.select(F.struct(F.col("path").alias("file"), "block", "pos").alias("ingest_ord"), text.alias("text")).where("text <> ''")
     return rows.select(F.from_csv("text", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("r"), "ingest_ord").select("r.*", "ingest_ord")
