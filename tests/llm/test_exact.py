@@ -174,10 +174,11 @@ def test_token_cut_of_long_unspaced_texts(docs_of):
         assert all(len(wt.encode(t[:n])) > token_counts.TOKEN_LIMIT for n in range(k + 1, k + 40))
 
 
-def test_packing(docs_of, corpus):
+@pytest.mark.parametrize("plan_rows", [packing.PLAN_ROWS, 6, 0])
+def test_packing(docs_of, corpus, plan_rows):
     wt = token_counts.WordTokens(token_counts.TOKENIZER)
     rows = corpus + [(100 + i, "w1 w2 w3") for i in range(40)] + [(7, "one")]
-    got = packing.pack(docs_of(rows, clash=True), capacity=64).collect()
+    got = packing.pack(docs_of(rows, clash=True), capacity=64, plan_rows=plan_rows).collect()
     want = Counter()
     for i, t in rows:
         ids = [*wt.encode(t or "").tolist(), 1]
@@ -201,6 +202,19 @@ def test_packing(docs_of, corpus):
     assert packing.pack(docs_of([])).collect() == []
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_packing_plan_does_not_grow_with_the_corpus(n):
+    import numpy as np
+    counts = np.random.default_rng(1).multinomial(n, [1 / 2047] * 2047).tolist()
+    rows, n_seq = packing.plan_bins({k + 1: c for k, c in enumerate(counts) if c})
+    tokens = sum((k + 1) * c for k, c in enumerate(counts))
+    assert len(rows) < 1.2 * packing.PLAN_ROWS
+    assert n_seq == -(-tokens // packing.CAPACITY)  # no padding but the last sequence's
+    placed = sum((hi - lo) * size for _, lo, hi, _, size, *_ in rows)
+    assert placed == tokens
+    assert sum(hi - lo for _, lo, hi, *_, laid in rows if laid) <= 0.02 * n
+
+
 def test_fill_window_is_closest_subset():
     import itertools
     import random

@@ -3,12 +3,19 @@
 Every text's ids, then the end id, are cut into whole windows of the sequence
 length and one remainder.  Only the remainders need packing, and only their
 lengths matter: the histogram has at most ``capacity - 1`` rows at any corpus
-size.  From it the driver makes the plan.  Each step takes the longest
-remaining length and runs a bitset subset-sum over the remaining multiset of
+size.  From it the driver makes the plan.  Each step takes the length with the
+most tokens left and runs a bitset subset-sum over the remaining multiset of
 lengths; the reachable sum closest to the window is backtracked to counts per
-length, and the found pattern is repeated as often as the counts allow.  Where
-no subset fills the window, one more remainder is cut to fill it and its rest
-goes back to the multiset, so only the last sequence is padded.
+length, and the found pattern is repeated as often as the counts allow.  The
+multiset is first divided by a number of repeats, which falls until a subset
+fills the window, so patterns that can be repeated often come first.  Where
+no subset of the whole multiset fills the window, one more remainder is cut to
+fill it and its rest goes back, so only the last sequence is padded.
+
+A plan of ``PLAN_ROWS`` rows leaves over what no frequent pattern wants: about
+a hundredth of 10^6 remainders of evenly spread lengths, a thousandth of 10^8.  That rest is laid end to end in order of length and cut at the windows,
+a plan row a run.  So the plan is bounded by the window and ``PLAN_ROWS``,
+whatever the corpus.
 
 A plan row gives ranks of one length to positions by arithmetic.  Ranks are
 counted per task while the texts are encoded and made global by prefix sums
@@ -36,7 +43,8 @@ from tixflow.llm.token_counts import TOKENIZER, word_tokens
 
 CAPACITY = 2048
 END_ID = 1
-PLAN = "src_len int, lo long, hi long, cut int, len int, i0 long, k long, seq0 long, off0 int"
+PLAN_ROWS = 12_000
+PLAN = "src_len int, lo long, hi long, cut int, len int, i0 long, k long, seq0 long, off0 int, laid boolean"
 
 
 def fill_window(counts: dict[int, int], target: int) -> tuple[int, dict[int, int]]:
@@ -68,8 +76,12 @@ def fill_window(counts: dict[int, int], target: int) -> tuple[int, dict[int, int
     return best, dict(used)
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple], int]:
-    """Plan rows (PLAN) for remainders counted by length, and the sequences they fill."""
+def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, plan_rows: int = PLAN_ROWS) -> tuple[list[tuple], int]:
+    """Plan rows (PLAN) for remainders counted by length, and the sequences they fill.
+
+    Patterns are dealt until there are ``plan_rows`` rows; runs of equal pieces
+    that are left then are ``laid`` end to end: ``i0`` is where the first begins.
+    """
     left = {k: n for k, n in histogram.items() if n}
     runs = {k: deque([(k, 0, n, 0)]) for k, n in left.items()}  # source length, ranks, tokens cut off before
     rows, seq = [], 0
@@ -85,19 +97,21 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list
             mid = min(hi, lo + need - i0)
             if mid < hi:
                 runs[length].appendleft((src, mid, hi, cut))
-            rows.append((src, lo, mid, cut, size, i0, k, seq, off))
+            rows.append((src, lo, mid, cut, size, i0, k, seq, off, False))
             if size < length:
                 runs.setdefault(length - size, deque()).append((src, lo, mid, cut + size))
                 left[length - size] = left.get(length - size, 0) + mid - lo
             i0 += mid - lo
 
-    while left:
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        if not rest[top]:
-            del rest[top]
-        best, used = fill_window(rest, capacity - top)
+    while left and len(rows) < plan_rows:
+        top = max(left, key=lambda k: (left[k] * k, k))
+        repeats = left[top]
+        while True:
+            rest = {k: n // repeats - (k == top) for k, n in left.items() if n // repeats > (k == top)}
+            best, used = fill_window(rest, capacity - top)
+            if repeats == 1 or best == capacity - top:
+                break
+            repeats = max(1, repeats // 4)
         used[top] = used.get(top, 0) + 1
         slack = capacity - top - best
         over = {k: n - used.get(k, 0) for k, n in left.items() if n > used.get(k, 0)}
@@ -112,7 +126,12 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list
         if cut:
             take(cut, 1, times, off, slack)
         seq += times
-    return rows, seq
+    end = 0
+    for length in sorted(left, reverse=True):
+        for src, lo, hi, cut in runs[length]:
+            rows.append((src, lo, hi, cut, length, end, 1, seq, 0, True))
+            end += (hi - lo) * length
+    return rows, seq - (-end // capacity)
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -151,13 +170,13 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     return src.mapInArrow(run, fields)
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, plan_rows: int = PLAN_ROWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     t = stage(encode(docs, tokenizer, capacity, end_id))
     # at most capacity rows reach the driver
     hist = {r["rem"]: r["n"] for r in t.where("rem > 0").groupBy("rem").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, n_mixed = plan_bins(hist, capacity)
+    rows, n_mixed = plan_bins(hist, capacity, plan_rows)
     plan = spark.createDataFrame(rows, PLAN)
 
     by_len = t.groupBy("part", "rem").agg(F.count(F.lit(1)).alias("n"))
@@ -168,12 +187,19 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     full_base = by_part.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("full_base"))
 
     tails = t.where("rem > 0").join(rem_base, ["part", "rem"]).withColumn("r", F.col("rem_rank") + F.col("rem_base"))
-    p = F.broadcast(plan)  # bounded by the lengths below capacity, not by the corpus
-    i = F.col("i0") + F.col("r") - F.col("lo")
-    mixed = (tails.join(p, (F.col("rem") == F.col("src_len")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-             .select("doc_id", (F.size("full") * F.lit(capacity) + F.col("cut")).cast("long").alias("start"), F.col("len").cast("long").alias("length"),
-                     F.crc32(F.expr("substring(tail, cut * 4 + 1, len * 4)")).alias("ids_crc32"), "doc_tokens",
-                     F.expr("seq0 + (i0 + r - lo) div k").alias("sequence_id"), (F.col("off0") + F.pmod(i, F.col("k")) * F.col("len")).cast("long").alias("offset")))
+    p = F.broadcast(plan)  # PLAN_ROWS and the runs they leave, at any size of the corpus
+    window, i = F.lit(capacity), F.col("i0") + F.col("r") - F.col("lo")
+    dealt = (tails.join(p, (F.col("rem") == F.col("src_len")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+             .withColumn("at", F.when(F.col("laid"), F.col("i0") + (F.col("r") - F.col("lo")) * F.col("len"))))
+    dealt = (dealt.withColumn("sequence_id", F.when(F.col("laid"), F.col("seq0") + F.floor(F.col("at") / window)).otherwise(F.expr("seq0 + (i0 + r - lo) div k")))
+             .withColumn("offset", F.when(F.col("laid"), F.col("at") % window).otherwise(F.col("off0") + F.pmod(i, F.col("k")) * F.col("len")).cast("long")))
+    # a laid piece over the end of its window goes on at the next one's begin
+    head = F.least(F.col("len").cast("long"), window - F.col("offset"))
+    first = F.struct(F.col("cut").cast("long").alias("cut"), head.alias("length"), "sequence_id", "offset")
+    rest = F.struct((F.col("cut") + head).alias("cut"), (F.col("len") - head).alias("length"), (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    mixed = (dealt.select("doc_id", "full", "tail", "doc_tokens", F.explode(F.when(head < F.col("len"), F.array(first, rest)).otherwise(F.array(first))).alias("x"))
+             .select("doc_id", (F.size("full") * window + F.col("x.cut")).cast("long").alias("start"), "x.length",
+                     F.crc32(F.expr("substring(tail, cast(x.cut * 4 + 1 as int), cast(x.length * 4 as int))")).alias("ids_crc32"), "doc_tokens", "x.sequence_id", "x.offset"))
     whole = (t.where("size(full) > 0").join(full_base, "part")
              .select("doc_id", "doc_tokens", "full_rank", "full_base", F.posexplode("full").alias("pos", "ids_crc32"))
              .select("doc_id", (F.col("pos") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens",
