@@ -180,7 +180,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def _leaders(members: DataFrame, group: str) -> DataFrame:
     """(group, lead): of every group the member that meets most others, over all groups."""
-    size = members.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
+    size = stage(members.groupBy(group).agg(F.count(F.lit(1)).alias("c")))  # both sides of the join are plain shuffles
     met = members.join(size, group).groupBy("nid").agg(F.sum("c").alias("met"))
     return members.join(met, "nid").groupBy(group).agg(F.max(F.struct("met", "nid")).alias("top")).select(group, F.col("top.nid").alias("lead"))
 
