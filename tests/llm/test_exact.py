@@ -112,10 +112,59 @@ def removed(rows, window):
 
 @pytest.mark.parametrize("window", [12, 50])
 def test_substring_dedup(docs_of, corpus, window):
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup_substrings(docs_of(corpus, clash=True), window).collect()}
+    got = {r["doc_id"]: tuple(r)[1:4] for r in substring_dedup.dedup_substrings(docs_of(corpus, clash=True), window).collect()}
     assert got == removed(corpus, window)
 
 
+@pytest.mark.parametrize("window", [50, 12])
+def test_substring_factors_are_maximal_copies(docs_of, corpus, window):
+    words = {i: (t or "").encode().split() for i, t in corpus}
+    got = {r["doc_id"]: (r["factors"], r["n_removed"]) for r in substring_dedup.dedup_substrings(docs_of(corpus), window).collect()}
+    assert sum(len(f) for f, _ in got.values()) > 20
+    for i, (factors, n_removed) in got.items():
+        lines, covered = {}, set()
+        for f in factors:
+            assert f["ref"] < i and f["n"] >= window
+            assert words[i][f["at"]:f["at"] + f["n"]] == words[f["ref"]][f["ref_at"]:f["ref_at"] + f["n"]]
+            lines.setdefault((f["ref"], f["ref_at"] - f["at"]), []).append((f["at"], f["at"] + f["n"]))
+            covered |= set(range(f["at"], f["at"] + f["n"]))
+        assert all(a[1] < b[0] for x in lines.values() for a, b in zip(sorted(x), sorted(x)[1:]))
+        assert len(covered) == n_removed
+
+
+def greedy_parse(text, reference, least):
+    """The longest match at every word, from left to right; those of ``least`` words and more."""
+    out, i = [], 0
+    while i < len(text):
+        best = (0, 0)
+        for a in range(len(reference)):
+            n = 0
+            while i + n < len(text) and a + n < len(reference) and text[i + n] == reference[a + n]:
+                n += 1
+            best = max(best, (n, -a))
+        if best[0] >= least:
+            out.append((i, best[0], -best[1]))
+        i += max(1, best[0])
+    return out
+
+
+def test_substring_factors_equal_a_greedy_parser(docs_of):
+    import random
+    rng = random.Random(8)
+    reference = [f"r{i}" for i in range(900)]
+    rows = [(1, " ".join(reference))]
+    for i in range(2, 30):
+        text = []
+        for k in range(rng.randrange(1, 6)):
+            a = rng.randrange(850)
+            text += reference[a:a + rng.randrange(20, 250)] + [f"n{i}_{k}_{x}" for x in range(rng.randrange(1, 60))]
+        rows.append((i, " ".join(text)))
+    got = {r["doc_id"]: [(f["at"], f["n"], f["ref_at"]) for f in sorted(r["factors"])] for r in substring_dedup.dedup_substrings(docs_of(rows)).collect()}
+    for i, t in rows[1:]:
+        assert [f for f in got[i]] == greedy_parse(t.split(), reference, substring_dedup.WINDOW)
+    assert got[1] == []
+
+
 def test_substring_edges(docs_of):
     t = " ".join(f"v{i}" for i in range(60))
     rows = [(2, t), (2, t), (1, t + " end"), (None, t), (None, None)]
