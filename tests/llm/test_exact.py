@@ -393,6 +393,61 @@ def test_lm_scores(docs_of, corpus):
     assert len(lm_scoring.lm_scores(docs_of([(None, None)])).collect()) == 1
 
 
+def reference_lm_scores(rows):
+    """Deleted interpolation of bigrams, token by token."""
+    import math
+
+    import numpy as np
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in rows}
+    texts = [(i, [*folded(t), b"\n"]) for i, t in rows]
+    pairs = lambda toks: zip([b"\n"] + toks[:-1], toks)  # noqa: E731  (a text begins as often as one ends)
+    one, two, kept_one, kept_two = Counter(), Counter(), Counter(), Counter()
+    for i, toks in texts:
+        if fold[i] != 2:
+            one.update(toks)
+            two.update((a if k else None, b) for k, (a, b) in enumerate(pairs(toks)))
+            if fold[i] != 3:
+                kept_one.update(toks)
+                kept_two.update((a if k else None, b) for k, (a, b) in enumerate(pairs(toks)))
+    bucket = lambda c: min(c.bit_length(), 47)
+    step = lambda p: round(math.log(p) / 0.1) if p > 0 else 1
+    events = Counter()
+    for i, toks in texts:
+        if fold[i] == 3:
+            for k, (a, b) in enumerate(pairs(toks)):
+                c = kept_one[a]
+                events[bucket(c), step(kept_two[a if k else None, b] / c if c else 0), step(kept_one[b] / kept_one.total())] += 1
+    floor = 1 / (len(one) + 1)
+    w = lm_scoring.learn_weights(np.array(sorted((*k, n) for k, n in events.items())).reshape(-1, 4), floor)
+    out = Counter()
+    for i, toks in texts:
+        score = 0.0
+        for k, (a, b) in enumerate(pairs(toks)):
+            c = one[a]
+            p = (two[a if k else None, b] / c if c else 0, one[b] / one.total(), floor)
+            score += math.log10(sum(x * y for x, y in zip(w[bucket(c)], p, strict=True)))
+        out[i, len(toks), round(score, 4)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("block_bytes", "fan_bits"), [(lm_scoring.BLOCK_BYTES, lm_scoring.FAN_BITS), (1 << 10, 1)])
+def test_lm_scores_equal_brute_force_at_any_depth_of_the_tree(docs_of, corpus, block_bytes, fan_bits):
+    rows = corpus + [(7, "one"), (200, "never seen words")]
+    got = lm_scoring.lm_scores(docs_of(rows).repartition(4), block_bytes, fan_bits).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in got) == reference_lm_scores(rows)
+
+
+def test_lm_groups_read_few_rows_however_many_blocks(docs_of):
+    rows = [(i, " ".join(f"w{i % 7} v{x}" for x in range(40))) for i in range(900)]
+    blocks = lm_scoring.make_blocks(docs_of(rows).coalesce(1), 1)
+    n, fan = blocks.count(), 16
+    assert n == 900
+    low = lm_scoring.ask(blocks, -(-n // fan), 4)
+    high = lm_scoring.add_up(low, -(-n // fan // fan), 8, 4, 4)
+    for asked in (low, high):
+        assert asked.groupBy("gram", "node", "range").count().agg({"count": "max"}).first()[0] <= 3 * fan
+
+
 def test_lm_weights_sum_to_one_and_raise_likelihood():
     import numpy as np
     rng = np.random.default_rng(3)

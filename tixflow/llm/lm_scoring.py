@@ -7,21 +7,24 @@ weights are learned by expectation-maximisation on held-out counts: one fold
 of the training documents is deleted from the counts that the estimates use
 and supplies the events.  The final estimates use all training documents.
 
-Counting and look-up are by blocks of about ``BLOCK_BYTES`` of text:
+Counting and look-up are by blocks of about ``BLOCK_BYTES`` of text, in a tree:
 
 1. texts are packed into compressed blocks and staged;
 2. every block sends its distinct n-gram hashes with its own counts, sorted
-   and delta-coded, to hash ranges; a frequent n-gram is one entry a block;
-3. every range adds the counts up and answers each block with the totals, in
-   the order asked, so no hash travels back;
-4. every block looks its tokens' totals up, writes them with its documents and
+   and delta-coded, cut into ``FAN`` hash ranges; a frequent n-gram is one entry a block;
+3. about ``FAN`` blocks are a node, whose counts are added up range by range; the
+   sums of ``FAN`` nodes, each range cut into ``FAN`` finer ones, are added up
+   by a node above, until one node is left.  So every group reads some ``FAN``
+   rows and about as much as a block holds, at any size of the corpus; the rows
+   of a level grow with the blocks, the levels with their logarithm;
+4. the totals go back the same way, in the order asked, so no hash travels back;
+5. every block looks its tokens' totals up, writes them with its documents and
    a histogram of held-out events (log probabilities in steps of 0.1);
-5. the driver runs expectation-maximisation on the summed histogram, whose
+6. the driver runs expectation-maximisation on the summed histogram, whose
    size is bounded by the steps, and the blocks' tokens are scored.
 
 Hashes have 56 bits inside a table of all n-grams; two n-grams fall together
-with probability 1e-5 even among 10^12.  Blocks and ranges are bounded; their
-number grows with the corpus.
+with probability 1e-5 even among 10^12.
 
 Defined results: a null or empty text is its end token alone; repeated rows
 count and are scored each; unseen words have count 0; without training
@@ -41,7 +44,8 @@ from tixflow.llm import kernel
 from tixflow.llm.common import crc32_mod, doc_chunks, read_table, shuffle_width, stage
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES = 8 << 20
+FAN_BITS = 8  # FAN = 256
 BITS = 56
 CONTEXT_BUCKETS = 48
 STEP = 0.1
@@ -49,8 +53,8 @@ ROUNDS = 60
 U = np.uint64
 BEGIN, END = U(0x51ED270B9F3C6A11), U(0xB5AD4ECEDA1CE2A9)
 BLOCK = "block long, doc_ids array<long>, folds array<int>, sizes array<int>, texts binary"
-ASKED = "gram int, range long, block long, n int, keys binary, counts binary"
-TOLD = "gram int, range long, block long, totals binary, n_all long, n_kept long, types long, ends long"
+ASKED = "gram int, node long, range long, child long, n int, keys binary, counts binary"
+TOLD = "gram int, range long, child long, totals binary, n_all long, n_kept long, types long, ends long"
 COUNTED = "block long, doc_ids array<long>, folds array<int>, n_tokens array<int>, totals binary, events array<struct<b:int,q2:int,q1:int,n:long>>"
 
 
@@ -69,8 +73,8 @@ def _expand(raw: bytes, n: int, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
-def make_blocks(docs: DataFrame) -> DataFrame:
-    """Texts of about BLOCK_BYTES together (BLOCK)."""
+def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Texts of about ``block_bytes`` together (BLOCK)."""
     def run(batches):
         import zstandard
         base, k = TaskContext.get().partitionId() << 32, 0
@@ -82,13 +86,13 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                  pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(parts))], pa.binary())], names=["block", "doc_ids", "folds", "sizes", "texts"])
         for b in batches:
             got_ids, got_folds = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j, data, off in doc_chunks(b, "text"):
+            for i, j, data, off in doc_chunks(b, "text", min(block_bytes, 2 << 20)):
                 ids += got_ids[i:j]
                 folds += got_folds[i:j]
                 sizes += np.diff(off).tolist()
                 parts.append(data.tobytes())
                 held += len(data)
-                if held >= BLOCK_BYTES:
+                if held >= block_bytes:
                     yield row()
                     ids, folds, sizes, parts, held, k = [], [], [], [], 0, k + 1
         if ids:
@@ -121,51 +125,99 @@ def _keys(tok: np.ndarray, prev: np.ndarray, gram: int) -> np.ndarray:
     return kernel.mix(tok ^ U(0x2545F4914F6CDD1D)) >> shift if gram == 1 else kernel.mix(prev * U(0x9E3779B97F4A7C15) + kernel.mix(tok)) >> shift
 
 
-def ask(blocks: DataFrame, ranges: int) -> DataFrame:
+def _cut(gram: int, node: int, child: int, prefix: int, bits: int, fan_bits: int, u: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted n-grams of one range, and their counts, by the ranges of ``bits`` bits in it (ASKED)."""
+    first, fan = prefix << fan_bits, 1 << fan_bits
+    cut = np.searchsorted(u, np.array([(first + x) << (BITS - bits) for x in range(fan + 1)], dtype=U))
+    out = [(gram, node, first + x, child, z - a, _squeeze(np.diff(u[a:z], prepend=U(0))), _squeeze(counts[a:z].astype(U)))
+           for x, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < z]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    cols = zip(*out, strict=True) if out else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in ASKED.split(", ")])
+
+
+def ask(blocks: DataFrame, nodes: int, fan_bits: int = FAN_BITS) -> DataFrame:
     """Every block's distinct n-grams by hash range, with its training and deleted counts (ASKED)."""
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 tok, prev, cnt = _tokens(r["texts"], r["sizes"])
                 fold = np.repeat(np.array(r["folds"]), cnt)
+                node = int(kernel.mix(np.array([r["block"]], np.int64).view(U))[0] % U(nodes))
                 for gram in (1, 2):
                     u, inv = np.unique(_keys(tok, prev, gram), return_inverse=True)
-                    both = np.column_stack([np.bincount(inv, fold != HELD_OUT, len(u)), np.bincount(inv, fold == DELETED, len(u))]).astype(np.uint32)
-                    cut = np.searchsorted(u, np.array([-(-(x << BITS) // ranges) for x in range(ranges)] + [1 << BITS], dtype=U))
-                    out = []
-                    for x in range(ranges):
-                        a, z = int(cut[x]), int(cut[x + 1])
-                        if a < z:
-                            out.append((gram, x, r["block"], z - a, _squeeze(np.diff(u[a:z], prepend=U(0))), _squeeze(both[a:z])))
-                    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in ASKED.split(", ")])
+                    both = np.column_stack([np.bincount(inv, fold != HELD_OUT, len(u)), np.bincount(inv, fold == DELETED, len(u))])
+                    yield _cut(gram, node, r["block"], 0, fan_bits, fan_bits, u, both)
     return blocks.mapInArrow(run, ASKED)
 
 
-def tell(asked: DataFrame) -> DataFrame:
-    """Totals over all blocks for every block's n-grams, in the order asked (TOLD)."""
+def _added(group: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    """A group's rows, its distinct n-grams, where each row's are among them, and their counts."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["child"])
+    u, inv = np.unique(np.concatenate([np.cumsum(_expand(r["keys"], r["n"], "u8"), dtype=U) for r in rows]), return_inverse=True)
+    counts = np.concatenate([_expand_pairs(r["counts"]) for r in rows])
+    total = np.column_stack([np.bincount(inv, counts[:, c], len(u)) for c in (0, 1)]).astype(np.int64)  # exact below 2^53
+    return rows, u, inv, total
+
+
+def _answers(rows: list[dict], inv: np.ndarray, total: np.ndarray, sums: list[int]) -> pa.Table:
+    """The totals of every row's n-grams, in its order (TOLD); ``sums`` are in the first row."""
+    at, out = 0, []
+    for r in rows:
+        out.append((r["gram"], r["range"], r["child"], _squeeze(total[inv[at:at + r["n"]]].astype(U))))
+        at += r["n"]
+    cols = [*zip(*out, strict=True), *([s] + [0] * (len(rows) - 1) for s in sums)]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in TOLD.split(", ")])
+
+
+def add_up(asked: DataFrame, nodes: int, bits: int, parts: int, fan_bits: int = FAN_BITS) -> DataFrame:
+    """The sums of every node, asked of the ``nodes`` above in ranges of ``bits`` bits (ASKED)."""
+    def run(group: pa.Table) -> pa.Table:
+        rows, u, _, total = _added(group)
+        r = rows[0]
+        return pa.Table.from_batches([_cut(r["gram"], r["node"] % nodes, r["node"], r["range"], bits, fan_bits, u, total)])
+    return asked.repartition(parts, "gram", "node", "range").groupBy("gram", "node", "range").applyInArrow(run, ASKED)
+
+
+def tell(asked: DataFrame, parts: int) -> DataFrame:
+    """Totals of all blocks, from the one node that all sums came to (TOLD)."""
     end_key = int(_keys(np.array([END], U), np.array([BEGIN], U), 1)[0])
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-        keys = [np.cumsum(_expand(r["keys"], r["n"], "u8"), dtype=U) for r in rows]
-        u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        both = np.concatenate([_expand(r["counts"], r["n"], "u8") for r in rows])
-        seen, deleted = (both & U(0xFFFFFFFF)).astype(np.int64), (both >> U(32)).astype(np.int64)
-        seen, deleted = (np.bincount(inv, x, len(u)).astype(np.int64) for x in (seen, deleted))
-        gram, at, out = rows[0]["gram"], 0, []
-        for r in rows:
-            i = inv[at:at + r["n"]]
-            at += r["n"]
-            out.append((gram, r["range"], r["block"], _squeeze(np.column_stack([seen[i], deleted[i]]).astype(np.uint64))))
-        end = np.flatnonzero(u == U(end_key)) if gram == 1 else []
-        first = len(rows) - 1
-        sums = [int(seen.sum()), int((seen - deleted).sum()), int((seen > 0).sum()), int((seen - deleted)[end].sum()) if len(end) else 0]
-        cols = [*zip(*out, strict=True), *([s] + [0] * first for s in sums)]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in TOLD.split(", ")])
-    return asked.groupBy("gram", "range").applyInArrow(run, TOLD)
+        rows, u, inv, total = _added(group)
+        seen, kept = total[:, 0], total[:, 0] - total[:, 1]
+        ends = kept[u == U(end_key)].sum() if rows[0]["gram"] == 1 else 0
+        return _answers(rows, inv, total, [int(x) for x in (seen.sum(), kept.sum(), (seen > 0).sum(), ends)])
+    return asked.repartition(parts, "gram", "node", "range").groupBy("gram", "node", "range").applyInArrow(run, TOLD)
+
+
+def pass_down(asked: DataFrame, told: DataFrame, parts: int, fan_bits: int = FAN_BITS) -> DataFrame:
+    """What the nodes above ``told`` a node, for every child that ``asked`` it (TOLD)."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, u, inv, _ = _added(left)
+        total = np.concatenate([_expand_pairs(r["totals"]) for r in sorted(right.to_pylist(), key=lambda r: r["sub"])])
+        if len(total) != len(u):
+            raise RuntimeError(f"node {rows[0]['node']}: {len(total)} totals for {len(u)} n-grams")
+        return _answers(rows, inv, total, [0] * 4)
+    keys = ["gram", "node", "range"]
+    above = told.select("gram", F.col("child").alias("node"), F.shiftright("range", fan_bits).alias("range"), F.col("range").alias("sub"), "totals")
+    return asked.repartition(parts, *keys).groupBy(*keys).cogroup(above.repartition(parts, *keys).groupBy(*keys)).applyInArrow(run, TOLD)
+
+
+def count_all(blocks: DataFrame, n_blocks: int, parts: int, fan_bits: int = FAN_BITS) -> tuple[DataFrame, dict]:
+    """Totals for every block (TOLD), and the corpus's sums."""
+    nodes = max(1, -(-n_blocks >> fan_bits))
+    asked, levels = ask(blocks, nodes, fan_bits), []
+    while nodes > 1:
+        levels.append(stage(asked))
+        nodes = -(-nodes >> fan_bits)
+        asked = add_up(levels[-1], nodes, fan_bits * (len(levels) + 1), parts, fan_bits)
+    told = stage(tell(asked, parts))
+    sums = told.where("gram = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_all", "n_kept", "types"))).first().asDict()
+    for asked in reversed(levels):
+        told = stage(pass_down(asked, told, parts, fan_bits))
+    return told, sums
 
 
 def _probabilities(c2: np.ndarray, ctx: np.ndarray, c1: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,17 +226,17 @@ def _probabilities(c2: np.ndarray, ctx: np.ndarray, c1: np.ndarray, n: int) -> t
     return b, np.where(ctx > 0, c2 / np.maximum(ctx, 1), 0.0), c1 / max(n, 1)
 
 
-def count_tokens(blocks: DataFrame, told: DataFrame, kept_total: int) -> DataFrame:
+def count_tokens(blocks: DataFrame, told: DataFrame, kept_total: int, parts: int) -> DataFrame:
     """Totals of every token and its bigram, and the deleted fold's events (COUNTED)."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in ("block long, doc_ids, folds, n_tokens, totals, events").split(", ")]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.struct([("b", pa.int32()), ("q2", pa.int32()), ("q1", pa.int32()), ("n", pa.int64())]))]
-        out = []
+        out, answers = [], right.to_pylist()
         for r in left.to_pylist():
             tok, prev, cnt = _tokens(r["texts"], r["sizes"])
             per = {}
             for gram in (1, 2):
-                got = sorted((x for x in right.to_pylist() if x["gram"] == gram), key=lambda x: x["range"])
+                got = sorted((x for x in answers if x["gram"] == gram), key=lambda x: x["range"])
                 u, inv = np.unique(_keys(tok, prev, gram), return_inverse=True)
                 # each answer holds as many totals as its range was asked for
                 flat = [_expand_pairs(x["totals"]) for x in got]
@@ -210,8 +262,8 @@ def count_tokens(blocks: DataFrame, told: DataFrame, kept_total: int) -> DataFra
             out.append((r["block"], r["doc_ids"], r["folds"], cnt.tolist(), _squeeze(all_), events))
         cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[n.split()[0] for n in names])
-    answers = told.select("gram", "range", "block", "totals")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, COUNTED)
+    answers = told.select("gram", "range", F.col("child").alias("block"), "totals")
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(run, COUNTED)
 
 
 def _expand_pairs(raw: bytes) -> np.ndarray:
@@ -241,15 +293,14 @@ def learn_weights(events: np.ndarray, floor: float, rounds: int = ROUNDS) -> np.
     return w
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, fold, n_tokens, n_known, train_tokens, base_score, score per document."""
-    blocks = stage(make_blocks(docs))
-    total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
-    ranges = max(shuffle_width(docs.sparkSession), -(-total // RANGE_BYTES))
-    told = stage(tell(ask(blocks, ranges)))
-    sums = told.where("gram = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_all", "n_kept", "types"))).first()
+    blocks = stage(make_blocks(docs, block_bytes))
+    n_blocks = blocks.count()
+    parts = max(shuffle_width(docs.sparkSession), n_blocks)  # a task reads about a block at every level
+    told, sums = count_all(blocks, n_blocks, parts, fan_bits)
     n_all, types = sums["n_all"], sums["types"]
-    counted = stage(count_tokens(blocks, told, sums["n_kept"]))
+    counted = stage(count_tokens(blocks, told, sums["n_kept"], parts))
     ev = (counted.select(F.explode("events").alias("e")).select("e.*").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))).collect()  # bounded by the steps
     floor = 1 / (types + 1)
     weights = learn_weights(np.array(sorted(tuple(r) for r in ev), np.int64).reshape(-1, 4), floor)
