@@ -135,3 +135,25 @@ def test_one_list_for_dense_vectors(spark):
     want = {(a, b) for x, a in enumerate(ids) for y, b in enumerate(ids) if a < b and sims[x, y] >= 0.65}
     rows = S.near_vectors(vec, math.acos(0.65 - 1e-9), tile=16).collect()
     assert len(rows) == len(want) and {(r["a"], r["b"]) for r in rows} == want
+
+
+def test_rows_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    """Chunks inside a tile find what small tiles find; rows are sent 16 times, not once per 1,024 vectors."""
+    sent = []
+    tile_pairs = S._tile_pairs
+
+    def counting(lists, sizes, tile):
+        sent.append(sizes.agg(F.max("k")).first()[0])
+        return tile_pairs(lists, sizes, tile)
+
+    monkeypatch.setattr(S, "_tile_pairs", counting)
+    monkeypatch.setattr(S, "CHUNK", 7)
+    monkeypatch.setattr(S, "LEAST_TILE", 2)
+    rng = random.Random(8)
+    vectors = {i: unit({t: rng.uniform(0.1, 1) for t in rng.sample(range(12), 6)}) for i in range(200)}
+    vec = cut_lineage(table(spark, vectors).withColumn("r", F.lit(0.0)))
+    ids, sims = cosines(vectors)
+    want = {(a, b): sims[x, y] for x, a in enumerate(ids) for y, b in enumerate(ids) if a < b and sims[x, y] >= 0.65}
+    rows = S.near_vectors(vec, math.acos(0.65 - 1e-9)).collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]): round(r["sim"], 9) for r in rows} == pytest.approx(want)
+    assert sent == [16]

@@ -12,9 +12,10 @@ All-pairs cosine is a theta join; it is re-expressed over tiles of vectors:
    so only vectors on one posting list have to meet.
 3. Every posting list is cut into tiles of at most about ``TILE`` vectors and
    each pair of tiles is one group, so no task holds a whole list however
-   frequent its term is.  A group scores its vectors by one matrix product and
-   returns only pairs that reach the threshold; a pair on several lists is
-   returned by the first of them.
+   frequent its term is.  Rows are sent as often as their list has tiles, so
+   tiles are large, and a group scores its vectors by matrix products of
+   ``CHUNK`` vectors a side.  It returns only pairs that reach the threshold; a
+   pair on several lists is returned by the first of them.
 4. With a vocabulary of at most ``max_features`` terms the lists of dense
    vectors overlap so much that their squares add up to more than the square
    of the number of vectors.  Then all vectors are one list (counted, not
@@ -36,7 +37,8 @@ from tixflow.operators import textfeat
 from tixflow.session import cut_lineage
 
 SIM_DECIMALS = 9
-TILE = 1024  # vectors a side of a scored pair of tiles
+TILE, LEAST_TILE = 32_768, 1024  # vectors a side of a scored pair of tiles: at most, and while there are few
+CHUNK = 2048  # vectors a side of one matrix product
 
 
 def vector_hash(key: Column) -> tuple[Column, Column]:
@@ -106,37 +108,77 @@ def _tile_pairs(lists: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
     return d.withColumn("i", F.least("at", "_o")).withColumn("j", F.greatest("at", "_o")).drop("_o", "k")
 
 
-def _score_tiles(theta: float, n_terms: int, margin: float = 1e-9):
-    """Function over one pair of tiles: (a, b, sim) of vectors at most theta + r(a) + r(b) apart, a < b."""
-    def dense(t: pa.Table) -> np.ndarray:
-        tids, ws = t.column("tids").combine_chunks(), t.column("ws").combine_chunks()
-        x = np.zeros((t.num_rows, n_terms))
-        rows = np.repeat(np.arange(t.num_rows), np.diff(tids.offsets.to_numpy()))
-        x[rows, tids.flatten().to_numpy()] = ws.flatten().to_numpy()
-        return x
+def _dense(tids: pa.Array, ws: pa.Array, at: int, rows: int, n_terms: int, dtype: type) -> np.ndarray:
+    """Rows at, at + 1, ..., at most ``rows``, of sparse vectors as a matrix."""
+    t, w = tids.slice(at, rows), ws.slice(at, rows)
+    x = np.zeros((len(t), n_terms), dtype)
+    x[np.repeat(np.arange(len(t)), t.value_lengths().to_numpy()), t.flatten().to_numpy()] = w.flatten().to_numpy()
+    return x
+
+
+def _mask(pre: pa.Array, rows: np.ndarray, n_terms: int) -> np.ndarray:
+    """Which terms are in the prefixes of ``rows``."""
+    p = pre.take(pa.array(rows))
+    x = np.zeros((len(rows), n_terms), bool)
+    x[np.repeat(np.arange(len(rows)), p.value_lengths().to_numpy()), p.flatten().to_numpy()] = True
+    return x
+
+
+def _score_tiles(theta: float, n_terms: int, chunk: int, margin: float = 1e-9):
+    """Function over one pair of tiles: (a, b, sim) of vectors at most theta + r(a) + r(b) apart, a < b.
+
+    Tiles meet in chunks.  Single precision finds the candidates, with a margin
+    above its error; what is returned is computed in double precision.
+    """
+    loose = 1e-4 + n_terms * 2.0 ** -24  # above the error of a product of unit vectors in single precision
+
+    def chunks(left, right, same):
+        va, ra, ta, wa = left
+        vb, rb, tb, wb = right
+        for p in range(0, len(va), chunk):
+            x32 = _dense(ta, wa, p, chunk, n_terms, np.float32)
+            x64 = None
+            for q in range(p if same else 0, len(vb), chunk):
+                y32 = x32 if same and p == q else _dense(tb, wb, q, chunk, n_terms, np.float32)
+                sims = x32 @ y32.T
+                a, b = ra[p:p + chunk], rb[q:q + chunk]
+                if a.any() or b.any():
+                    limit = np.cos(np.minimum(theta + a[:, None] + b[None, :], np.pi)) - margin
+                else:
+                    limit = np.full((1, 1), np.cos(theta) - margin)
+                i, j = np.nonzero(sims >= (limit - loose).astype(np.float32))
+                if same and p == q:
+                    once = va[p + i] < vb[q + j]
+                    i, j = i[once], j[once]
+                if not len(i):
+                    continue
+                x64 = _dense(ta, wa, p, chunk, n_terms, np.float64) if x64 is None else x64
+                y64 = x64 if same and p == q else _dense(tb, wb, q, chunk, n_terms, np.float64)
+                if 50 * len(i) > sims.size:
+                    exact = (x64 @ y64.T)[i, j]
+                else:
+                    exact = np.concatenate([np.einsum("ij,ij->i", x64[i[k:k + chunk]], y64[j[k:k + chunk]]) for k in range(0, len(i), chunk)])
+                ok = exact >= np.broadcast_to(limit, sims.shape)[i, j]
+                yield p + i[ok], q + j[ok], exact[ok]
 
     def score(key: tuple, t: pa.Table) -> pa.Table:
         lst, i, j = (k.as_py() for k in key)
         at = t.column("at").to_numpy()
-        left = t.filter(pa.array(at == i))
-        right = left if i == j else t.filter(pa.array(at == j))
-        va, vb = left.column("vid").to_numpy(), right.column("vid").to_numpy()
-        ra, rb = left.column("r").to_numpy(), right.column("r").to_numpy()
-        sims = dense(left) @ dense(right).T if len(va) and len(vb) else np.zeros((len(va), len(vb)))
-        if ra.any() or rb.any():
-            limit = np.cos(np.minimum(theta + ra[:, None] + rb[None, :], np.pi)) - margin
-        else:
-            limit = np.cos(theta) - margin
-        x, y = np.nonzero(sims >= limit)
-        if i == j:
-            once = va[x] < vb[y]
-            x, y = x[once], y[once]
-        if lst >= 0 and len(x):  # on several lists: the first shared prefix term returns the pair
-            pa_, pb_ = left.column("pre").combine_chunks(), right.column("pre").combine_chunks()
-            first = [np.intersect1d(pa_[p].values.to_numpy(), pb_[q].values.to_numpy())[0] == lst for p, q in zip(x.tolist(), y.tolist(), strict=True)]
-            x, y = x[first], y[first]
-        a, b = va[x], vb[y]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sims[x, y]})
+
+        def side(n: int):
+            part = t.filter(pa.array(at == n))
+            return tuple(part.column(c).to_numpy() for c in ("vid", "r")) + tuple(part.column(c).combine_chunks() for c in ("tids", "ws")), part.column("pre").combine_chunks()
+
+        left, pre_a = side(i)
+        right, pre_b = (left, pre_a) if i == j else side(j)
+        out = []
+        for x, y, sim in chunks(left, right, i == j):
+            if lst >= 0 and len(x):  # on several lists: the first shared prefix term returns the pair
+                first = np.concatenate([(_mask(pre_a, x[k:k + chunk], n_terms) & _mask(pre_b, y[k:k + chunk], n_terms)).argmax(axis=1) == lst for k in range(0, len(x), chunk)])
+                x, y, sim = x[first], y[first], sim[first]
+            a, b = left[0][x], right[0][y]
+            out.append(pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim}))
+        return pa.concat_tables(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
 
     return score
 
@@ -153,6 +195,8 @@ def near_vectors(vec: DataFrame, theta: float, tile: int = TILE, max_radius: flo
     total = vec.agg(F.count(F.lit(1)).alias("n"), (F.max(F.get("tids", F.size("tids") - 1)) + 1).alias("terms")).first()
     work = posting.agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("s")).first()["s"] or 0.0
     n_terms = total["terms"] or 1
+    # Rows are sent once for each tile: 16 tiles, and more of them only where a tile would be too large for a task.
+    tile = min(tile, max(LEAST_TILE, -(-total["n"] // 16)))
     if max_radius > 0 and theta + 2 * max_radius >= math.pi / 2 or work >= float(total["n"]) ** 2:
         k = -(-total["n"] // tile) or 1
         lists = with_pre.select(F.lit(-1).alias("list"), "vid", "r", "tids", "ws", F.array().cast("array<int>").alias("pre"))
@@ -161,7 +205,7 @@ def near_vectors(vec: DataFrame, theta: float, tile: int = TILE, max_radius: flo
         lists = with_pre.select(F.explode("pre").alias("list"), "vid", "r", "tids", "ws", "pre")
         sizes = posting.select("list", F.ceil(F.col("m") / tile).alias("k"))
     groups = _tile_pairs(lists, sizes, tile).groupBy("list", "i", "j")
-    return groups.applyInArrow(_score_tiles(theta, n_terms), "a long, b long, sim double")
+    return groups.applyInArrow(_score_tiles(theta, n_terms, CHUNK), "a long, b long, sim double")
 
 
 def similar_pairs(w: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
