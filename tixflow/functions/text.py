@@ -16,8 +16,7 @@ def strip_ws(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Lower-case, every char outside ``[a-z0-9 ]`` -> space, collapse, strip."""
     lowered = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    spaced = F.regexp_replace(lowered, "[^a-z0-9 ]", " ")
-    return F.trim(F.regexp_replace(spaced, " +", " "))
+    return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))  # one pass: a run of other characters and spaces is one space
 
 
 def title_case(c: Column) -> Column:

@@ -30,15 +30,39 @@ def keyword_patterns(taxonomy: dict[str, list[str]] | None = None) -> dict[str,
     return {cat: r"\b(" + "|".join(_quote(k.lower()) for k in kws) + r")\b" for cat, kws in tax.items()}
 
 
+def _spaced_patterns(taxonomy: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """``keyword_patterns`` with equal matches in a cleaned text with a space before it.
+
+    There a word begins behind a space.  A literal space is searched for much
+    faster than a word boundary, which is tried at every character.  Categories
+    with other keywords than words one space apart keep their pattern.
+    """
+    tax = CATEGORY_KEYWORDS if taxonomy is None else taxonomy
+    pats = keyword_patterns(tax)
+    for cat, kws in tax.items():
+        if kws and all(re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", k.lower()) for k in kws):
+            pats[cat] = " (?:" + "|".join(k.lower() for k in kws) + ")(?![a-z0-9])"
+    return pats
+
+
+def _spaced(text: Column) -> Column:
+    return F.concat(F.lit(" "), clean_text(text))
+
+
 def keyword_hits(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
-    """Array of struct(category, pos, hits) in taxonomy order."""
-    cleaned = clean_text(text)
-    pats = keyword_patterns(taxonomy)
-    return F.array(*[
-        F.struct(F.lit(cat).alias("category"), F.lit(i).alias("pos"),
-                 F.regexp_count(cleaned, F.lit(p)).alias("hits"))
-        for i, (cat, p) in enumerate(pats.items())
-    ])
+    """Array of struct(category, pos, hits) in taxonomy order.
+
+    The cleaned text is bound once as the variable of a one-element
+    ``transform``: named in every count, it would be cleaned as often.
+    """
+    def counts(spaced: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(cat).alias("category"), F.lit(i).alias("pos"),
+                     F.regexp_count(spaced, F.lit(p)).alias("hits"))
+            for i, (cat, p) in enumerate(_spaced_patterns(taxonomy).items())
+        ])
+
+    return F.get(F.transform(F.array(_spaced(text)), counts), 0)
 
 
 def rule_category(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
@@ -49,10 +73,10 @@ def rule_category(text: Column, taxonomy: dict[str, list[str]] | None = None) ->
     in whole-stage codegen and the cleaned text is computed once per row
     (common subexpression), not once per category.
     """
-    cleaned = clean_text(text)
-    cands = [F.struct(F.regexp_count(cleaned, F.lit(p)).alias("hits"), F.lit(-i).alias("neg_pos"),
+    spaced = _spaced(text)
+    cands = [F.struct(F.regexp_count(spaced, F.lit(p)).alias("hits"), F.lit(-i).alias("neg_pos"),
                       F.lit(cat).alias("category"))
-             for i, (cat, p) in enumerate(keyword_patterns(taxonomy).items())]
+             for i, (cat, p) in enumerate(_spaced_patterns(taxonomy).items())]
     best = F.greatest(*cands) if len(cands) > 1 else cands[0]
     return F.when(best["hits"] > 0, best["category"])
 
@@ -88,30 +112,24 @@ def category_centroids(tickets: DataFrame, min_labeled: int = CLASSIFIER_MIN_LAB
     # documents stand behind it, so counts, document frequencies and the
     # centroid sums are weighted by it (same result as per ticket).
     _, texts = textfeat.distinct_texts(lab, "full_text", extra_keys=["category"])
+    texts = cut_lineage(texts)
     tkeys = ["th1", "th2", "category", "tmult"]
     d = texts.select(*tkeys, classifier_terms(F.col("text")).alias("terms"))
-    tf = textfeat.term_counts(d, tkeys)
-    vocab = textfeat.vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df,
-                                weight="tmult")
+    tf = cut_lineage(textfeat.term_counts(d, tkeys))
+    # Bounded tables that are read several times are written once.
+    vocab = cut_lineage(textfeat.vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df,
+                                            weight="tmult"))
     w = textfeat.tfidf(tf, vocab, tkeys, sublinear=True)
-    labels = lab.groupBy("category").agg(F.min("ingest_ord").alias("label_ord"),
-                                         F.count(F.lit(1)).alias("n_cat"))
+    labels = cut_lineage(lab.groupBy("category").agg(F.min("ingest_ord").alias("label_ord"),
+                                                     F.count(F.lit(1)).alias("n_cat")))
     centroids = (w.groupBy("category", "term").agg(F.sum(F.col("w") * F.col("tmult")).alias("s"))
                   .join(F.broadcast(labels), "category")
                   .select("category", "term", (F.col("s") / F.col("n_cat")).alias("c")))
-    return vocab, centroids, labels
+    return vocab, cut_lineage(centroids), labels
 
 
-def nearest_centroid(docs: DataFrame, vocab: DataFrame, centroids: DataFrame,
-                     labels: DataFrame, key: str = "number",
-                     min_similarity: float = CLASSIFIER_MIN_SIMILARITY) -> DataFrame:
-    """(key, ml_category, ml_similarity) for docs with a ``full_text``.
-
-    Argmax of cosine to the centroids; ties -> label seen first; best below
-    ``min_similarity`` (or no shared term) -> 'Other'.
-    """
-    # Score each distinct text once; tickets pick up their text's result.
-    doc_text, texts = textfeat.distinct_texts(docs.select(key, "full_text"), "full_text")
+def nearest_centroid_of_texts(texts: DataFrame, vocab: DataFrame, centroids: DataFrame, labels: DataFrame) -> DataFrame:
+    """(th1, th2, b: struct(category, sim)): the best centroid of every text (th1, th2, text) that shares a term with one; staged."""
     tkeys = ["th1", "th2"]
     d = texts.select(*tkeys, classifier_terms(F.col("text")).alias("terms"))
     w = textfeat.transform(d, vocab, tkeys, sublinear=True)
@@ -124,49 +142,70 @@ def nearest_centroid(docs: DataFrame, vocab: DataFrame, centroids: DataFrame,
              .select(*tkeys, "category", "label_ord", (F.col("dot") / F.col("cn")).alias("sim")))
     best = sims.groupBy(*tkeys).agg(F.min_by(F.struct("category", "sim"),
                                              F.struct(-F.col("sim"), F.col("label_ord"))).alias("b"))
-    out = doc_text.select(key, *tkeys).join(cut_lineage(best), tkeys, "left")  # a plain shuffle: splittable
+    return cut_lineage(best)
+
+
+def _ml_category(min_similarity: float) -> tuple[Column, Column]:
     sim = F.coalesce(F.col("b.sim"), F.lit(0.0))
-    return out.select(key, F.when(sim >= min_similarity, F.col("b.category")).otherwise(F.lit("Other"))
-                      .alias("ml_category"), sim.alias("ml_similarity"))
+    return F.when(sim >= min_similarity, F.col("b.category")).otherwise(F.lit("Other")), sim
+
+
+def nearest_centroid(docs: DataFrame, vocab: DataFrame, centroids: DataFrame,
+                     labels: DataFrame, key: str = "number",
+                     min_similarity: float = CLASSIFIER_MIN_SIMILARITY) -> DataFrame:
+    """(key, ml_category, ml_similarity) for docs with a ``full_text``.
+
+    Argmax of cosine to the centroids; ties -> label seen first; best below
+    ``min_similarity`` (or no shared term) -> 'Other'.
+    """
+    # Score each distinct text once; tickets pick up their text's result.
+    doc_text, texts = textfeat.distinct_texts(docs.select(key, "full_text"), "full_text")
+    best = nearest_centroid_of_texts(texts, vocab, centroids, labels)
+    out = doc_text.select(key, "th1", "th2").join(best, ["th1", "th2"], "left")  # a plain shuffle: splittable
+    category, sim = _ml_category(min_similarity)
+    return out.select(key, category.alias("ml_category"), sim.alias("ml_similarity"))
+
+
+def text_rules(t: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """(th1, th2, _rule_text): the keyword rule of every distinct text of ``t`` (th1, th2, full_text); staged."""
+    return cut_lineage(t.select("th1", "th2", "full_text").distinct()
+                        .select("th1", "th2", rule_category(F.col("full_text"), taxonomy).alias("_rule_text")))
 
 
 def classify(tickets: DataFrame, taxonomy: dict[str, list[str]] | None = None,
              min_labeled: int = CLASSIFIER_MIN_LABELED, use_category_text: bool = False,
-             key: str = "number") -> DataFrame:
+             key: str = "number", staged: bool = False) -> DataFrame:
     """Fill ``category`` and add ``category_source`` and ``category_raw``.
 
     original (a taxonomy name) -> rule (keywords in full_text) -> ml (nearest
     centroid, 'Other' below the similarity floor) -> 'Other'/uncategorized
     when the vector tier is not fitted (< ``min_labeled`` labelled rows).
     ``use_category_text=True`` first tries the keyword rules on the category
-    string itself for rows outside the taxonomy (C7).
+    string itself for rows outside the taxonomy (C7).  ``staged``: the tickets
+    are a written table already, which every branch may read again.
     """
     t = (tickets.withColumn("category_raw", F.col("category"))
                 .withColumn("_needs", needs_classification(F.col("category"), taxonomy)))
-    # The keyword rules read only the text: run the regexes once per distinct
-    # text of the rows that need a category, then join back on the text hash
-    # (AQE broadcasts the rule table when it is small at run time).
-    t, _ = textfeat.distinct_texts(t, "full_text")
-    # Materialised, so both join inputs are plain shuffles and AQE can split
-    # the tickets of a text that very many share.
-    rules = cut_lineage(t.where("_needs").groupBy("th1", "th2").agg(F.first("full_text").alias("_txt"))
-                         .select("th1", "th2", rule_category(F.col("_txt"), taxonomy).alias("_rule_text")))
-    t = t.join(rules, ["th1", "th2"], "left")
+    t = textfeat.with_text_hash(t, "full_text")
+    # The tickets feed four branches (rules, centroid fit, predictions, final
+    # projection): written once, so the upstream plan runs a single time.
+    t = t if staged else cut_lineage(t)
+    # Rules and vectors read only the text: they run once per distinct text of
+    # the rows that need a category, and tickets pick them up by the text's hash.
+    # Both tables are written, so small ones are broadcast, and with large ones
+    # AQE can split the tickets of a text that very many share.
+    t = t.join(text_rules(t.where("_needs"), taxonomy), ["th1", "th2"], "left")
     rule = F.col("_rule_text")
     if use_category_text:
         rule = F.coalesce(rule_category(F.coalesce(F.col("category"), F.lit("")), taxonomy), rule)
-    # The tagged tickets feed three branches (centroid fit, pending
-    # predictions, final projection): materialise them once so the upstream
-    # plan runs a single time.
-    t = cut_lineage(t.withColumn("_rule", F.when(F.col("_needs"), rule)).drop("th1", "th2", "_rule_text"))
+    t = t.withColumn("_rule", F.when(F.col("_needs"), rule)).drop("_rule_text")
 
     vocab, centroids, labels = category_centroids(t, min_labeled, taxonomy=taxonomy, key=key)
     ready = labels.agg(F.count(F.lit(1)).alias("n_labels")).select((F.col("n_labels") > 0).alias("_ml_ready"))
-    pending = t.where(F.col("_needs") & F.col("_rule").isNull())
-    pred = nearest_centroid(pending, vocab, centroids, labels, key=key)
-    # Null-safe: the dedupe keeps one row without a number.
-    pred = pred.withColumnRenamed(key, "_key")
-    t = t.join(pred, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").crossJoin(F.broadcast(ready))
+    pending = t.where(F.col("_needs") & F.col("_rule").isNull()).select("th1", "th2", F.col("full_text").alias("text")).distinct()
+    best = nearest_centroid_of_texts(pending, vocab, centroids, labels)
+    t = t.join(best, ["th1", "th2"], "left").crossJoin(F.broadcast(ready))
+    t = t.withColumn("ml_category", _ml_category(CLASSIFIER_MIN_SIMILARITY)[0])
 
     cat = (F.when(~F.col("_needs"), strip_ws(F.col("category")))
             .when(F.col("_rule").isNotNull(), F.col("_rule"))

@@ -40,6 +40,7 @@ class DensityResult:
     labels: DataFrame         # (ids..., cluster_id) for every document (-1 = noise)
     threshold: float
     min_samples: int
+    text_label: DataFrame     # (th1, th2, cluster_id) texts in kept clusters, by their hash
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -116,7 +117,7 @@ def density_clusters(docs: DataFrame, ids: list[str], ord_col: str, text_col: st
     labels = (doc_text.join(text_label, tkeys, "left")
                       .select(*ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
     members = doc_text.join(text_vec, tkeys).select(*ids, "h1", "h2")
-    return DensityResult(vocab, weights, members, vectors, vc, labels, 1.0 - eps, min_samples)
+    return DensityResult(vocab, weights, members, vectors, vc, labels, 1.0 - eps, min_samples, text_label)
 
 
 def noise_count(labels: DataFrame) -> DataFrame:

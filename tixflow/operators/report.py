@@ -19,6 +19,7 @@ from tixflow.operators import clusters as CL
 from tixflow.operators import health as H
 from tixflow.operators import metrics as M
 from tixflow.operators import rootcause as R
+from tixflow.operators import textfeat
 from tixflow.operators.density import density_clusters, noise_count
 from tixflow.session import cut_lineage
 
@@ -147,6 +148,12 @@ def with_labels(t: DataFrame, labels: DataFrame, key: str = "number") -> DataFra
     return t.join(lab, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
+def with_text_labels(t: DataFrame, text_label: DataFrame, text_col: str = "full_text") -> DataFrame:
+    """As ``with_labels``, from the labels of distinct texts (th1, th2, cluster_id): no row is moved by its number."""
+    out = textfeat.with_text_hash(t, text_col).join(text_label, ["th1", "th2"], "left")
+    return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).drop("th1", "th2")
+
+
 def run_report(tickets: DataFrame, as_of: datetime | str | None = None, *, with_root_causes: bool = True,
                generated_at: str | None = None) -> Report:
     """Classify -> recurring patterns -> root causes -> metrics, health, advice.
@@ -155,9 +162,9 @@ def run_report(tickets: DataFrame, as_of: datetime | str | None = None, *, with_
     outputs are checkpointed once (reliable storage).
     """
     spark = tickets.sparkSession
-    t = cut_lineage(C.classify(tickets))
-    dens = density_clusters(t, ["number"], "ingest_ord")
-    t = cut_lineage(with_labels(t, dens.labels))
+    tickets = cut_lineage(tickets)
+    dens = density_clusters(tickets, ["number"], "ingest_ord")
+    t = cut_lineage(with_text_labels(C.classify(tickets, staged=True), dens.text_label))
     patterns = cut_lineage(CL.cluster_summary(t))
     n_patterns = patterns.agg(F.count(F.lit(1)).alias("n_patterns"))
     mttr = M.mttr_by_priority(t)

@@ -95,28 +95,27 @@ def _vectors(corpus: DataFrame, max_features: int):
         "h1", "h2", "weight", F.coalesce(F.size(F.map_keys("m")), F.lit(0)).alias("nnz"),
         array_to_vector(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), max(dim, 1))).otherwise(dense)).alias("features"))
     members = doc_text.select("number", "th1", "th2").join(per_text.select("th1", "th2", "h1", "h2"), ["th1", "th2"])
-    return members.select("number", "h1", "h2"), feats, dim, w.select("h1", "h2", "term", "w")
+    return members.select("number", "h1", "h2"), per_text.select("th1", "th2", "h1", "h2"), feats, dim, w.select("h1", "h2", "term", "w")
 
 
 def resolution_weights(t: DataFrame, max_features: int = ROOT_CAUSE_MAX_FEATURES) -> DataFrame:
     """(number, term, w) of every ticket in the resolution corpus."""
-    members, _, _, w = _vectors(cut_lineage(resolution_corpus(t)), max_features)
+    members, _, _, _, w = _vectors(cut_lineage(resolution_corpus(t)), max_features)
     return members.join(cut_lineage(w), ["h1", "h2"]).select("number", "term", "w")
 
 
 def grouped_silhouette(corpus: DataFrame, max_features: int = ROOT_CAUSE_MAX_FEATURES) -> DataFrame:
     """R5 for any grouping: (rc_cluster, n, silhouette) of a resolution corpus with ``rc_cluster``; all tickets under null."""
     corpus = cut_lineage(corpus.select("number", "resolution_text", "rc_cluster"))
-    members, _, _, w = _vectors(corpus, max_features)
+    members, _, _, _, w = _vectors(corpus, max_features)
     points = (members.join(corpus.select(F.col("number").alias("_key"), "rc_cluster"), F.col("number").eqNullSafe(F.col("_key")))
                      .groupBy("h1", "h2", "rc_cluster").agg(F.count(F.lit(1)).alias("mult")))
     return mean_silhouette(cosine_silhouette(points, cut_lineage(w.select("h1", "h2", "term", "w")), ["h1", "h2"], "rc_cluster"), "rc_cluster")
 
 
 def _labelled(corpus: DataFrame, labels: DataFrame) -> DataFrame:
-    """Null-safe on the number: the dedupe keeps one ticket without one."""
-    lab = labels.select(F.col("number").alias("_key"), "rc_cluster")
-    return corpus.join(lab, F.col("number").eqNullSafe(F.col("_key"))).drop("_key")
+    """``corpus`` with the ``rc_cluster`` of its resolution texts (th1, th2, rc_cluster)."""
+    return textfeat.with_text_hash(corpus, "resolution_text").join(labels, ["th1", "th2"]).drop("th1", "th2")
 
 
 def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
@@ -132,7 +131,7 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
     n = corpus.count()
     if n == 0:
         return RootCauseResult(corpus.withColumn("rc_cluster", F.lit(None).cast("int")), 0, None, [])
-    members, feats, dim, _ = _vectors(corpus, max_features)
+    _, text_vec, feats, dim, _ = _vectors(corpus, max_features)
     feats = cut_lineage(feats)
     n_distinct = feats.count()
     if dim == 0 or feats.where("nnz > 0").limit(1).count() == 0:
@@ -179,7 +178,7 @@ def root_cause_clusters(t: DataFrame, max_clusters: int = KMEANS_MAX_CLUSTERS,
         best_k = min(best_k, n_distinct)
         model = fit(best_k)
     pred = model.transform(feats).select("h1", "h2", F.col("rc_cluster").cast("int").alias("rc_cluster"))
-    labelled = _labelled(corpus, members.join(pred, ["h1", "h2"]))
+    labelled = _labelled(corpus, cut_lineage(text_vec.join(pred, ["h1", "h2"]).select("th1", "th2", "rc_cluster")))
     return RootCauseResult(cut_lineage(labelled), best_k, best_score if scores else None, scores)
 
 

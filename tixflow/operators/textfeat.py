@@ -35,6 +35,12 @@ def document_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def with_text_hash(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``th1``, ``th2``: a 128-bit hash of the text."""
+    c = F.col(text_col)
+    return docs.withColumn("th1", F.xxhash64(c)).withColumn("th2", F.xxhash64(F.lit("tixflow"), c))
+
+
 def distinct_texts(docs: DataFrame, text_col: str, ord_col: str | None = None,
                    extra_keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Collapse identical texts before any tokenising.
@@ -44,14 +50,15 @@ def distinct_texts(docs: DataFrame, text_col: str, ord_col: str | None = None,
     one row per distinct text (and ``extra_keys`` value) with its earliest
     ``ord_col`` and its number of documents.
     The ``groupBy`` combines map-side, so a text repeated across a third of
-    the rows is one row per map task before the shuffle.
+    the rows is one row per map task before the shuffle.  The text is a key:
+    as an aggregate (a string buffer) it would make Spark sort all rows.
     """
-    th1, th2 = F.xxhash64(F.col(text_col)), F.xxhash64(F.lit("tixflow"), F.col(text_col))
-    doc_text = docs.withColumn("th1", th1).withColumn("th2", th2)
+    doc_text = with_text_hash(docs, text_col)
     aggs = [F.min(ord_col).alias("tord")] if ord_col else []
-    aggs += [F.count(F.lit(1)).alias("tmult"), F.first(text_col).alias("text")]
-    texts = doc_text.groupBy("th1", "th2", *(extra_keys or [])).agg(*aggs)
-    return doc_text, texts
+    aggs.append(F.count(F.lit(1)).alias("tmult"))
+    keys = ["th1", "th2", *(extra_keys or [])]
+    texts = doc_text.groupBy(*keys, F.col(text_col).alias("text")).agg(*aggs)
+    return doc_text, texts.select(*keys, *(["tord"] if ord_col else []), "tmult", "text")
 
 
 def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None,
@@ -104,8 +111,9 @@ def fit_texts(docs: DataFrame, text_col: str, terms_fn, max_features: int | None
     ``distinct_texts``.
     """
     doc_text, texts = distinct_texts(docs, text_col, ord_col)
+    texts = cut_lineage(texts)  # read for the terms, their number and by callers
     d = texts.select("th1", "th2", "tmult", terms_fn(F.col("text")).alias("terms"))
-    tf = term_counts(d, ["th1", "th2", "tmult"])
+    tf = cut_lineage(term_counts(d, ["th1", "th2", "tmult"]))
     vocab = vocabulary(tf, texts.agg(F.sum("tmult").alias("n_docs")), max_features, min_df, weight="tmult")
     return vocab, doc_text, texts, tfidf(tf, vocab, ["th1", "th2"], sublinear)
 

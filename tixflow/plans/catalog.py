@@ -371,10 +371,11 @@ def q_centroids(spark, sf_dir):
 @register("nearest_centroid", _sql_classify(
     "SELECT number, ml_category, round(ml_similarity, 6) AS ml_similarity FROM ml_pred"))
 def q_nearest_centroid(spark, sf_dir):
-    t = tickets(spark, sf_dir)
+    from tixflow.session import cut_lineage
+    t = cut_lineage(tickets(spark, sf_dir).select("number", "ingest_ord", "category", "full_text"))  # the fit, the rules and the result read it
     vocab, cen, labels = C.category_centroids(t)
-    pending = t.where(C.needs_classification(F.col("category"))
-                      & C.rule_category(F.col("full_text")).isNull())
+    needing = TF.with_text_hash(t, "full_text").where(C.needs_classification(F.col("category")))
+    pending = needing.join(C.text_rules(needing), ["th1", "th2"]).where(F.col("_rule_text").isNull())
     p = C.nearest_centroid(pending, vocab, cen, labels)
     return p.select("number", "ml_category", r6(F.col("ml_similarity")).alias("ml_similarity"))
 
@@ -473,10 +474,12 @@ _register_density("doc", doc_density, ["doc_id"])
 @memo
 def clustered_tickets(spark, sf_dir):
     """Classified tickets with their density cluster id (materialised once)."""
-    from tixflow.operators.report import with_labels
+    from tixflow.operators.density import density_clusters
+    from tixflow.operators.report import with_text_labels
     from tixflow.session import cut_lineage
-    labels = tk_density(spark, sf_dir).labels
-    return cut_lineage(with_labels(classified(spark, sf_dir), labels))
+    t = cut_lineage(tickets(spark, sf_dir))
+    dens = density_clusters(t, ["number"], "ingest_ord")
+    return cut_lineage(with_text_labels(C.classify(t, staged=True), dens.text_label))
 
 
 def _sql_clusters(final: Callable[[str], str]) -> Callable[[], str]:

@@ -416,7 +416,8 @@ def _sql_find_similar() -> str:
 
 
 def _fitted_texts(spark, sf_dir):
-    t = tickets(spark, sf_dir).select("number", "ingest_ord", "full_text")
+    from tixflow.session import cut_lineage
+    t = cut_lineage(tickets(spark, sf_dir).select("number", "ingest_ord", "full_text"))
     return TF.fit_texts(t, "full_text", vectoriser_terms, TFIDF_MAX_FEATURES, 2, ord_col="ingest_ord")
 
 
@@ -450,7 +451,7 @@ def q_find_similar_batch(spark, sf_dir):
     """P20 with every ticket whose key is divisible by 50 as a query, against all tickets."""
     from tixflow.operators.search import find_similar_batch
     vocab, doc_text, texts, w = _fitted_texts(spark, sf_dir)
-    asked = tickets(spark, sf_dir).where(F.substring("number", 4, 20).cast("long") % 50 == 0)
+    asked = doc_text.where(F.substring("number", 4, 20).cast("long") % 50 == 0)
     r = find_similar_batch(asked.select(F.col("number").alias("qid"), F.col("full_text").alias("query")), "qid", "query",
                            doc_text.select("number", "ingest_ord", "th1", "th2"), texts, w, vocab, vectoriser_terms, "ingest_ord", 5)
     return r.select("qid", F.col("rank").cast("long").alias("rank"), "number", r6(F.col("similarity_score")).alias("similarity_score"))
