@@ -123,7 +123,8 @@ def _split_frames(spark: SparkSession, files: list[str], encoding: str, aliases)
     path = {r["file"]: r["path"] for r in spark.createDataFrame([(f,) for f in files], "path string").withColumn("file", F.xxhash64("path")).collect()}
     groups: dict[tuple, int] = {}
     of_file = []
-    for r in heads:
+    listed = {f: i for i, f in enumerate(files)}
+    for r in sorted(heads, key=lambda r: listed[path[r["file"]]]):  # columns come in the order of the files, as in the one-task read
         line = bytes(r["first"]["value"])
         names, enc = _header(line, r["ok"], encoding)
         if names:
