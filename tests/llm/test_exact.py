@@ -460,3 +460,16 @@ def test_lm_weights_sum_to_one_and_raise_likelihood():
     steps = [loss(lm_scoring.learn_weights(ev, 1e-5, rounds=r)) for r in (1, 5, 60)]
     assert steps == sorted(steps)
     assert np.allclose(lm_scoring.learn_weights(ev, 1e-5).sum(axis=1), 1)
+
+
+def test_minhash_writes_few_tables(docs_of, monkeypatch):
+    """Every written table costs a job of all shuffle partitions, however small it is."""
+    from tixflow.llm import graph
+    written = []
+    for module in (minhash_dedup, graph):
+        monkeypatch.setattr(module, "stage", lambda df, f=module.stage: written.append(df.columns) or f(df))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words if i < 3 else [f"{i}{w}" for w in words])) for i in range(6)] + [(7 + i, " ".join([*words, f"x{i}"])) for i in range(4)]
+    got = minhash_dedup.near_duplicates(docs_of(rows), words=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 3 or i > 6 else i for i, _ in rows}
+    assert len(written) <= 21
