@@ -53,3 +53,9 @@ def test_labels_of_texts_equal_labels_of_tickets(spark):
     assert by_text.where("cluster_id = 0").count() >= 5
     joins = [x for x in by_text._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x]
     assert not joins  # the few texts are broadcast; tickets stay where they are
+
+
+def test_best_rule_counts_every_category_once(spark):
+    df = spark.createDataFrame([("a",)], "t string").select(C.rule_category(F.col("t")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(CATEGORY_KEYWORDS) and plan.count("regexp_replace") == 1

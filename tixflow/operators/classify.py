@@ -68,17 +68,19 @@ def keyword_hits(text: Column, taxonomy: dict[str, list[str]] | None = None) ->
 def rule_category(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
     """Category with most hits, earlier category on a tie; NULL if none.
 
-    ``greatest`` over (hits, -position, category) structs instead of a
-    lambda over an array: no higher-order function, so the projection stays
-    in whole-stage codegen and the cleaned text is computed once per row
-    (common subexpression), not once per category.
+    ``greatest`` over (hits, -position, category) structs.  The cleaned text
+    and the best struct are each bound once as the variable of a one-element
+    ``transform``: ``when`` reads the best twice, and named there it would be
+    cleaned and counted again for either.
     """
-    spaced = _spaced(text)
-    cands = [F.struct(F.regexp_count(spaced, F.lit(p)).alias("hits"), F.lit(-i).alias("neg_pos"),
-                      F.lit(cat).alias("category"))
-             for i, (cat, p) in enumerate(_spaced_patterns(taxonomy).items())]
-    best = F.greatest(*cands) if len(cands) > 1 else cands[0]
-    return F.when(best["hits"] > 0, best["category"])
+    def best(spaced: Column) -> Column:
+        cands = [F.struct(F.regexp_count(spaced, F.lit(p)).alias("hits"), F.lit(-i).alias("neg_pos"),
+                          F.lit(cat).alias("category"))
+                 for i, (cat, p) in enumerate(_spaced_patterns(taxonomy).items())]
+        return F.greatest(*cands) if len(cands) > 1 else cands[0]
+
+    found = F.transform(F.array(_spaced(text)), best)
+    return F.get(F.transform(found, lambda b: F.when(b["hits"] > 0, b["category"])), 0)
 
 
 def needs_classification(category: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
