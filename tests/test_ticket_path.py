@@ -56,6 +56,6 @@ def test_labels_of_texts_equal_labels_of_tickets(spark):
 
 
 def test_best_rule_counts_every_category_once(spark):
-    df = spark.createDataFrame([("a",)], "t string").select(C.rule_category(F.col("t")))
+    df = spark.createDataFrame([("a",)], "t string").select(C.rule_category(F.col("t")).alias("best"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == len(CATEGORY_KEYWORDS) and plan.count("regexp_replace") == 1
