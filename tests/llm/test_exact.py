@@ -264,6 +264,33 @@ def test_packing_plan_does_not_grow_with_the_corpus(n):
     assert sum(hi - lo for _, lo, hi, *_, laid in rows if laid) <= 0.02 * n
 
 
+@pytest.mark.parametrize("room", [10**6, 700, 0])
+def test_known_words_are_kept_in_few_bytes(monkeypatch, room):
+    import tracemalloc
+
+    import numpy as np
+
+    from tixflow.llm import kernel
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", room)
+    wt = token_counts.WordTokens(token_counts.TOKENIZER)
+    words = [str(i * 7919 % 1_000_003) for i in range(20_000)] + ["Caf\u00e9,", "", "12ab"]
+    kernel.words(np.zeros(1 << 17, np.uint8), np.array([0, 1 << 17]))  # its tables of powers
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for a in (0, 5_000, 0, 10_000, 15_000):  # some words come again
+        part = words[a:a + 5_003]
+        data = " ".join(part).encode()
+        h, s, e, _ = kernel.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        ids, start, size, inv = wt.of(np.frombuffer(data, np.uint8), h, s, e)
+        got = [ids[start[k]:start[k] + size[k]].tolist() for k in inv[::97]]
+        assert got == [wt.encode(data[x:y].decode()).tolist() for x, y in zip(s[::97].tolist(), e[::97].tolist(), strict=True)]
+    del ids, start, size, inv, h, s, e
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(wt.known) == min(room, len({w for w in words if w}))
+    assert kept < 90 * 20_000
+
+
 def test_fill_window_is_closest_subset():
     import itertools
     import random
