@@ -264,6 +264,20 @@ def test_packing_plan_does_not_grow_with_the_corpus(n):
     assert sum(hi - lo for _, lo, hi, *_, laid in rows if laid) <= 0.02 * n
 
 
+def test_packing_plan_has_one_rule_for_every_size():
+    """Patterns end where lengths run short, not at a number of rows: lengths of any frequencies are dealt, not laid."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    p = rng.permutation(1 / np.arange(1, 2048))
+    n = 10**6
+    counts = rng.multinomial(n, p / p.sum()).tolist()
+    rows, n_seq = packing.plan_bins({k + 1: c for k, c in enumerate(counts) if c})
+    tokens = sum((k + 1) * c for k, c in enumerate(counts))
+    assert n_seq == -(-tokens // packing.CAPACITY)
+    assert sum((hi - lo) * size for _, lo, hi, _, size, *_ in rows) == tokens
+    assert sum(hi - lo for _, lo, hi, *_, laid in rows if laid) <= 0.15 * n
+
+
 @pytest.mark.parametrize("room", [10**6, 700, 0])
 def test_known_words_are_kept_in_few_bytes(monkeypatch, room):
     import tracemalloc
