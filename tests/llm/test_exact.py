@@ -305,6 +305,17 @@ def test_known_words_are_kept_in_few_bytes(monkeypatch, room):
     assert kept < 90 * 20_000
 
 
+def test_packing_patterns_are_bounded_by_the_window():
+    import random
+    rng = random.Random(5)
+    for scale in (1, 10**3, 10**6):
+        for _ in range(60):
+            counts = {rng.randrange(1, 16): rng.randrange(1, 50) * scale for _ in range(rng.randrange(1, 9))}
+            rows, n_seq = packing.plan_bins(counts, 16)
+            assert n_seq == -(-sum(k * n for k, n in counts.items()) // 16)
+            assert len({r[7] for r in rows if not r[9]}) <= packing.SHORT * 15
+
+
 def test_fill_window_is_closest_subset():
     import itertools
     import random
