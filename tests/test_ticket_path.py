@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tixflow.config import CATEGORY_KEYWORDS
 from tixflow.operators import classify as C
+from tixflow.operators import clusters as CL
 from tixflow.operators import textfeat
 from tixflow.operators.density import density_clusters
 from tixflow.operators.report import with_labels, with_text_labels
@@ -59,3 +60,13 @@ def test_best_rule_counts_every_category_once(spark):
     df = spark.createDataFrame([("a",)], "t string").select(C.rule_category(F.col("t")).alias("best"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == len(CATEGORY_KEYWORDS) and plan.count("regexp_replace") == 1
+
+
+def _leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+
+
+def test_keywords_tokenise_written_distinct_texts(spark):
+    rows = [(f"INC{i}", i % 2, "printer jam on floor" if i % 3 else "mail queue stuck") for i in range(30)]
+    kw = CL.cluster_keywords(spark.createDataFrame(rows, "number string, cluster_id int, full_text string"))
+    assert kw.count() == 12 and "LogicalRDD" not in _leaves(kw)

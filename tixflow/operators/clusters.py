@@ -43,7 +43,10 @@ def cluster_keywords(t: DataFrame, n: int = 6, key: str = "cluster_id", text_col
     # One row per distinct (cluster, text), tokenised once; ``tmult`` tickets
     # stand behind it, so counts, document frequencies and the mean score are
     # weighted by it.
+    # Written first: the filter that Spark infers from the explode reads the
+    # terms, and would go below the grouping and tokenise every ticket's text.
     _, texts = textfeat.distinct_texts(c.select(key, text_col), text_col, extra_keys=[key])
+    texts = cut_lineage(texts)
     tkeys = [key, "th1", "th2", "tmult"]
     d = texts.select(*tkeys, vectoriser_terms(F.col("text"), STOP_WORDS).alias("terms"))
     n_c = texts.groupBy(key).agg(F.sum("tmult").alias("n_c"))
