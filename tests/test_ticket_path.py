@@ -70,3 +70,16 @@ def test_keywords_tokenise_written_distinct_texts(spark):
     rows = [(f"INC{i}", i % 2, "printer jam on floor" if i % 3 else "mail queue stuck") for i in range(30)]
     kw = CL.cluster_keywords(spark.createDataFrame(rows, "number string, cluster_id int, full_text string"))
     assert kw.count() == 12 and "LogicalRDD" not in _leaves(kw)
+
+
+def test_centroids_tokenise_written_distinct_texts(spark, monkeypatch):
+    rows = [("INC1", 1, "Network", "switch port down"), ("INC2", 2, "Database", "slow sql index"), ("INC3", 3, "", "switch down"), ("INC4", 4, "", "switch down")]
+    t = spark.createDataFrame(rows, "number string, ingest_ord long, category string, full_text string")
+    fit = C.category_centroids(t, min_labeled=1, min_df=1)
+    seen, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: seen.append(df) or cut(df))
+    pending = textfeat.with_text_hash(t.where("category = ''"), "full_text").select("th1", "th2", F.col("full_text").alias("text")).distinct()
+    best = C.nearest_centroid_of_texts(pending, *fit)
+    assert [r["b"]["category"] for r in best.collect()] == ["Network"]
+    tokenised = [df for df in seen if "Generate" in df._jdf.queryExecution().optimizedPlan().toString()]
+    assert tokenised and all("LogicalRDD" not in _leaves(df) for df in tokenised)

@@ -131,7 +131,12 @@ def category_centroids(tickets: DataFrame, min_labeled: int = CLASSIFIER_MIN_LAB
 
 
 def nearest_centroid_of_texts(texts: DataFrame, vocab: DataFrame, centroids: DataFrame, labels: DataFrame) -> DataFrame:
-    """(th1, th2, b: struct(category, sim)): the best centroid of every text (th1, th2, text) that shares a term with one; staged."""
+    """(th1, th2, b: struct(category, sim)): the best centroid of every text (th1, th2, text) that shares a term with one; staged.
+
+    The texts are written first: the filter that Spark infers from the explode
+    of the terms would go below their grouping and tokenise every ticket's text.
+    """
+    texts = cut_lineage(texts)
     tkeys = ["th1", "th2"]
     d = texts.select(*tkeys, classifier_terms(F.col("text")).alias("terms"))
     w = textfeat.transform(d, vocab, tkeys, sublinear=True)
