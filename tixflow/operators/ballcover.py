@@ -1,16 +1,13 @@
-"""Density clusters from an angular ball cover, without the neighbour graph.
-
-Texts at most a third of the neighbour angle from a leader are neighbours of
-one another (triangle inequality of angles).  A ball of such texts with enough
-mass is therefore all core and connected, and stands in the join as one vector
-with a radius.  Leader to leader, the triangle inequality decides most pairs of
-balls at once: all members are neighbours, or none.  Only what it leaves
-undecided is compared member by member, and of two balls only while they are
-not already in one component.  k near-identical texts thus cost k rows, not
-their k * (k - 1) / 2 pairs.
-
-The cover only has to be a cover: leaders come from buckets of equal smallest
-term hashes, and a text that no leader is near to stays by itself.
+"""Density clusters without the neighbour graph.
+
+The tiles of the similarity join return neighbour masses and links
+(``similarity.near_vectors``): all pairs of vectors that are not core inside a
+pair of tiles, and between the others as many as connect them.  The masses add
+up to the exact core points, the links between core points have the components
+of all their pairs, and a border vector, having less than ``min_samples``
+neighbours, has all of its pairs among the links.  k near-identical texts thus
+cost rows in proportion to k, not their k * (k - 1) / 2 pairs, and no table of
+pairs is written.
 """
 
 from __future__ import annotations
@@ -18,160 +15,45 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tixflow.operators import similarity as S
 from tixflow.operators.components import connected_components
 from tixflow.session import cut_lineage
 
-ROUNDS, BUCKET_HASHES = 2, 2
-SLACK = 1e-7  # angles this close to a bound are compared exactly
-
-
-def _bucket(round_no: int) -> Column:
-    least = [F.array_min(F.transform("tids", lambda t: F.xxhash64(t, F.lit(round_no * BUCKET_HASHES + j)))) for j in range(BUCKET_HASHES)]  # noqa: B023
-    return F.xxhash64(*least)
-
-
-def _dots(t: pa.RecordBatch) -> np.ndarray:
-    """Dot product of each row's two sparse vectors."""
-    ta, wa, tb, wb = (t.column(c) for c in ("tids_a", "ws_a", "tids_b", "ws_b"))
-    n_terms = 1 + max((int(x.flatten().to_numpy().max(initial=0)) for x in (ta, tb)), default=0)
-    out = np.zeros(t.num_rows)
-    step = max(1, (1 << 21) // n_terms)
-    for i in range(0, t.num_rows, step):
-        n = min(step, t.num_rows - i)
-        dense = np.zeros((n, n_terms))
-        a, w, b, v = (x.slice(i, n) for x in (ta, wa, tb, wb))
-        dense[np.repeat(np.arange(n), a.value_lengths().to_numpy()), a.flatten().to_numpy()] = w.flatten().to_numpy()
-        rows = np.repeat(np.arange(n), b.value_lengths().to_numpy())
-        out[i:i + n] = np.bincount(rows, dense[rows, b.flatten().to_numpy()] * v.flatten().to_numpy(), minlength=n)
-    return out
-
-
-def with_cosine(pairs: DataFrame, vec: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``sim``, the cosine of the vectors a and b of ``vec`` (vid, tids, ws)."""
-    va, vb = (vec.select(F.col("vid").alias(x), F.col("tids").alias(f"tids_{x}"), F.col("ws").alias(f"ws_{x}")) for x in "ab")
-    both = pairs.join(va, "a").join(vb, "b").select(*pairs.columns, "tids_a", "ws_a", "tids_b", "ws_b")
-
-    def run(batches):
-        for t in batches:
-            yield pa.RecordBatch.from_arrays([*t.columns[:-4], pa.array(_dots(t))], names=[*t.schema.names[:-4], "sim"])
 
-    return both.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("sim", T.DoubleType())]))
+def neighbour_links(vec: DataFrame, threshold: float, min_samples: int, tile: int = S.TILE, idf: np.ndarray | None = None) -> DataFrame:
+    """(a, b, mass), written: the links of ``similarity.near_vectors``.
 
-
-def _angle(sim: Column) -> Column:
-    return F.acos(F.least(F.greatest(sim, F.lit(-1.0)), F.lit(1.0)))
+    Neighbours are vectors whose cosine, rounded as in ``similar_pairs``, is at
+    least ``threshold``.
+    """
+    return cut_lineage(S.near_vectors(vec, math.acos(max(threshold - 1e-9, -1.0)), tile, idf, links=min_samples))
 
 
-def ball_cover(vec: DataFrame, radius: float, rounds: int = ROUNDS) -> DataFrame | None:
-    """(vid, leader, angle) of the texts that a leader within ``radius`` takes; None if there are none.
+def neighbour_mass(vec: DataFrame, links: DataFrame) -> DataFrame:
+    """(vid, mult, mass): own multiplicity and that of all neighbours."""
+    near = links.where("b is null").groupBy("a").agg(F.sum("mass").alias("near")).withColumnRenamed("a", "vid")
+    return vec.select("vid", "mult").join(near, "vid", "left").select("vid", "mult", (F.col("mult") + F.coalesce("near", F.lit(0))).alias("mass"))
 
-    ``vec``: (vid, tids, ws), staged.  A leader has the smallest vid of its
-    ball and is in no other one.
-    """
-    free, taken = vec.select("vid", "tids"), None
-    for r in range(rounds):
-        b = free.select("vid", _bucket(r).alias("bucket"))
-        lead = cut_lineage(b.groupBy("bucket").agg(F.min("vid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b"))
-        if not lead.limit(1).count():
-            continue
-        met = with_cosine(b.join(lead, "bucket").where("vid <> b").select(F.col("vid").alias("a"), "b"), vec)
-        near = cut_lineage(met.select(F.col("a").alias("vid"), F.col("b").alias("leader"), _angle(F.col("sim")).alias("angle")).where(F.col("angle") <= radius))
-        taken = near if taken is None else taken.unionByName(near)
-        if r + 1 < rounds:
-            used = near.select("vid").unionByName(near.select(F.col("leader").alias("vid"))).distinct()
-            free = cut_lineage(free.join(used, "vid", "left_anti"))
-    return taken
 
-
-def ball_clusters(vec: DataFrame, threshold: float, min_samples: int, tile: int = S.TILE) -> DataFrame:
+def ball_clusters(vec: DataFrame, threshold: float, min_samples: int, tile: int = S.TILE, idf: np.ndarray | None = None,
+                  links: DataFrame | None = None) -> DataFrame:
     """(vid, comp) of every core and border vector; comp is the component's smallest core vid.
 
-    ``vec``: (vid, mult, tids, ws), staged; ``mult`` is the number of documents
-    with the vector.  Neighbours are vectors whose cosine, rounded as in
-    ``similar_pairs``, is at least ``threshold``; a vector is its own neighbour.
+    ``vec``: as in ``similarity.near_vectors``; ``mult`` is the number of
+    documents with the vector, which is its own neighbour.  ``links``: as of
+    ``neighbour_links``, made if not given.
     """
-    theta, limit = math.acos(threshold), F.lit(round(threshold, S.SIM_DECIMALS))
-    linked = lambda sim: F.round(sim, S.SIM_DECIMALS) >= limit
-    zero = F.lit(0.0)
-    taken = ball_cover(vec, theta / 3)
-    member = ball = None
-    if taken is not None:
-        every = taken.unionByName(taken.select(F.col("leader").alias("vid"), "leader", zero.alias("angle")).distinct())
-        every = every.join(vec.select("vid", "mult"), "vid")
-        ball = cut_lineage(every.groupBy("leader").agg(F.sum("mult").alias("mass"), F.max("angle").alias("r")).where(F.col("mass") >= min_samples))
-        member = cut_lineage(every.join(ball.select("leader"), "leader"))  # leader, vid, angle, mult
-        if not ball.limit(1).count():
-            member = ball = None
-    if ball is None:
-        part = vec.select("vid", "mult", "tids", "ws", zero.alias("r"), F.lit(False).alias("is_ball"))
-    else:
-        single = vec.join(member.select("vid"), "vid", "left_anti").select("vid", "mult", "tids", "ws", zero.alias("r"), F.lit(False).alias("is_ball"))
-        whole = vec.join(ball.withColumnRenamed("leader", "vid"), "vid").select("vid", F.col("mass").alias("mult"), "tids", "ws", "r", F.lit(True).alias("is_ball"))
-        part = single.unionByName(whole)
-    part = cut_lineage(part)
-    near = S.near_vectors(part, math.acos(max(threshold - 1e-9, -1.0)), tile, theta / 3 if ball is not None else 0.0)
-    info = part.select("vid", "mult", "r", "is_ball")
-    a, b = (info.select(F.col("vid").alias(x), F.col("mult").alias(f"m_{x}"), F.col("r").alias(f"r_{x}"), F.col("is_ball").alias(f"ball_{x}")) for x in "ab")
-    pairs = near.join(a, "a").join(b, "b")
-    some = F.col("ball_a") | F.col("ball_b")
-    reach = _angle(F.col("sim")) + F.col("r_a") + F.col("r_b")
-    pairs = cut_lineage(pairs.withColumn("full", F.when(some, reach <= theta - SLACK).otherwise(linked(F.col("sim")))).where(some | F.col("full")))
-
-    # neighbour mass of singles: whole balls and singles at once, undecided balls member by member
-    sides = [pairs.select(F.col(x).alias("s"), F.col(y).alias("o"), F.col(f"ball_{x}").alias("_is"), F.col(f"ball_{y}").alias("o_ball"), F.col(f"m_{y}").alias("m"), "full", "sim") for x, y in ("ab", "ba")]
-    met = sides[0].unionByName(sides[1]).where(~F.col("_is")).drop("_is")
-    beside = met.where("full").select("s", "o", "m")
-    if ball is not None:
-        ask = met.where(~F.col("full")).select("s", F.col("o").alias("leader"), _angle(F.col("sim")).alias("to_leader")).join(member, "leader")
-        ask = ask.where(F.col("to_leader") - F.col("angle") <= theta + SLACK)
-        sure = F.col("to_leader") + F.col("angle") <= theta - SLACK
-        told = ask.where(sure).select("s", F.col("leader").alias("o"), F.col("mult").alias("m"))
-        asked = with_cosine(ask.where(~sure).select(F.col("s").alias("a"), F.col("vid").alias("b"), "leader", "mult"), vec)
-        asked = asked.where(linked(F.col("sim"))).select(F.col("a").alias("s"), F.col("leader").alias("o"), F.col("mult").alias("m"))
-        beside = beside.unionByName(told.unionByName(asked).groupBy("s", "o").agg(F.sum("m").alias("m")))
-    beside = cut_lineage(beside)
-    mass = beside.groupBy("s").agg(F.sum("m").alias("near"))
-    core = info.where(~F.col("is_ball")).join(mass.withColumnRenamed("s", "vid"), "vid", "left").where(F.col("mult") + F.coalesce("near", F.lit(0)) >= min_samples).select(F.col("vid").alias("node"))
-    core = cut_lineage(core.unionByName(info.where("is_ball").select(F.col("vid").alias("node"))))
-
-    edges = beside.join(core.withColumnRenamed("node", "s"), "s").join(core.withColumnRenamed("node", "o"), "o").select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    if ball is not None:
-        two = pairs.where(F.col("ball_a") & F.col("ball_b"))
-        joined = F.col("full") | linked(F.col("sim"))  # leaders are members
-        edges = cut_lineage(edges.unionByName(two.where(joined).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        comp = connected_components(core, edges)
-        more = _undecided_balls(two.where(~joined), comp, ball, member, vec, theta, linked)
-        if more is not None:
-            comp = connected_components(core, edges.unionByName(more))
-    else:
-        comp = connected_components(core, edges)
-
-    border = (beside.join(core.select(F.col("node").alias("s")), "s", "left_anti").join(comp.select(F.col("node").alias("o"), "comp"), "o")
-              .groupBy("s").agg(F.min("comp").alias("comp")).select(F.col("s").alias("vid"), "comp"))
-    out = comp.select(F.col("node").alias("vid"), "comp").unionByName(border)
-    if ball is not None:
-        inner = member.where("vid <> leader").select("vid", F.col("leader").alias("node")).join(comp, "node").select("vid", "comp")
-        out = out.unionByName(inner)
-    return out
-
-
-def _undecided_balls(two: DataFrame, comp: DataFrame, ball: DataFrame, member: DataFrame, vec: DataFrame, theta: float, linked) -> DataFrame | None:
-    """Edges (src, dst) between balls of different components that have a linked pair of members; None if no pair is left."""
-    ca, cb = (comp.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab")
-    left = cut_lineage(two.join(ca, "a").join(cb, "b").where("c_a <> c_b").select("a", "b"))
-    if not left.limit(1).count():
-        return None
-    sides = []
-    for x, y in ("ab", "ba"):  # members of x that are near enough to the leader of y
-        r = ball.select(F.col("leader").alias(y), F.col("r").alias("r_y"))
-        ask = left.join(member.select(F.col("leader").alias(x), F.col("vid").alias("u")), x).join(r, y).select(F.col("u").alias("a"), F.col(y).alias("b"), F.col(x).alias("own"), "r_y")
-        got = with_cosine(ask, vec).where(_angle(F.col("sim")) <= theta + F.col("r_y") + SLACK)
-        sides.append(cut_lineage(got.select(F.col("own").alias(f"l{x}"), F.col("b").alias(f"l{y}"), F.col("a").alias(x))))
-    meet = sides[0].join(sides[1], ["la", "lb"]).select("a", "b", "la", "lb")
-    return cut_lineage(with_cosine(meet, vec).where(linked(F.col("sim"))).select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct())
+    if links is None:
+        links = neighbour_links(vec, threshold, min_samples, tile, idf)
+    core = cut_lineage(neighbour_mass(vec, links).where(F.col("mass") >= min_samples).select(F.col("vid").alias("node")))
+    pairs = links.where("b is not null").select("a", "b")
+    known = [core.select(F.col("node").alias(x), F.lit(True).alias(f"core_{x}")) for x in "ab"]
+    pairs = cut_lineage(pairs.join(known[0], "a", "left").join(known[1], "b", "left"))
+    comp = connected_components(core, pairs.where("core_a and core_b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    beside = pairs.where("core_a is null and core_b").select(F.col("a").alias("vid"), F.col("b").alias("node")).unionByName(
+        pairs.where("core_a and core_b is null").select(F.col("b").alias("vid"), F.col("a").alias("node")))
+    border = beside.join(comp, "node").groupBy("vid").agg(F.min("comp").alias("comp"))
+    return comp.select(F.col("node").alias("vid"), "comp").unionByName(border)

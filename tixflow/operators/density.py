@@ -15,54 +15,79 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tixflow.config import (DBSCAN_EPS, DBSCAN_MIN_SAMPLES, MIN_CLUSTER_SIZE,
                             STOP_WORDS, TFIDF_MAX_FEATURES)
-from tixflow.functions.text import vectoriser_terms
 from tixflow.operators import similarity as S
 from tixflow.operators import textfeat
-from tixflow.operators.ballcover import ball_clusters
+from tixflow.operators.ballcover import ball_clusters, neighbour_links, neighbour_mass
 from tixflow.operators.components import dense_index
 from tixflow.session import cut_lineage
 
 
 @dataclass
 class DensityResult:
-    """Labels and what they come from; the neighbour graph is made only when asked for."""
+    """Vectors and, made when asked for, what comes from them; nothing but ``pairs`` makes the pairs."""
 
-    vocab: DataFrame          # (term, total, df, idf)
-    weights: DataFrame        # (vid, term, df, w) per distinct vector
+    ids: list[str]
+    vocab: DataFrame          # (term, total, df, idf, tid)
     members: DataFrame        # (ids..., h1, h2) documents with non-zero vectors
-    vectors: DataFrame        # (h1, h2, vid, mult, key)
-    vector_clusters: DataFrame  # (vid, cluster_id) vectors in kept clusters
-    labels: DataFrame         # (ids..., cluster_id) for every document (-1 = noise)
+    vectors: DataFrame        # (h1, h2, vid, mult, tids, tfs)
+    doc_text: DataFrame       # (ids..., th1, th2) documents by the hash of their text
+    text_vec: DataFrame       # (th1, th2, h1, h2) texts with non-zero vectors
+    idf: np.ndarray           # by tid
     threshold: float
     min_samples: int
-    text_label: DataFrame     # (th1, th2, cluster_id) texts in kept clusters, by their hash
+    min_cluster_size: int
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(vid, term, df, w) per distinct vector."""
+        return cut_lineage(S.unit_weights(self.vectors, self.vocab))
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """(a, b, sim) similar distinct vectors, a < b."""
-        return cut_lineage(S.similar_pairs(self.weights, self.threshold))
+        """(a, b, sim) similar distinct vectors, a < b (P1); made anew by each reader, as they may be very many."""
+        return S.similar_pairs(self.vectors, self.threshold, idf=self.idf)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return neighbour_links(self.vectors, self.threshold, self.min_samples, idf=self.idf)
 
     @cached_property
     def core(self) -> DataFrame:
         """(vid, mult, mass, is_core) with the exact neighbour mass."""
-        return cut_lineage(core_points(self.vectors, self.pairs, self.min_samples))
+        return cut_lineage(core_points(self.vectors, self.links, self.min_samples))
+
+    @cached_property
+    def vector_clusters(self) -> DataFrame:
+        """(vid, cluster_id) vectors in kept clusters."""
+        comp = ball_clusters(self.vectors, self.threshold, self.min_samples, links=self.links)
+        return cut_lineage(number_clusters(comp, self.vectors.select("vid", "mult"), self.min_cluster_size))
+
+    @cached_property
+    def text_label(self) -> DataFrame:
+        """(th1, th2, cluster_id) texts in kept clusters, by their hash.
+
+        Distinct-text sized; texts with a zero vector or in no kept cluster are left out.
+        Materialised, so the documents of a hot text can be split in the join.
+        """
+        return cut_lineage(self.text_vec.join(self.vectors.select("h1", "h2", "vid"), ["h1", "h2"])
+                               .join(self.vector_clusters, "vid").select("th1", "th2", "cluster_id"))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """(ids..., cluster_id) for every document (-1 = noise)."""
+        return (self.doc_text.join(self.text_label, ["th1", "th2"], "left")
+                    .select(*self.ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
 
 
-def core_points(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
+def core_points(vectors: DataFrame, links: DataFrame, min_samples: int) -> DataFrame:
     """(vid, mult, mass, is_core): mass = own multiplicity + neighbours' multiplicities."""
-    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
-        pairs.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    mult = vectors.select("vid", "mult")
-    nb = (both.join(mult.select(F.col("vid").alias("u"), F.col("mult").alias("m_u")), "u")
-              .groupBy("v").agg(F.sum("m_u").alias("nb_mass")))
-    c = mult.join(nb.withColumnRenamed("v", "vid"), "vid", "left")
-    mass = F.col("mult") + F.coalesce(F.col("nb_mass"), F.lit(0))
-    return c.select("vid", "mult", mass.alias("mass"), (mass >= min_samples).alias("is_core"))
+    return neighbour_mass(vectors, links).withColumn("is_core", F.col("mass") >= min_samples)
 
 
 def number_clusters(member: DataFrame, mult: DataFrame, min_cluster_size: int) -> DataFrame:
@@ -95,29 +120,20 @@ def density_clusters(docs: DataFrame, ids: list[str], ord_col: str, text_col: st
     doc_text, texts = textfeat.distinct_texts(docs.select(*ids, ord_col, text_col), text_col, ord_col)
     texts = cut_lineage(texts)
     tkeys = ["th1", "th2"]
-    d = texts.select(*tkeys, "tord", "tmult", vectoriser_terms(F.col("text"), stop_words).alias("terms"))
-    # Term counts feed both the vocabulary and the vectors: written once.
-    tf = cut_lineage(textfeat.term_counts(d, [*tkeys, "tord", "tmult"]))
     n_docs = texts.agg(F.sum("tmult").alias("n_docs"))
-    vocab = textfeat.vocabulary(tf, n_docs, max_features, min_df, weight="tmult")
-    # The vocabulary (<= max_features rows), the distinct vectors and their
-    # weights are each read several times below: written once to the reliable
-    # checkpoint folder (also bounds the lineage a lost executor replays).
-    vocab = cut_lineage(vocab)
-    text_vec, vectors = S.collapse_vectors(tf, vocab, tkeys, "tord", "tmult")
+    vocab = textfeat.text_vocabulary(texts, n_docs, max_features, min_df, stop_words)
+    # The vocabulary (<= max_features rows, which the driver sees) and the
+    # distinct vectors are each read several times: written once to the
+    # reliable checkpoint folder (also bounds the lineage a lost executor replays).
+    tid = F.row_number().over(Window.orderBy("df", "term")) - 1
+    vocab = cut_lineage(vocab.withColumn("tid", tid.cast("int")))
+    terms = vocab.select("term", "idf").orderBy("tid").collect()
+    per = textfeat.text_vectors(texts, [*tkeys, "tord", "tmult"], [r["term"] for r in terms], stop_words)
+    text_vec, vectors = S.collapse_vectors(per, tkeys, "tord", "tmult")
     vectors = cut_lineage(vectors)
-    weights = cut_lineage(S.unit_weights(vectors, vocab))
-    vec = cut_lineage(S.vector_table(weights).join(vectors.select("vid", "mult"), "vid"))
-    comp = ball_clusters(vec, 1.0 - eps, min_samples)
-    vc = cut_lineage(number_clusters(comp, vectors.select("vid", "mult"), min_cluster_size))
-    # Distinct-text sized; texts with a zero vector or in no kept cluster -> -1.
-    # Materialised, so the documents of a hot text can be split in the join.
-    text_label = cut_lineage(text_vec.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"])
-                                     .join(vc, "vid").select(*tkeys, "cluster_id"))
-    labels = (doc_text.join(text_label, tkeys, "left")
-                      .select(*ids, F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id")))
     members = doc_text.join(text_vec, tkeys).select(*ids, "h1", "h2")
-    return DensityResult(vocab, weights, members, vectors, vc, labels, 1.0 - eps, min_samples, text_label)
+    return DensityResult(ids, vocab, members, vectors, doc_text, text_vec, np.array([r["idf"] for r in terms], np.float64),
+                         1.0 - eps, min_samples, min_cluster_size)
 
 
 def noise_count(labels: DataFrame) -> DataFrame:
