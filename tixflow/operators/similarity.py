@@ -409,8 +409,8 @@ def near_vectors(vec: DataFrame, theta: float, tile: int = TILE, idf: np.ndarray
         lists = packed.select(F.explode("pre").alias("list"), "vid", "mult", "row", "pre")
         sizes = posting.select("list", F.ceil(F.col("m") / tile).alias("k"))
     groups = _tile_pairs(lists, sizes, tile)
-    if work >= float(n) ** 2:  # few and large groups: one a task
-        groups = groups.repartition(4 * k * (k + 1), "list", "i", "j")
+    if work >= float(n) ** 2 and n > FEW:  # few and large groups: one a task, nearly always
+        groups = groups.repartition(2 * k * (k + 1), "list", "i", "j")
     groups = groups.groupBy("list", "i", "j")
     return groups.applyInArrow(_score_tiles(theta, n_terms, CHUNK, idf, most, links), f"a long, b long, {'sim double' if links is None else 'mass long'}")
 
